@@ -32,10 +32,12 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverse
     if len(_powers) < n:
         size = 1 << (n - 1).bit_length()
-        back = pow(_STEP, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            _powers = np.concatenate([[1], np.full(size - 1, _STEP, np.uint64)]).astype(np.uint64).cumprod(dtype=np.uint64)
-            _inverse = np.concatenate([[1], np.full(size - 1, back, np.uint64)]).astype(np.uint64).cumprod(dtype=np.uint64)
+        tables = []
+        for base in (_STEP, pow(_STEP, -1, 1 << 64)):
+            steps = np.full(size, base, dtype=np.uint64)
+            steps[0] = 1
+            tables.append(np.cumprod(steps, dtype=np.uint64))
+        _powers, _inverse = tables
     return _powers, _inverse
 
 
