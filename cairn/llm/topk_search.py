@@ -2,11 +2,12 @@
 
 Vectors are dealt into blocks of bounded size. In a block every dimension has a posting list
 cut into segments by quantised value. A query takes all segments of all dimensions by
-descending impact (the largest contribution that the segment can make) and adds each segment's
-least contribution to the accumulators of its members. A vector's score can't exceed its
-accumulator plus, for each dimension not yet met, that dimension's next impact. Processing
-stops only once these bounds prove that few vectors can still reach the k-th best proven
-score; those are rescored exactly with 64-bit integers, so the result is the exact top k.
+descending impact (the largest contribution that the segment can make) and adds the
+contributions to the accumulators of its members. A vector's score can't exceed its
+accumulator plus, for each dimension not yet met, that dimension's next impact. The leaders
+by this bound are rescored exactly, which sets a bar that k vectors are known to reach;
+processing stops only once the bounds prove that few vectors can still reach the bar. Those
+are rescored exactly with 64-bit integers, so the result is the exact top k.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ BLOCK_ROWS = 8192
 QUERY_ROWS = 512
 LEVELS = 16
 #: Shares of the segments after which the bounds are computed; past the last, all vectors are rescored.
-CHECKPOINTS = (0.625, 0.8, 0.92)
+CHECKPOINTS = (0.6, 0.7, 0.8, 0.92)
 #: Components beyond this could overflow a 64-bit inner product; such blocks use Python integers.
 WIDE = 1 << 24
 
@@ -42,18 +43,19 @@ class ImpactIndex:
     def __init__(self, ids: np.ndarray, rows: np.ndarray, levels: int = LEVELS) -> None:
         self.ids, self.rows = ids, rows
         n, width = rows.shape
-        self.order = np.empty((width, n), dtype=np.int32)
+        self.order = np.empty((width, n), dtype=np.intp)
+        self.values = np.empty((width, n), dtype=np.int64)  # in the list's order
         self.first = np.zeros((width, levels + 1), dtype=np.int64)
         self.low = np.zeros((width, levels), dtype=np.int64)
         self.high = np.zeros((width, levels), dtype=np.int64)
-        self.level = np.empty((width, n), dtype=np.uint8)
+        self.level = np.empty((width, n), dtype=np.intp)
         for d in range(width if rows.dtype != object else 0):
             column = rows[:, d]
             order = np.argsort(column, kind="stable")
             ranked = column[order]
             step = (int(ranked[-1]) - int(ranked[0])) // levels + 1
             level = (ranked - ranked[0]) // step
-            self.order[d] = order
+            self.order[d], self.values[d] = order, ranked
             self.level[d, order] = level
             self.first[d] = np.searchsorted(level, np.arange(levels + 1))
             full = self.first[d, 1:] > self.first[d, :-1]
@@ -66,31 +68,30 @@ class ImpactIndex:
         if n <= 4 * k or self.rows.dtype == object or q.dtype == object:
             return np.arange(n)
         w = q[:, None]
-        most, least = np.maximum(w * self.low, w * self.high), np.minimum(w * self.low, w * self.high)
+        impact = np.maximum(w * self.low, w * self.high)
         full = (self.first[:, 1:] > self.first[:, :-1]) & (w != 0)
         dims, levels = np.nonzero(full)
-        by_impact = np.argsort(-most[dims, levels], kind="stable")
+        by_impact = np.argsort(-impact[dims, levels], kind="stable")
         dims, levels = dims[by_impact], levels[by_impact]
-        floor = np.where(full, least, np.iinfo(np.int64).max).min(axis=1)
-        floor[~full.any(axis=1)] = 0
+        used = np.flatnonzero(full.any(axis=1))
         met = np.zeros(full.shape, dtype=bool)
-        score = np.zeros(n, dtype=np.int64)  # of the segments met: each member's least contribution
+        score = np.zeros(n, dtype=np.int64)  # of the segments met
         at = 0
         for stop in CHECKPOINTS:
             until = int(len(dims) * stop)
             for d, s in zip(dims[at:until].tolist(), levels[at:until].tolist(), strict=True):
-                score[self.order[d, self.first[d, s] : self.first[d, s + 1]]] += least[d, s]
+                i, j = self.first[d, s], self.first[d, s + 1]
+                score[self.order[d, i:j]] += q[d] * self.values[d, i:j]
             met[dims[at:until], levels[at:until]] = True
             at = until
             # the largest impact that a dimension has left bounds all its vectors not met
-            left = np.where(full & ~met, most, np.iinfo(np.int64).min).max(axis=1)
-            above = np.where(met, most - least, left[:, None])
-            below = np.where(met, 0, floor[:, None])
-            high, low = score.copy(), score.copy()
-            for d in np.flatnonzero(full.any(axis=1)):
-                high += above[d].take(self.level[d])
-                low += below[d].take(self.level[d])
-            bar = np.partition(low, n - k)[n - k]  # k vectors are proven to reach it
+            left = np.where(full & ~met, impact, np.iinfo(np.int64).min).max(axis=1)
+            ahead = np.where(met, 0, left[:, None])
+            high = score.copy()
+            for d in used:
+                high += ahead[d].take(self.level[d])
+            probe = np.argpartition(high, n - 2 * k)[n - 2 * k :]
+            bar = np.sort(self.rows[probe] @ q)[-k]  # k vectors are known to reach it
             possible = np.flatnonzero(high >= bar)
             if len(possible) <= max(8 * k, n // 16):
                 return possible
