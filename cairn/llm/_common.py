@@ -13,9 +13,15 @@ from pyspark.sql import functions as F
 from cairn.sources.ship import ensure_package
 
 
+#: Rows that go to a Python worker at once. Texts are long, so 10,000 of them take too much memory.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of a scale-factor folder, by whatever path Spark can read."""
     ensure_package(spark)
+    if spark.conf.get(BATCH) == "10000":  # Spark's default; a user's own setting stays
+        spark.conf.set(BATCH, "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
