@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fold, pieces
+from ._common import Scratch, fold, pieces
 
 #: Bounds: labelled rows that the machine is fitted on, hashed terms that it may keep.
 MAX_TRAIN_ROWS = 20_000
@@ -139,18 +139,20 @@ class FactorizationMachine:
         return m
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_rows: int = MAX_TRAIN_ROWS, max_terms: int = MAX_TERMS) -> FactorizationMachine:
-    """Fit on rows with a 0/1 label; null texts count as empty.
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_rows: int = MAX_TRAIN_ROWS, max_terms: int = MAX_TERMS) -> FactorizationMachine:
+    """Fit on the documents that have a 0/1 label; null texts count as empty.
 
-    About ``max_rows`` rows are used, chosen by a hash of the id. Of the terms that at least
-    ``MIN_DOCS`` of them hold, the ``max_terms`` with the strongest association to the label
+    About ``max_rows`` labels are used, chosen by a hash of the id, so the sample of labels is
+    small enough to broadcast and the texts need no shuffle. Of the terms that at least
+    ``MIN_DOCS`` texts hold, the ``max_terms`` with the strongest association to the label
     stay, so what reaches the driver is bounded by the two parameters.
     """
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(label_col).cast("int").alias("y"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id"))
-    n = rows.count()
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(label_col).cast("int").alias("y"), F.col(id_col).alias("label_id"))
+    n = known.count()
     if n > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) < int(max_rows / n * 1_000_000))
-    rows = rows.select("y", "text")
+        known = known.where(F.pmod(F.xxhash64(F.col("label_id").cast("string"), F.lit("sample")), F.lit(1_000_000)) < int(max_rows / n * 1_000_000))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = Scratch(docs.sparkSession, "toxicity").save(texts.join(F.broadcast(known), F.col("id") == F.col("label_id")).select("y", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = TermReader()
@@ -210,7 +212,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int
     Result: ``doc_id``, ``held_out`` boolean, ``score``, ``predicted``. A document with several
     labels trains once with each; a label without a document or with a null is not used.
     """
-    known = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").alias("toxic")).where(fold(F.col("label_id"), folds) != held_fold)
-    joined = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("label_id"))
-    out = score(docs, fit(joined))
+    out = score(docs, fit(docs, labels.where(fold(F.col("doc_id"), folds) != held_fold)))
     return out.select("doc_id", (fold(F.col("doc_id"), folds) == held_fold).alias("held_out"), "score", "predicted")
