@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, jaccard_join, language_id, quality_rules, topk_search, toxicity
+from . import bpe, html_extract, jaccard_join, language_id, lm_scoring, quality_rules, topk_search, toxicity
 from ._common import table
 
 BPE_VOCABULARY = "word_bpe_49k.json"
@@ -18,6 +18,10 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.topk_search(table(spark, sf_dir, "embeddings"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -46,6 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk_search": op1_topk_search,
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_jaccard_join": op3_jaccard_join,
         "op4_bpe": op4_bpe,
         "op6_language_id": op6_language_id,
