@@ -14,8 +14,9 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import fold, pieces
@@ -190,6 +191,21 @@ def identify_languages(docs: DataFrame, filters: LanguageFilters, text_col: str
     return source.mapInArrow(run, schema)
 
 
+def language_column(spark: SparkSession, filters: LanguageFilters, text: Column) -> Column:
+    """The prediction as a column, struct<lang_pred, score>, so that rows keep all their columns."""
+    shared = spark.sparkContext.broadcast((filters.languages, filters.words.tobytes(), filters.false_rate.tolist()))
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        langs, words, rate = shared.value
+        own = LanguageFilters(langs, np.frombuffer(words, dtype=np.uint64), np.array(rate))
+        for part in parts:
+            found = [own.predict(part.iloc[k : k + 128].tolist()) for k in range(0, len(part), 128)]
+            yield pd.DataFrame({"lang_pred": [x for f in found for x in f[0]], "score": [x for f in found for x in f[1]]})
+
+    return predict(text)
+
+
 def language_id(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", folds: int = 4, held_fold: int = 2) -> DataFrame:
     """Fit on the rows outside the held-out fold, then predict every row.
 

@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ._common import pieces
 
@@ -148,3 +150,16 @@ def quality_rules(
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return source.mapInArrow(run, schema)
+
+
+def kept_column(text: Column, cover_limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT, symbol_limit: float = SYMBOL_LIMIT) -> Column:
+    """The verdict as a boolean column, so that rows keep all their columns."""
+    limits = dict(COVER_LIMITS if cover_limits is None else cover_limits)
+    lengths = sorted(limits)
+
+    @F.pandas_udf("boolean")
+    def verdict(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([judge(measure(x, lengths), limits, line_limit, symbol_limit)[1] for x in part], dtype=bool)
+
+    return verdict(text)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, jaccard_join, language_id, lm_scoring, quality_rules, topk_search, toxicity
+from . import bpe, html_extract, jaccard_join, language_id, lm_scoring, mixing, quality_classifier, quality_rules, topk_search, toxicity
 from ._common import table
 
 BPE_VOCABULARY = "word_bpe_49k.json"
@@ -30,6 +30,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_VOCABULARY), full=False)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -53,9 +61,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_lm_scoring": op2_lm_scoring,
         "op3_jaccard_join": op3_jaccard_join,
         "op4_bpe": op4_bpe,
+        "op5_quality_classifier": op5_quality_classifier,
         "op6_language_id": op6_language_id,
         "op7_html_extract": op7_html_extract,
         "op8_toxicity": op8_toxicity,
+        "op9_mixing": op9_mixing,
         "op10_quality_rules": op10_quality_rules,
     }
 
