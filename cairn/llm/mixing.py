@@ -22,7 +22,7 @@ DOMAINS = ("clean", "junk", "toxic")
 #: Wanted shares of the mixture's tokens.
 TARGETS = {"clean": 0.90, "junk": 0.04, "toxic": 0.06}
 #: Bounds of the classifier's fit: labelled rows, and terms kept for a domain.
-MAX_TRAIN_ROWS = 20_000
+MAX_TRAIN_ROWS = 10_000
 TERMS = 256
 MIN_DOCS = 6
 PREFIX = 5
@@ -48,7 +48,13 @@ def terms(tokens: Column) -> Column:
 def signals(text: Column, tokens: Column, listed: Mapping[str, Sequence[str]]) -> dict[str, Column]:
     """Small integer features of one text: hits on each domain's terms, signs, repetition, length."""
     n = F.greatest(F.size(tokens), F.lit(1))
-    found = terms(tokens)
+    every = sorted({t for own in listed.values() for t in own})
+    whole, starts = [t for t in every if t[-1] != "~"], [t[:-1] for t in every if t[-1] == "~"]
+    # one pass over the tokens for all domains' terms; what it finds is short
+    found = F.concat(
+        F.array_intersect(tokens, F.array(*map(F.lit, whole))) if whole else F.array().cast("array<string>"),
+        F.transform(F.array_intersect(F.transform(tokens, lambda w: F.substring(w, 1, PREFIX)), F.array(*map(F.lit, starts))), lambda w: F.concat(w, F.lit("~"))) if starts else F.array().cast("array<string>"),
+    )
     out = {}
     for domain, own in listed.items():
         hits = F.size(F.array_intersect(found, F.array(*map(F.lit, own)))) if own else F.lit(0)
@@ -134,8 +140,8 @@ def _largest_eigenvalue(m: list[list[float]]) -> float:
 def fit_rates(members: DataFrame, targets: Mapping[str, float], total: float | None = None, cap: float | None = None) -> list[list[float]]:
     """Multipliers of each projected-gradient step over a table with ``n_tokens`` and ``p_<domain>``.
 
-    Minimises the sum over domains of (expected tokens - target)^2 / (tokens it holds now), in the
-    norm weighted by tokens, with the step 1 / (largest curvature). ``total``: tokens of the
+    Minimises the sum over domains of (expected tokens - target)^2 / scale, where a domain's scale
+    is the larger of its tokens now and its target, in the norm weighted by tokens, with the step 1 / (largest curvature). ``total``: tokens of the
     mixture; the table's own by default. Stops within TOLERANCE of all targets, when a step
     no longer helps, or after MAX_STEPS steps. One aggregation of a few sums a step.
     """
@@ -147,18 +153,19 @@ def fit_rates(members: DataFrame, targets: Mapping[str, float], total: float | N
         return []
     now = {d: max(float(first[d]), 1e-9) for d in DOMAINS}
     wanted = {d: targets.get(d, 0.0) * (float(first["n"]) if total is None else total) for d in DOMAINS}
-    curve = [[float(first[f"{a}_{b}"]) / math.sqrt(now[a] * now[b]) for b in DOMAINS] for a in DOMAINS]
+    scale = {d: max(now[d], wanted[d]) for d in DOMAINS}
+    curve = [[float(first[f"{a}_{b}"]) / math.sqrt(scale[a] * scale[b]) for b in DOMAINS] for a in DOMAINS]
     rate = 1.0 / _largest_eigenvalue(curve)
     held = dict(now)
     steps: list[list[float]] = []
     loss = math.inf
     for _ in range(MAX_STEPS):
         off = {d: held[d] - wanted[d] for d in DOMAINS}
-        new = sum(off[d] ** 2 / now[d] for d in DOMAINS)
-        if max(abs(x) for x in off.values()) <= TOLERANCE * sum(wanted.values()) or new >= loss * (1 - 1e-6):
+        new = sum(off[d] ** 2 / scale[d] for d in DOMAINS)
+        if max(abs(x) for x in off.values()) <= TOLERANCE * sum(wanted.values()) or new >= loss * (1 - 1e-3):
             break
         loss = new
-        steps.append([rate * off[d] / now[d] for d in DOMAINS])
+        steps.append([rate * off[d] / scale[d] for d in DOMAINS])
         r = rate_column(steps, cap)
         row = members.agg(*(F.sum(r * n * p[d]).alias(d) for d in DOMAINS)).first()
         held = {d: float(row[d]) for d in DOMAINS}
