@@ -3,7 +3,8 @@
 1. Every text becomes a set of shingle hashes; equal sets are one node from here on.
 2. Global index by position: the hash range is cut into so many positions that two sets similar
    enough must agree in at least one whole position (a pigeonhole bound on their difference, in
-   groups of sets of like size). A list holds the nodes with the same content at the same
+   groups of sets of like size). Positions filled only by shingles that are common in the corpus
+   (a shared passage) count as blank, of which the bound allows some. A list holds the nodes with the same content at the same
    position, so blocks of sets that can't match are never read together. Nodes on one list,
    and only those, can be linked; their connected components are families.
 3. Within a family, in blocks of bounded size, an inverted index with lists sorted by set size
@@ -36,9 +37,17 @@ BLOCK_SETS = 1024
 BLOCK_SHINGLES = 2_000_000
 #: Entries of the index that one task of the second step reads, about.
 INDEX_ENTRIES = 1_000_000
+#: And entries that a task of the first step sorts at once, about.
+SENT_ENTRIES = 600_000
 #: Cells of the filter that says which nodes are in families: a bounded bitmap.
 FILTER_CELLS = 1 << 20
 
+#: A shingle is common if COMMON_DOCS texts of about COMMON_SHINGLES shingles hold it. The cells
+#: of common shingles, by their first bits, form a bounded bitmap.
+COMMON_DOCS = 5
+COMMON_SHINGLES = 2_000_000
+COMMON_BITS = 22
+
 _U = np.uint64
 _POSITION, _GROUP, _EMPTY = _U(0xA24BAED4963EE407), _U(0x9FB21C651E98DF25), _U(0xC13FA9A902A6328F)
 
@@ -62,15 +71,16 @@ class SizeGroups:
             self.starts.append(self.starts[-1] * self.den // self.num + 1)
         small = self.starts[group + 1] - 1
         most = (small + small * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
-        return most, most + 2 + most // 8
+        return most, most + 2 + most // 4
 
 
-def index_keys(s: np.ndarray, groups: SizeGroups) -> np.ndarray:
+def index_keys(s: np.ndarray, groups: SizeGroups, common: np.ndarray | None = None) -> np.ndarray:
     """The keys of a set's lists: one for each position of its two size groups.
 
-    Two matching sets differ in at most ``most`` shingles, so of the positions at least
-    (positions - most) hold the same content in both. A set with fewer empty positions than
-    that must share one that isn't empty; only sets with more empty ones list these too.
+    Two matching sets differ in at most ``most`` shingles, so at least (positions - most) of the
+    positions hold the same content in both. A position is blank if it holds no shingle but
+    ``common`` ones (a mask over ``s`` that depends on the shingle alone). A set with fewer
+    blank positions than that shares one that isn't; only sets with more list blank ones too.
     """
     own = groups.of(len(s))
     out = []
@@ -80,10 +90,13 @@ def index_keys(s: np.ndarray, groups: SizeGroups) -> np.ndarray:
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         content = np.add.reduceat(mix(s ^ _GROUP), first)
         salt = _U((g + 1) * int(_GROUP) % (1 << 64))
-        out.append(mix(content + at[first] * _POSITION + salt))
-        if len(first) <= most:
+        keys = mix(content + at[first] * _POSITION + salt)
+        plain = np.ones(len(first), dtype=bool) if common is None else ~np.logical_and.reduceat(common, first)
+        if plain.sum() > most:
+            out.append(keys[plain])
+        else:
             empty = np.setdiff1d(np.arange(m, dtype=np.uint64), at[first])
-            out.append(mix((empty * _POSITION + salt) ^ _EMPTY))
+            out += [keys, mix((empty * _POSITION + salt) ^ _EMPTY)]
     return np.concatenate(out)
 
 
@@ -225,17 +238,42 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
+        held: list[np.ndarray] = []
+        size = 0
+        id_kind = None
+
+        def common() -> pa.RecordBatch:
+            flat = np.sort(np.concatenate(held))
+            held.clear()
+            cut = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+            often = flat[cut[np.diff(np.append(cut, len(flat))) >= COMMON_DOCS]]
+            cells = np.unique(often >> _U(64 - COMMON_BITS)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(cells), id_kind), pa.array(cells), pa.array(np.full(len(cells), -1))], ["id", "node", "n"])
+
         for batch in pieces(batches):
             sets = [shingles(words_of(x), k, hasher) for x in batch.column(1).to_pylist()]
+            id_kind = batch.column(0).type
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["id", "node", "n"])
+            held += [s for s in sets if len(s)]
+            size += sum(map(len, sets))
+            if size >= COMMON_SHINGLES:
+                yield common()
+                size = 0
+        if held:
+            yield common()
 
-    rows = scratch.save(texts.mapInArrow(measure, f"id {id_type}, node long, n long"))
+    measured = scratch.save(texts.mapInArrow(measure, f"id {id_type}, node long, n long"))
+    rows = measured.where("n >= 0")
+    often = np.zeros(1 << COMMON_BITS, dtype=bool)
+    often[measured.where("n < 0").select("node").distinct().toPandas()["node"].to_numpy(dtype=np.int64)] = True  # 2**COMMON_BITS at most
+    frequent = spark.sparkContext.broadcast(np.packbits(often).tobytes())
     nodes = scratch.save(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least_id"), F.first("n").alias("n")))
     total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first()["s"]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 2.5 * (den - num) / num / INDEX_ENTRIES) + 1)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, groups = WordHasher(), SizeGroups(num, den)
+        bits = np.unpackbits(np.frombuffer(frequent.value, dtype=np.uint8)).astype(bool)
         keys: list[np.ndarray] = []
         owners: list[np.ndarray] = []
         seen: set[int] = set()
@@ -267,11 +305,11 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
                 if not len(s) or (node := node_of(s)) in seen:
                     continue
                 seen.add(node)
-                got = index_keys(s, groups)
+                got = index_keys(s, groups, bits[s >> _U(64 - COMMON_BITS)])
                 keys.append(got)
                 owners.append(np.full(len(got), node, dtype=np.int64))
                 held += len(got)
-            if held >= 2 * INDEX_ENTRIES:
+            if held >= SENT_ENTRIES:
                 yield from emit()
                 held = 0
         if held:
