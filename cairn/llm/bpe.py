@@ -23,7 +23,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from ._common import pieces
+from ._common import pieces, released
 
 LEAF_CHARS = 16
 MEMO_WORDS = 200_000
@@ -233,4 +233,4 @@ def bpe_encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text",
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema)

@@ -19,7 +19,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import pieces
+from ._common import pieces, released
 
 # Element and class names of HTML pages.
 SILENT = {"script", "style", "noscript", "template", "title", "head", "svg", "math", "canvas", "iframe", "object", "audio", "video", "textarea", "select", "option", "datalist"}
@@ -212,4 +212,4 @@ def html_extract(pages: DataFrame, html_col: str = "html", id_cols: Sequence[str
             texts = [extract_text(x) for x in batch.column(len(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(ids))), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*ids, "text", "n_chars"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, pieces
+from ._common import Scratch, pieces, release, released
 from ._text import WordHasher, mix, shingles, words_of
 from .components import UnionFind, connected_components
 
@@ -262,7 +262,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         if held:
             yield common()
 
-    measured = scratch.save(texts.mapInArrow(measure, f"id {id_type}, node long, n long"))
+    measured = scratch.save(texts.mapInArrow(released(measure), f"id {id_type}, node long, n long"))
     rows = measured.where("n >= 0")
     often = np.zeros(1 << COMMON_BITS, dtype=bool)
     often[measured.where("n < 0").select("node").distinct().toPandas()["node"].to_numpy(dtype=np.int64)] = True  # 2**COMMON_BITS at most
@@ -331,10 +331,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
             head = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
             rest = np.flatnonzero(~first & (owner != owner[head]))
             edges.append(np.stack([owner[rest], owner[head[rest]]], axis=1))
+            keys, owners = [], []
         out = np.unique(np.concatenate(edges), axis=0) if edges else np.zeros((0, 2), dtype=np.int64)
+        release()
         return pa.table({"a": pa.array(out[:, 0], pa.int64()), "b": pa.array(out[:, 1], pa.int64())})
 
-    lists = texts.select("text").mapInArrow(index, "part int, keys binary, nodes binary")
+    lists = texts.select("text").mapInArrow(released(index), "part int, keys binary, nodes binary")
     shared = lists.repartition(parts, "part").groupBy("part").applyInArrow(read_lists, "a long, b long")
     families = scratch.save(connected_components(shared, scratch))
 
@@ -364,7 +366,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
                 data.append(s.astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary())], ["node", "shingles"])
 
-    sets = texts.select("text").mapInArrow(fetch, "node long, shingles binary").join(members, "node")
+    sets = texts.select("text").mapInArrow(released(fetch), "node long, shingles binary").join(members, "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     n_members = members.count()
     bins = max(1, n_members // 500)

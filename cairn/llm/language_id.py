@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fold, pieces
+from ._common import fold, pieces, release, released
 
 GRAM = 4
 #: Bound of the sample that the filters are fitted on: documents a language.
@@ -160,7 +160,7 @@ def fit_filters(
                 size = len(keys[k : k + 50_000])
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * size), pa.array(keys[k : k + 50_000].astype(np.int64)), pa.array(n[k : k + 50_000])], ["lang", "gram", "n"])
 
-    grams = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = sample.mapInArrow(released(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = grams.groupBy("lang").agg(F.sum("n").alias("total"))
     frequent = grams.join(F.broadcast(totals), "lang").where(F.col("n") >= F.col("total") * min_share).select("lang", "gram")
     kept: dict[str, list[int]] = {}
@@ -188,7 +188,7 @@ def identify_languages(docs: DataFrame, filters: LanguageFilters, text_col: str
             pred, score = own.predict(batch.column(len(ids)).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(ids))), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*ids, "lang_pred", "score"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema)
 
 
 def language_column(spark: SparkSession, filters: LanguageFilters, text: Column) -> Column:
@@ -202,6 +202,7 @@ def language_column(spark: SparkSession, filters: LanguageFilters, text: Column)
         for part in parts:
             found = [own.predict(part.iloc[k : k + 128].tolist()) for k in range(0, len(part), 128)]
             yield pd.DataFrame({"lang_pred": [x for f in found for x in f[0]], "score": [x for f in found for x in f[1]]})
+        release()
 
     return predict(text)
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, fold, pieces
+from ._common import Scratch, fold, pieces, released
 from ._text import mix, words_of
 
 ORDER = 5
@@ -261,7 +261,7 @@ def fit_trie(training: DataFrame, scratch: Scratch, text_col: str = "text", buck
             rows.append((k, int(counts.sum()), keys.astype("<u8").tobytes(), counts.astype("<i8").tobytes()))
         return pa.table({"ord": pa.array([r[0] for r in rows], pa.int32()), "total": pa.array([r[1] for r in rows], pa.int64()), "keys": pa.array([r[2] for r in rows], pa.binary()), "counts": pa.array([r[3] for r in rows], pa.binary())})
 
-    partial = training.select(text_col).mapInArrow(count, "bucket int, keys binary, counts binary")
+    partial = training.select(text_col).mapInArrow(released(count), "bucket int, keys binary, counts binary")
     merged = scratch.save(partial.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, "ord int, total long, keys binary, counts binary"))
     total = merged.where(F.col("ord") == 2).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("t")).first()["t"]
     floor = total / max_nodes

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pieces
+from ._common import pieces, release, released
 
 SYMBOLS = b"#*$%&|<>"
 #: n-gram length in words -> largest share of word characters that repeated n-grams may cover.
@@ -149,7 +149,7 @@ def quality_rules(
             names = [*ids, *longs, *(f"cover_{k}" for k in lengths), "dup_line_share", "base_failed", "kept"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema)
 
 
 def kept_column(text: Column, cover_limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT, symbol_limit: float = SYMBOL_LIMIT) -> Column:
@@ -161,5 +161,6 @@ def kept_column(text: Column, cover_limits: dict[int, float] | None = None, line
     def verdict(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             yield pd.Series([judge(measure(x, lengths), limits, line_limit, symbol_limit)[1] for x in part], dtype=bool)
+        release()
 
     return verdict(text)

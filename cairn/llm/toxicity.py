@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, fold, pieces
+from ._common import Scratch, fold, pieces, released
 
 #: Bounds: labelled rows that the machine is fitted on, hashed terms that it may keep.
 MAX_TRAIN_ROWS = 20_000
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
 
     classes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     p0, p1 = max(1, classes.get(0, 0)), max(1, classes.get(1, 0))
-    counts = rows.mapInArrow(count, "term long, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = rows.mapInArrow(released(count), "term long, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     expected = (F.col("n0") + F.col("n1")) * (p1 / (p0 + p1))
     strength = (F.col("n1") - expected) * (F.col("n1") - expected) / expected
     best = counts.where(F.col("n0") + F.col("n1") >= MIN_DOCS).select("term", strength.alias("s")).orderBy(F.desc("s"), "term").limit(max_terms)
@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text",
             got = own.scores([reader.read(x) for x in batch.column(len(ids)).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(ids))), pa.array(got), pa.array((got >= 0.5).astype(np.int32))], [*ids, "score", "predicted"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0) -> DataFrame:
