@@ -114,7 +114,7 @@ def test_cleaning(spark):
     d = spark.createDataFrame(rows, "y string, c string, s string, t string, n string")
     got = d.select(T.whole_year(F.col("y")), T.country(F.col("c")), T.surface_family(F.col("s")), T.track(F.col("t")), T.race_type(F.col("n"))).collect()
     assert [tuple(r) for r in got] == [
-        (2001, "JAPAN", "TURF", "TOKYO", "JUMP"), (None, "JAPAN", "DIRT", "MIZUSAWA", "JUMP"), (None, "UNKNOWN", "OTHER", "UNKNOWN", "FLAT"), (None, "X", "SYNTHETIC", "ASCOT", "FLAT"),
+        (2001, "JAPAN", "TURF", "TOKYO", "JUMP"), (None, "JAPAN", "DIRT", "MIZUSAWA", "JUMP"), (None, "UNKNOWN", "SYNTHETIC", "UNKNOWN", "FLAT"), (None, "X", "SYNTHETIC", "ASCOT", "FLAT"),
     ]
 
 
