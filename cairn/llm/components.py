@@ -84,17 +84,23 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
-def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, contracted: bool = False) -> DataFrame:
     """``node`` and ``root`` (the component's least node) of every node on an edge ``a``-``b``.
 
     Both columns are non-null longs; self-loops and repeated edges do no harm. Nodes that are
-    roots themselves are included. An empty table gives an empty result.
+    roots themselves are included. An empty table gives an empty result. ``contracted``: the
+    edges are stars already, so a local union-find (and a second Python worker) would gain nothing.
     """
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = scratch.save(edges.select("a", "b").where(F.col("a") != F.col("b")).mapInArrow(_contract, "a long, b long").distinct())
+    first = edges.select("a", "b").where(F.col("a") != F.col("b"))
+    if contracted:
+        first = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    else:
+        first = first.mapInArrow(_contract, "a long, b long")
+    now = scratch.save(first.distinct())
     before = state(now)
     if before[0]:
         while True:

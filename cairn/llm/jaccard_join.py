@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch, pieces, release, released
 from ._text import WordHasher, mix, shingles, words_of
-from .components import UnionFind, connected_components
+from .components import UnionFind, connected_components, stars
 
 #: Sets and shingles in one block of a family.
 BLOCK_SETS = 1024
@@ -332,13 +332,14 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
             rest = np.flatnonzero(~first & (owner != owner[head]))
             edges.append(np.stack([owner[rest], owner[head[rest]]], axis=1))
             keys, owners = [], []
-        out = np.unique(np.concatenate(edges), axis=0) if edges else np.zeros((0, 2), dtype=np.int64)
+        out = np.concatenate(edges) if edges else np.zeros((0, 2), dtype=np.int64)
+        x, y = stars(out[:, 0], out[:, 1])
         release()
-        return pa.table({"a": pa.array(out[:, 0], pa.int64()), "b": pa.array(out[:, 1], pa.int64())})
+        return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
     lists = texts.select("text").mapInArrow(released(index), "part int, keys binary, nodes binary")
     shared = lists.repartition(parts, "part").groupBy("part").applyInArrow(read_lists, "a long, b long")
-    families = scratch.save(connected_components(shared, scratch))
+    families = scratch.save(connected_components(shared, scratch, contracted=True))
 
     members = families.join(nodes, "node").select("node", F.col("root").alias("family"), "n")
     spans = members.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n").alias("size"))
@@ -382,7 +383,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         F.when(whole, F.lit(-1)).otherwise(F.greatest("block", "other")).alias("bj"),
     )
     links = sets.groupBy("task", "bi", "bj").applyInArrow(lambda t: _solve(t, num, den), "a long, b long")
-    linked = scratch.save(connected_components(links, scratch))
+    linked = scratch.save(connected_components(links, scratch, contracted=True))
 
     owned = linked.join(nodes.select("node", "least_id"), "node")
     least = owned.groupBy("root").agg(F.min("least_id").alias("component"))
