@@ -1,7 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text's features are its distinct words and the beginnings of its longer words, hashed. The
-machine's score is a bias, a weight for each term, and an inner product of latent vectors for
+A text's features, hashed, are its distinct words, the beginnings of its longer words, and the
+beginnings that two or three of its distinct words share: many forms of one stem say more than
+a chance likeness. The machine's score is a bias, a weight for each term, and an inner product of latent vectors for
 each pair of terms in the text, so that a pair (an insult with the mention of a group) can
 weigh more than its parts. It is trained by mini-batch AdaGrad on a bounded sample of the
 labelled rows; every row is then scored over its whole text.
@@ -24,46 +25,70 @@ from ._common import Scratch, fold, pieces, released
 #: Bounds: labelled rows that the machine is fitted on, hashed terms that it may keep.
 MAX_TRAIN_ROWS = 20_000
 MAX_TERMS = 8192
-HASH_BITS = 20
+HASH_BITS = 21
 FACTORS = 4
 MIN_DOCS = 4
+#: Least chi-square association of a term with the label: a chance one adds noise, most of all on few labels.
+MIN_STRENGTH = 6.0
 PREFIXES = (4, 5, 6)
+#: A beginning has one term for each number of distinct words, up to this, that share it.
+MAX_FORMS = 3
 MEMO_WORDS = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms_of(word: str) -> tuple[int, ...]:
-    """Hashed terms of one lower-cased word: itself, and its beginnings if it is longer."""
-    mask = (1 << HASH_BITS) - 1
-    out = [zlib.crc32(word.encode()) & mask]
-    out += [zlib.crc32(f"{word[:k]}~".encode()) & mask for k in PREFIXES if len(word) > k]
-    return tuple(out)
+def word_term(word: str) -> int:
+    return zlib.crc32(word.encode()) & ((1 << HASH_BITS) - 1)
+
+
+def beginning_terms(beginning: str) -> tuple[int, ...]:
+    """The terms of a beginning that one, two, ... distinct words of a text share."""
+    return tuple(word_term(f"{beginning}~{n}") for n in range(1, MAX_FORMS + 1))
 
 
 class TermReader:
-    """The distinct terms of texts, with a bounded memo of words; ``keep`` maps hash to column."""
+    """The distinct terms of texts, with bounded memos of words; ``keep`` maps hash to column."""
 
     def __init__(self, keep: dict[int, int] | None = None) -> None:
         self.keep = keep
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[int | None, tuple[tuple[int | None, ...], ...]]] = {}
+        self.beginnings: dict[str, tuple[int | None, ...]] = {}
+
+    def _column(self, term: int) -> int | None:
+        return term if self.keep is None else self.keep.get(term)
+
+    def _beginning(self, beginning: str) -> tuple[int | None, ...]:
+        got = self.beginnings.get(beginning)
+        if got is None:
+            got = tuple(self._column(t) for t in beginning_terms(beginning))
+            self.beginnings[beginning] = got
+        return got
+
+    def _word(self, word: str) -> tuple[int | None, tuple[tuple[int | None, ...], ...]]:
+        """The word's own column, and its beginnings that have any; equal beginnings are one object."""
+        own = [self._beginning(word[:k]) for k in PREFIXES if len(word) > k]
+        got = self._column(word_term(word)), tuple(b for b in own if any(c is not None for c in b))
+        self.words[word] = got
+        return got
 
     def read(self, text: str | None) -> list[int]:
         if not text:
             return []
-        memo, keep = self.memo, self.keep
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        found: set[int] = set()
+        if len(self.words) > MEMO_WORDS:
+            self.words.clear()
+            self.beginnings.clear()
+        found: set[int | None] = set()
+        forms: dict[tuple[int | None, ...], int] = {}
+        known = self.words
         for word in set(_WORD.findall(text.lower())):
-            got = memo.get(word)
-            if got is None:
-                got = terms_of(word)
-                if keep is not None:
-                    got = tuple(keep[t] for t in got if t in keep)
-                memo[word] = got
-            if got:
-                found.update(got)
+            got = known.get(word) or self._word(word)
+            found.add(got[0])
+            for b in got[1]:
+                forms[b] = forms.get(b, 0) + 1
+        for b, n in forms.items():
+            found.update(b[:n])
+        found.discard(None)
         return sorted(found)
 
 
@@ -100,7 +125,7 @@ class FactorizationMachine:
         return 1.0 / (1.0 + np.exp(-np.clip(self.logits(rows), -40, 40)))
 
     @classmethod
-    def train(cls, terms: np.ndarray, rows: Sequence[Sequence[int]], y: np.ndarray, epochs: int = 12, rate: float = 0.1, l2: float = 1e-4, seed: int = 7) -> FactorizationMachine:
+    def train(cls, terms: np.ndarray, rows: Sequence[Sequence[int]], y: np.ndarray, epochs: int = 25, rate: float = 0.1, l2: float = 1e-4, seed: int = 7) -> FactorizationMachine:
         """Mini-batch AdaGrad on the logistic loss. Without rows of both classes only the bias is fitted."""
         d = max(1, len(terms))
         p = (float(y.sum()) + 0.5) / (len(y) + 1.0)
@@ -144,8 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
 
     About ``max_rows`` labels are used, chosen by a hash of the id, so the sample of labels is
     small enough to broadcast and the texts need no shuffle. Of the terms that at least
-    ``MIN_DOCS`` texts hold, the ``max_terms`` with the strongest association to the label
-    stay, so what reaches the driver is bounded by the two parameters.
+    ``MIN_DOCS`` texts hold, the ``max_terms`` with the strongest association to the label, of
+    ``MIN_STRENGTH`` at least, stay, so what reaches the driver is bounded by the two parameters.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(label_col).cast("int").alias("y"), F.col(id_col).alias("label_id"))
     n = known.count()
@@ -170,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     counts = rows.mapInArrow(released(count), "term long, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     expected = (F.col("n0") + F.col("n1")) * (p1 / (p0 + p1))
     strength = (F.col("n1") - expected) * (F.col("n1") - expected) / expected
-    best = counts.where(F.col("n0") + F.col("n1") >= MIN_DOCS).select("term", strength.alias("s")).orderBy(F.desc("s"), "term").limit(max_terms)
+    best = counts.where(F.col("n0") + F.col("n1") >= MIN_DOCS).select("term", strength.alias("s")).where(F.col("s") >= MIN_STRENGTH).orderBy(F.desc("s"), "term").limit(max_terms)
     terms = np.array([r["term"] for r in best.collect()], dtype=np.int64)
     keep = {int(t): i for i, t in enumerate(terms)}
 
