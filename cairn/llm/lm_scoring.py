@@ -1,23 +1,27 @@
 """Language-model scoring by prediction by partial matching (PPM).
 
-A byte-context trie of order ``ORDER`` is counted over all training texts. A byte is coded in
-the longest context that the trie holds; if it was not seen there, the code escapes to the next
-shorter context, in which the bytes just ruled out are excluded, down to a uniform order -1.
-Escape is estimated by method D: each distinct byte of a context gives half an occurrence to the
-escape, which also gets what was pruned. The trie is bounded by construction: a node stays if it holds at least 1 / MAX_NODES
-of all training bytes, so at most MAX_NODES stay in each order at any input size.
+A byte-context trie of order ``ORDER`` is counted over all training texts, and every node stays.
+A byte is coded in the longest context that the trie holds; if it was not seen there, the code
+escapes to the next shorter context, in which the bytes just ruled out are excluded, down to a
+uniform order -1. Escape is estimated by method D: each distinct byte of a context gives half an
+occurrence to the escape.
+
+A byte's code length depends on itself and the ORDER bytes before it only. Chunks of documents
+send their distinct strings of ORDER + 1 bytes with training counts to buckets by the last
+LOW + 1 bytes of the context, so that a bucket holds all of each context longer than LOW; it
+sends each chunk its own strings' code lengths back. Orders up to LOW have 2 ** 24 possible
+nodes at any input size; they are counted first and broadcast whole.
 
 A text is coded as its lower-cased words with one space between and one end mark, so the score
 is the probability of the same tokens that the word baseline scores. The baseline needs every
-word's count over all training texts: chunks of documents send their distinct words' hashes to
-buckets, which add up the counts and send each chunk its own words' counts back.
+word's count over all training texts: these go the same way, by the words' hashes.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,10 +34,9 @@ from ._common import Scratch, fold, pieces, released
 from ._text import mix, words_of
 
 ORDER = 5
-MAX_NODES = 1 << 20
-#: Documents in a chunk, about, and distinct entries that one bucket task adds up, about.
+LOW = 2  # longest context that is broadcast
+#: Documents in a chunk, about.
 CHUNK_DOCS = 4096
-BUCKET_ENTRIES = 1_000_000
 TAKEN = 0.5  # of each distinct byte's count, for the escape
 END = b"\n"  # no word holds one
 
@@ -96,7 +99,7 @@ class HashTable:
 
 @dataclass
 class Trie:
-    """Kept nodes by order: sorted keys (context and byte) with their training counts."""
+    """Nodes by order: sorted keys (context and byte) with their training counts."""
 
     keys: list[np.ndarray]
     counts: list[np.ndarray]
@@ -104,53 +107,55 @@ class Trie:
 
 
 class PpmScorer:
-    """Code lengths under a trained trie; all tables are arrays, and texts are scored in batches."""
-
-    def __init__(self, trie: Trie) -> None:
-        self.nodes = [HashTable(k) for k in trie.keys]
-        self.counts = [c.astype(np.float64) for c in trie.counts]
-        self.contexts: list[HashTable] = []
-        self.hit: list[np.ndarray] = []  # by node: log2 probability in a context with nothing excluded
-        self.escape: list[np.ndarray] = []  # by context: the same for the escape
-        self.below: list[np.ndarray] = []  # by context: weight left in the next shorter one after exclusion
-        self.escape_below: list[np.ndarray] = []  # and its share that escapes further
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for k, (keys, n) in enumerate(zip(trie.keys, self.counts, strict=True)):
-            ctx = keys >> _U(8)
+    """Code lengths under a trained trie; all tables are arrays, and bytes are scored in batches.
+
+    ``low`` is a scorer of the orders below those of ``trie``, if these are held apart.
+    """
+
+    def __init__(self, trie: Trie, low: PpmScorer | None = None) -> None:
+        self.nodes = [*(low.nodes if low else []), *map(HashTable, trie.keys)]
+        self.counts = [*(low.counts if low else []), *(c.astype(np.float64) for c in trie.counts)]
+        self.contexts: list[HashTable] = [*low.contexts] if low else []
+        self.hit: list[np.ndarray] = [*low.hit] if low else []  # by node: log2 probability in a context with nothing excluded
+        self.escape: list[np.ndarray] = [*low.escape] if low else []  # by context: the same for the escape
+        self.below: list[np.ndarray] = [*low.below] if low else []  # by context: weight left in the next shorter one after exclusion
+        self.escape_below: list[np.ndarray] = [*low.escape_below] if low else []  # and its share that escapes further
+        self.held: list[tuple[np.ndarray, np.ndarray]] = [*low.held] if low else []  # by context: occurrences and distinct bytes
+        for k, keys in enumerate(trie.keys, len(self.contexts)):
+            n, ctx = self.counts[k], keys >> _U(8)
             first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(keys) else np.zeros(0, np.int64)
             names = ctx[first]
-            kept = np.add.reduceat(n, first) if len(first) else np.zeros(0)
+            full = np.add.reduceat(n, first) if len(first) else np.zeros(0)
             distinct = np.diff(np.append(first, len(keys))).astype(np.float64)
-            if k:  # a context occurs as often as its own node one order below
-                at = self.nodes[k - 1].find(names)
-                full = np.maximum(kept, np.where(at >= 0, self.counts[k - 1][at], kept))
-            else:
-                full = np.maximum(kept, float(trie.total))
             self.contexts.append(HashTable(names))
             of = np.repeat(np.arange(len(first)), distinct.astype(np.int64))
             self.hit.append(np.log2((n - TAKEN) / full[of]) if len(keys) else np.zeros(0))
-            self.escape.append(np.log2((full - kept + TAKEN * distinct) / full) if len(first) else np.zeros(0))
+            self.escape.append(np.log2(TAKEN * distinct / full) if len(first) else np.zeros(0))
             if k:
                 at = self.nodes[k - 1].find(keys & _U((1 << (8 * k)) - 1))
-                ruled_out = np.add.reduceat(np.where(at >= 0, self.counts[k - 1][at], 0.0), first) if len(first) else np.zeros(0)
+                ruled_out = np.add.reduceat(self.counts[k - 1][at], first) if len(first) else np.zeros(0)
                 short = self.contexts[k - 1].find(names & _U((1 << (8 * (k - 1))) - 1) if k > 1 else np.zeros(len(names), np.uint64))
-                f, s, d = (x[short] if len(held) else x for x in held[-1])
+                f, d = (x[short] for x in self.held[-1])
                 self.below.append(np.maximum(0.0, f - ruled_out))
-                self.escape_below.append(np.maximum(0.0, f - s) + TAKEN * np.maximum(0.0, d - distinct))
+                self.escape_below.append(TAKEN * np.maximum(0.0, d - distinct))
             else:
                 self.below.append(256.0 - distinct)
                 self.escape_below.append(np.zeros(len(first)))
-            held.append((full, kept, distinct))
-        self.order = len(trie.keys) - 1
+            self.held.append((full, distinct))
+        self.order = len(self.contexts) - 1
 
     def log2(self, data: np.ndarray) -> np.ndarray:
         """log2 probability of each byte of ``data`` after its first ORDER bytes."""
-        n = len(data) - ORDER
+        return self.log2_keys(context_keys(data, self.order))
+
+    def log2_keys(self, strings: np.ndarray) -> np.ndarray:
+        """log2 probability of the last byte of each key after the others."""
+        n = len(strings)
         out = np.zeros(n)
         left = np.arange(n)
         came = np.full(n, -1, dtype=np.int64)  # the longer context just escaped from, by its place
         for k in range(self.order, -1, -1):
-            keys = context_keys(data, k)[left] if k < self.order else context_keys(data, k)
+            keys = strings[left] & _U((1 << (8 * (k + 1))) - 1)
             node = self.nodes[k].find(keys)
             found = node >= 0
             fresh = came < 0
@@ -176,24 +181,34 @@ class PpmScorer:
             out[left] -= np.log2(np.maximum(1.0, room))
         return out
 
-    def score(self, texts: list[list[bytes]]) -> np.ndarray:
-        """log10 probability of each text, given by its words."""
-        parts = [END * ORDER + coded(w) for w in texts]
-        out = np.zeros(len(parts))
-        k = 0
-        while k < len(parts):  # about a megabyte at a time
-            end, size = k, 0
-            while end < len(parts) and (end == k or size + len(parts[end]) < 1 << 20):
-                size += len(parts[end])
-                end += 1
-            data = np.frombuffer(b"".join(parts[k:end]), dtype=np.uint8)
-            bits = np.concatenate([np.zeros(ORDER), self.log2(data)])
-            first = np.concatenate([[0], np.cumsum([len(p) for p in parts[k:end]])])
-            sums = np.concatenate([[0.0], np.cumsum(bits)])
-            warm = sums[first[:-1] + ORDER] - sums[first[:-1]]  # the marks before each text aren't coded
-            out[k:end] = (sums[first[1:]] - sums[first[:-1]] - warm) * math.log10(2)
-            k = end
-        return out
+
+def score_texts(texts: list[list[bytes]], log2_of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """log10 probability of each text, given by its words; ``log2_of`` gives it for each key of order ORDER."""
+    parts = [END * ORDER + coded(w) for w in texts]
+    out = np.zeros(len(parts))
+    k = 0
+    while k < len(parts):  # about a megabyte at a time
+        end, size = k, 0
+        while end < len(parts) and (end == k or size + len(parts[end]) < 1 << 20):
+            size += len(parts[end])
+            end += 1
+        data = np.frombuffer(b"".join(parts[k:end]), dtype=np.uint8)
+        first = np.concatenate([[0], np.cumsum([len(p) for p in parts[k:end]])])
+        own = _own(first, len(data))  # the marks before each text aren't coded
+        bits = np.zeros(len(data))
+        bits[own] = log2_of(context_keys(data, ORDER)[own[ORDER:]])
+        sums = np.concatenate([[0.0], np.cumsum(bits)])
+        out[k:end] = (sums[first[1:]] - sums[first[:-1]]) * math.log10(2)
+        k = end
+    return out
+
+
+def _own(first: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` bytes are coded: not the ORDER marks from each place in ``first[:-1]``."""
+    own = np.ones(n, dtype=bool)
+    for j in range(ORDER):
+        own[first[:-1] + j] = False
+    return own
 
 
 def _add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -204,93 +219,78 @@ def _add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k[first], (np.add.reduceat(c, first) if len(first) else c)
 
 
-def fit_trie(training: DataFrame, scratch: Scratch, text_col: str = "text", buckets: int = 64, max_nodes: int = MAX_NODES) -> Trie:
-    """Count contexts over every training text, then keep the heavy nodes of each order.
+def count_strings(texts: Iterator[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of ``order`` with their counts, a few megabytes at a time."""
+    held_k: list[np.ndarray] = [np.zeros(0, np.uint64)]
+    held_c: list[np.ndarray] = [np.zeros(0, np.int64)]
+    parts: list[bytes] = []
+    size = 0
+
+    def take() -> None:
+        data = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        first = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        keys = context_keys(data, order)[_own(first, len(data))[ORDER:]]
+        keys.sort()
+        cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        held_k.append(keys[cut])
+        held_c.append(np.diff(np.append(cut, len(keys))))
+        if len(held_k) >= 8:
+            k, c = _add_up(held_k, held_c)
+            held_k[:], held_c[:] = [k], [c]
+
+    for text in texts:
+        parts.append(END * ORDER + coded(words_of(text)))
+        size += len(parts[-1])
+        if size >= 1 << 22:
+            take()
+            parts, size = [], 0
+    if parts:
+        take()
+    return _add_up(held_k, held_c)
 
-    Partial counts go as packed arrays to ``buckets`` by their last three bytes, so one bucket
-    holds all longer contexts of its short ones and can count orders 2 and up exactly. At most
-    ``max_nodes`` nodes an order reach the driver.
-    """
+
+def fit_low(training: DataFrame, text_col: str = "text") -> Trie:
+    """Every node of orders 0 to LOW over all training texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k: list[np.ndarray] = []
-        held_c: list[np.ndarray] = []
-        parts: list[bytes] = []
-        size = 0
-
-        def take() -> None:
-            data = np.frombuffer(b"".join(parts), dtype=np.uint8)
-            own = np.ones(len(data), dtype=bool)
-            first = np.concatenate([[0], np.cumsum([len(p) for p in parts])])[:-1]
-            for j in range(ORDER):
-                own[first + j] = False
-            keys = context_keys(data, ORDER)[own[ORDER:]]
-            keys.sort()
-            cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            held_k.append(keys[cut])
-            held_c.append(np.diff(np.append(cut, len(keys))))
-            if len(held_k) >= 8:
-                k, c = _add_up(held_k, held_c)
-                held_k[:], held_c[:] = [k], [c]
-
-        for batch in pieces(batches):
-            for text in batch.column(0).to_pylist():
-                parts.append(END * ORDER + coded(words_of(text)))
-                size += len(parts[-1])
-                if size >= 1 << 22:
-                    take()
-                    parts, size = [], 0
-        if parts:
-            take()
-        if held_k:
-            keys, counts = _add_up(held_k, held_c)
-            bucket = mix(keys & _U(0xFFFFFF)) % _U(buckets)
-            order = np.argsort(bucket, kind="stable")
-            keys, counts, bucket = keys[order], counts[order], bucket[order]
-            cut = np.searchsorted(bucket, np.arange(buckets + 1))
-            for b, (i, j) in enumerate(zip(cut, cut[1:], strict=False)):
-                if i < j:
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([keys[i:j].astype("<u8").tobytes()], pa.binary()), pa.array([counts[i:j].astype("<u4").tobytes()], pa.binary())], ["bucket", "keys", "counts"])
-
-    def merge(table: pa.Table) -> pa.Table:
-        keys, counts = _add_up([np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()], [np.frombuffer(x, "<u4").astype(np.int64) for x in table.column("counts").to_pylist()])
-        rows = []
-        for k in range(ORDER, 1, -1):
-            if k < ORDER:
-                keys, counts = _add_up([keys & _U((1 << (8 * (k + 1))) - 1)], [counts])
-            rows.append((k, int(counts.sum()), keys.astype("<u8").tobytes(), counts.astype("<i8").tobytes()))
-        return pa.table({"ord": pa.array([r[0] for r in rows], pa.int32()), "total": pa.array([r[1] for r in rows], pa.int64()), "keys": pa.array([r[2] for r in rows], pa.binary()), "counts": pa.array([r[3] for r in rows], pa.binary())})
-
-    partial = training.select(text_col).mapInArrow(released(count), "bucket int, keys binary, counts binary")
-    merged = scratch.save(partial.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, "ord int, total long, keys binary, counts binary"))
-    total = merged.where(F.col("ord") == 2).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("t")).first()["t"]
-    floor = total / max_nodes
-
-    def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, x, y in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                keys, counts = np.frombuffer(x, "<u8"), np.frombuffer(y, "<i8")
-                # order 2 is whole: the driver derives orders 1 and 0 from it; it has 2**24 keys at most
-                at = counts >= floor if k > 2 else np.ones(len(keys), bool)
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([keys[at].tobytes()], pa.binary()), pa.array([counts[at].tobytes()], pa.binary())], ["ord", "keys", "counts"])
-
-    by: dict[int, list[tuple[bytes, bytes]]] = {k: [] for k in range(2, ORDER + 1)}
-    for r in merged.select("ord", "keys", "counts").mapInArrow(heavy, "ord int, keys binary, counts binary").toLocalIterator():
-        by[r["ord"]].append((bytes(r["keys"]), bytes(r["counts"])))
-    keys: list[np.ndarray] = [np.zeros(0, np.uint64)] * (ORDER + 1)
-    counts: list[np.ndarray] = [np.zeros(0, np.int64)] * (ORDER + 1)
-    for k, rows in by.items():
-        if rows:
-            keys[k], counts[k] = _add_up([np.frombuffer(x, "<u8") for x, _ in rows], [np.frombuffer(y, "<i8") for _, y in rows])
-    for k in (1, 0):
-        keys[k], counts[k] = _add_up([keys[k + 1] & _U((1 << (8 * (k + 1))) - 1)], [counts[k + 1]])
-    for k in range(3):
-        at = counts[k] >= floor
-        keys[k], counts[k] = keys[k][at], counts[k][at]
-    return Trie(keys, counts, int(total))
-
-
-_scorers: dict[int, PpmScorer] = {}
+        keys, counts = count_strings((text for batch in pieces(batches) for text in batch.column(0).to_pylist()), LOW)
+        for k in range(0, len(keys), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 16)].astype(np.int64)), pa.array(counts[k : k + (1 << 16)])], ["key", "n"])
+
+    got = training.select(text_col).mapInArrow(released(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    level = _add_up([got.column("key").to_numpy().astype(np.uint64)], [got.column("n").to_numpy()])
+    levels = [level]
+    for k in range(LOW - 1, -1, -1):
+        level = _add_up([level[0] & _U((1 << (8 * (k + 1))) - 1)], [level[1]])
+        levels.insert(0, level)
+    return Trie([k for k, _ in levels], [c for _, c in levels], int(level[1].sum()))
+
+
+def code_lengths(keys: np.ndarray, counts: np.ndarray, low: PpmScorer, total: int) -> np.ndarray:
+    """log2 of each key of order ORDER; the keys hold all of each context longer than LOW that they touch."""
+    at = counts > 0
+    levels = [(keys[at], counts[at])]
+    for k in range(ORDER - 1, LOW, -1):
+        levels.insert(0, _add_up([levels[0][0] & _U((1 << (8 * (k + 1))) - 1)], [levels[0][1]]))
+    return PpmScorer(Trie([k for k, _ in levels], [c for _, c in levels], total), low).log2_keys(keys)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """The bytes of 64-bit values, the first byte of each value first: they compress better."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(data: bytes, dtype: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).reshape(-1).view(dtype)
+
+
+def _cuts(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by bucket that keeps the order within, and where each bucket begins in it."""
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+_scorers: dict[str, PpmScorer] = {}
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -318,15 +318,14 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_fold: int = 1, text_col: str
     chunks = max(1, -(-n_docs // CHUNK_DOCS))
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least, chunks)
-    trie = fit_trie(rows.where(~F.col("held_out")), scratch, "text", buckets)
-    scratch.drop(0)
-    shared = spark.sparkContext.broadcast(trie)  # at most MAX_NODES nodes in each of ORDER + 1 orders
+    shared = spark.sparkContext.broadcast(fit_low(rows.where(~F.col("held_out"))))
+    fitted = scratch.root
 
     # equal rows are spread by a counter within their partition, so that copies don't meet in one chunk
     spread = F.pmod(F.xxhash64("id", F.length("text"), F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
     dealt = rows.withColumn("chunk", spread)  # both uses below read the same exchange of the texts
 
-    def own_words(table: pa.Table) -> pa.Table:
+    def own_entries(table: pa.Table) -> pa.Table:
         train: Counter[bytes] = Counter()
         every: set[bytes] = set()
         ends = 0
@@ -341,38 +340,53 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_fold: int = 1, text_col: str
         keys = np.append(_hashes(listed), _U(_END_HASH))
         counts = np.append(np.fromiter((train.get(w, 0) for w in listed), dtype=np.int64, count=len(listed)), ends)
         keys, counts = _add_up([keys], [counts])
-        bucket = keys % _U(buckets)
-        order = np.argsort(bucket, kind="stable")
-        keys, counts, bucket = keys[order], counts[order], bucket[order]
-        cut = np.searchsorted(bucket, np.arange(buckets + 1))
-        full = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+        order, cut = _cuts(keys % _U(buckets), buckets)
+        keys, counts = keys[order], counts[order]
+        out = table.column("held_out").to_numpy()
+        texts = table.column("text")
+        strings, seen = count_strings(iter(texts.filter(pa.array(~out)).to_pylist()), ORDER)
+        more, none = count_strings(iter(texts.filter(pa.array(out)).to_pylist()), ORDER)
+        strings, seen = _add_up([strings, more], [seen, none * 0])
+        order, cut_s = _cuts(mix((strings >> _U(8)) & _U((1 << (8 * (LOW + 1))) - 1)) % _U(buckets), buckets)
+        strings, seen = strings[order], seen[order]
+        full = [b for b in range(buckets) if cut[b] < cut[b + 1] or cut_s[b] < cut_s[b + 1]]
         return pa.table(
             {
                 "bucket": pa.array(full, pa.int32()),
                 "chunk": pa.array([table.column("chunk")[0].as_py()] * len(full), pa.int32()),
                 "keys": pa.array([keys[cut[b] : cut[b + 1]].astype("<u8").tobytes() for b in full], pa.binary()),
                 "counts": pa.array([counts[cut[b] : cut[b + 1]].astype("<i4").tobytes() for b in full], pa.binary()),
+                "strings": pa.array([pack(strings[cut_s[b] : cut_s[b + 1]].astype("<u8")) for b in full], pa.binary()),
+                "seen": pa.array([pack(seen[cut_s[b] : cut_s[b + 1]].astype("<i8")) for b in full], pa.binary()),
             }
         )
 
-    def add_words(table: pa.Table) -> pa.Table:
+    def add_entries(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()]
         counts = [np.frombuffer(x, "<i4").astype(np.int64) for x in table.column("counts").to_pylist()]
         all_keys, all_counts = _add_up(keys, counts)
         back = [all_counts[np.searchsorted(all_keys, k)] for k in keys]
         n = len(keys)  # the bucket's own totals stand on its first row
+        if fitted not in _scorers:
+            _scorers.clear()
+            _scorers[fitted] = PpmScorer(shared.value)
+        strings = [unpack(x, "<u8") for x in table.column("strings").to_pylist()]
+        all_strings, all_seen = _add_up(strings, [unpack(x, "<i8") for x in table.column("seen").to_pylist()])
+        bits = code_lengths(all_strings, all_seen, _scorers[fitted], shared.value.total)
         return pa.table(
             {
                 "chunk": table.column("chunk").cast(pa.int32()),
                 "keys": table.column("keys"),
                 "counts": pa.array([b.astype("<i8").tobytes() for b in back], pa.binary()),
+                "strings": table.column("strings"),
+                "bits": pa.array([pack(bits[np.searchsorted(all_strings, k)].astype("<f8")) for k in strings], pa.binary()),
                 "tokens": pa.array([int(all_counts.sum())] + [0] * (n - 1), pa.int64()),
                 "distinct": pa.array([int((all_counts > 0).sum())] + [0] * (n - 1), pa.int64()),
             }
         )
 
-    sent = dealt.groupBy("chunk").applyInArrow(own_words, "bucket int, chunk int, keys binary, counts binary")
-    told = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(add_words, "chunk int, keys binary, counts binary, tokens long, distinct long")
+    sent = dealt.groupBy("chunk").applyInArrow(own_entries, "bucket int, chunk int, keys binary, counts binary, strings binary, seen binary")
+    told = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(add_entries, "chunk int, keys binary, counts binary, strings binary, bits binary, tokens long, distinct long")
     names = ["id", "held_out", "n_tokens", "n_known", "base_sum", "score", "tokens", "distinct"]
 
     def score(mine: pa.Table, told: pa.Table) -> pa.Table:
@@ -388,16 +402,14 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_fold: int = 1, text_col: str
                 return value
 
         logs = Logs()
-        if shared.value.total not in _scorers:
-            _scorers.clear()
-            _scorers[shared.value.total] = PpmScorer(shared.value)
-        scorer = _scorers[shared.value.total]
+        places = HashTable(np.concatenate([unpack(x, "<u8") for x in told.column("strings").to_pylist()]))
+        bits = np.concatenate([unpack(x, "<f8") for x in told.column("bits").to_pylist()])
         end_log = logs[END]
         tokens, known, base, model = [], [], [], []
         column = mine.column("text")
         for k in range(0, mine.num_rows, 512):
             texts = [words_of(x) for x in column.slice(k, 512).to_pylist()]
-            model.append(scorer.score(texts))
+            model.append(score_texts(texts, lambda strings: bits[places.find(strings)]))
             for words in texts:
                 got = np.fromiter(map(logs.__getitem__, words), dtype=np.float64, count=len(words))
                 tokens.append(len(words) + 1)

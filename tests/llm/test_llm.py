@@ -111,6 +111,24 @@ def test_ppm_is_a_distribution():
         assert 0.98 < sum(p) <= 1 + 1e-9
 
 
+def test_ppm_keeps_every_context(spark):
+    rng = random.Random(2)
+    names = [f"w{rng.randint(0, 99999)}" for _ in range(3000)]
+    docs = {i: " ".join(rng.choices(names, k=1000)) for i in range(400)}
+    train = {i for i in docs if zlib.crc32(str(i).encode()) % 5 != 1}
+    rare = "once quietly zigzagging"  # stands in one training row of about 2 MB
+    docs[min(train)] += " " + rare
+    docs[min(set(docs) - train)] = rare
+    data = [np.frombuffer(lm_scoring.END * lm_scoring.ORDER + lm_scoring.coded(docs[i].encode().split()), dtype=np.uint8) for i in train]
+    levels = [np.unique(np.concatenate([lm_scoring.context_keys(x, k) for x in data]), return_counts=True) for k in range(lm_scoring.ORDER + 1)]
+    scorer = lm_scoring.PpmScorer(lm_scoring.Trie([k for k, _ in levels], [n for _, n in levels], int(levels[0][1].sum())))
+    assert scorer.counts[0].sum() > 1 << 20
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for r in lm_scoring.lm_scores(rows).collect():
+        x = lm_scoring.END * lm_scoring.ORDER + lm_scoring.coded(docs[r["doc_id"]].encode().split())
+        assert r["score"] == pytest.approx(scorer.log2(np.frombuffer(x, dtype=np.uint8)).sum() * math.log10(2), rel=1e-9)
+
+
 def test_lm_odd_rows(spark, odd):
     assert lm_scoring.lm_scores(odd).count() == 7
     assert lm_scoring.lm_scores(odd.limit(0)).count() == 0
