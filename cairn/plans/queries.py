@@ -395,8 +395,7 @@ def first_break(spark, sf):
 LEAF_SQL = "w AS (SELECT l_suppkey AS k, l_linestatus || l_returnflag || CAST(l_quantity AS BIGINT) AS name, CAST(count(*) AS DOUBLE) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01' GROUP BY ALL), leaf AS (SELECT k, name, n / sum(n) OVER (PARTITION BY k) AS weight FROM w)"
 
 
-def _leaf_rows(spark, sf):
-    line = table(spark, sf, "lineitem").where("l_shipdate >= TIMESTAMP_NTZ '1998-06-01'")
+def _leaf_rows(line):
     w = line.groupBy(F.col("l_suppkey").alias("k"), F.concat("l_linestatus", "l_returnflag", F.col("l_quantity").cast("long").cast("string")).alias("name")).agg(F.count("*").cast("double").alias("n"))
     return w.select("k", "name", (F.col("n") / F.sum("n").over(Window.partitionBy("k"))).alias("weight"))
 
@@ -404,7 +403,14 @@ def _leaf_rows(spark, sf):
 @query(f"""WITH {LEAF_SQL}, z AS (SELECT k, count(*) AS c FROM leaf GROUP BY k), j AS (SELECT a.k AS a, b.k AS b, sum(least(a.weight, b.weight)) AS low, count(*) AS c FROM leaf a JOIN leaf b ON a.name = b.name AND a.k < b.k GROUP BY ALL)
 SELECT a, b, round(low / (2 - low), 6) AS weighted_jaccard, round(j.c / (x.c + y.c - j.c), 6) AS plain_jaccard FROM j JOIN z x ON x.k = a JOIN z y ON y.k = b""")
 def leaf_jaccard(spark, sf):
-    return select.leaf_similarity(_leaf_rows(spark, sf), "k").select("a", "b", *r6("weighted_jaccard", "plain_jaccard"))
+    line = table(spark, sf, "lineitem").where("l_shipdate >= TIMESTAMP_NTZ '1998-06-01'")  # as in LEAF_SQL
+    return select.leaf_similarity(_leaf_rows(line), "k").select("a", "b", *r6("weighted_jaccard", "plain_jaccard"))
+
+
+@query()
+def leaf_jaccard_whole(spark, sf):
+    """The same over all of lineitem."""
+    return select.leaf_similarity(_leaf_rows(table(spark, sf, "lineitem")), "k").select("a", "b", *r6("weighted_jaccard", "plain_jaccard"))
 
 
 @query()

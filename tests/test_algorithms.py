@@ -160,3 +160,20 @@ def test_stream_of_parts_adds_up(spark, tmp_path):
     got = stream.current(spark, str(tmp_path / "sums")).drop("batch").first()
     want = overlap(overlap_sums(d)).first()
     assert got["n"] == want["n"] == 18 and abs(got["mean_a"] - want["mean_a"]) < 1e-9
+
+
+def test_leaf_jaccard_of_the_whole_table(spark):
+    line = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_suppkey", "l_linestatus", "l_returnflag", "l_quantity").collect()
+    leaves = {}
+    for k, status, flag, quantity in line:
+        own = leaves.setdefault(k, {})
+        own[status, flag, int(quantity)] = own.get((status, flag, int(quantity)), 0) + 1
+    want = {}
+    for a, b in itertools.combinations(sorted(leaves), 2):
+        x, y = ({n: c / sum(leaves[k].values()) for n, c in leaves[k].items()} for k in (a, b))
+        if x.keys() & y.keys():
+            low = sum(min(x[n], y[n]) for n in x.keys() & y.keys())
+            want[a, b] = (low / (2 - low), len(x.keys() & y.keys()) / len(x.keys() | y.keys()))
+    got = {(r["a"], r["b"]): (r["weighted_jaccard"], r["plain_jaccard"]) for r in plans.QUERIES["leaf_jaccard_whole"](spark, SF).collect()}
+    assert got.keys() == want.keys() and want
+    assert all(np.allclose(got[p], want[p], atol=1e-6) for p in want)
