@@ -177,3 +177,15 @@ def test_leaf_jaccard_of_the_whole_table(spark):
     got = {(r["a"], r["b"]): (r["weighted_jaccard"], r["plain_jaccard"]) for r in plans.QUERIES["leaf_jaccard_whole"](spark, SF).collect()}
     assert got.keys() == want.keys() and want
     assert all(np.allclose(got[p], want[p], atol=1e-6) for p in want)
+
+
+def test_clusters_of_long_chains(spark):
+    order = list(range(45))
+    random.Random(3).shuffle(order)
+    chains = [[f"a{i:02}" for i in range(45)], [f"b{i:02}" for i in order]]
+    pairs = [(*sorted(p), 0.9, 0.9) for c in chains for p in itertools.pairwise(c)] + [("a00", "b00", 0.5, 0.9)]
+    similar = spark.createDataFrame(pairs, "a string, b string, weighted_jaccard double, plain_jaccard double")
+    keys = spark.createDataFrame([(k,) for c in chains for k in c] + [("c",)], "id string")
+    got = {r["id"]: r for r in select.clusters(similar, keys, "id").collect()}
+    assert {k: (r["cluster"], r["size"]) for k, r in got.items()} == {k: (min(c), len(c)) for c in [*chains, ["c"]] for k in c}
+    assert sorted(k for k, r in got.items() if r["is_medoid"]) == ["a01", min(chains[1][1:-1]), "c"]
