@@ -1,18 +1,26 @@
 """Mixing sources to target weights by soft membership, in DataFrame operations only.
 
-A classifier fitted on a labelled table gives every document a posterior over domains. Then
-nonnegative rates, one for each document, are fitted by distributed projected-gradient least
-squares so that the expected token total of each domain (rate x tokens x posterior) meets its
-target. A step moves a document's rate by the inner product of its posterior with as many
-multipliers as there are domains, so only these few sums travel; the rates themselves are a
-column expression over the posterior and the steps so far.
+A classifier fitted on a labelled table reads a few small integer signals from every document
+and so gives it a posterior over domains. Then nonnegative rates, one for each document, are
+fitted by distributed projected-gradient least squares so that the expected token total of each
+domain (rate x tokens x posterior) meets its target.
+
+The signals take at most ``CELLS`` joint values. Documents in the same cell have the same
+posterior, hence the same gradient and, from the same start, the same rate. So tokens are added
+up by cell once, over all documents, which is exact, and every step is an aggregation over the
+table of cells, whose size does not depend on the corpus. The residuals are weighted by the
+inverse of the domains' token-weighted Gram matrix; in that norm the largest curvature is 1, so
+that a step of 1 is safe and rare domains move as fast as frequent ones.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +32,16 @@ TARGETS = {"clean": 0.90, "junk": 0.04, "toxic": 0.06}
 #: Bounds of the classifier's fit: labelled rows, and terms kept for a domain.
 MAX_TRAIN_ROWS = 20_000
 TERMS = 256
-MIN_DOCS = 6
+MIN_DOCS = 4
 PREFIX = 5
-MAX_STEPS = 40
+#: Signals and how many values each takes; their product bounds the table of cells.
+SIGNALS = {**{f"hits_{d}": 5 for d in DOMAINS}, "signs": 4, "fresh": 5, "length": 3}
+CELLS = math.prod(SIGNALS.values())
+#: Labelled rows that the classifier's own posterior counts for in a cell.
+PRIOR_ROWS = 4.0
+MAX_STEPS = 200
+#: Steps in a row that may bring less than a thousandth.
+PATIENCE = 10
 TOLERANCE = 1e-4
 
 
@@ -40,24 +55,36 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
 
 
+def _beginning(word: Column) -> Column:
+    return F.concat(F.substring(word, 1, PREFIX), F.lit("~"))
+
+
+def _among(items: Column, wanted: Sequence[str]) -> Column:
+    """The items that are in a list of constants, which Spark keeps as one hash set."""
+    return F.filter(items, lambda x: x.isin(list(wanted)))
+
+
 def terms(tokens: Column) -> Column:
     """Distinct words and word beginnings."""
-    return F.array_distinct(F.concat(tokens, F.transform(tokens, lambda w: F.concat(F.substring(w, 1, PREFIX), F.lit("~")))))
+    return F.array_distinct(F.concat(tokens, F.transform(tokens, _beginning)))
 
 
 def signals(text: Column, tokens: Column, listed: Mapping[str, Sequence[str]]) -> dict[str, Column]:
     """Small integer features of one text: hits on each domain's terms, signs, repetition, length."""
     n = F.greatest(F.size(tokens), F.lit(1))
     every = sorted({t for own in listed.values() for t in own})
-    whole, starts = [t for t in every if t[-1] != "~"], [t[:-1] for t in every if t[-1] == "~"]
+    whole, starts = [t for t in every if t[-1] != "~"], [t for t in every if t[-1] == "~"]
     # one pass over the tokens for all domains' terms; what it finds is short
+    none = F.array().cast("array<string>")
     found = F.concat(
-        F.array_intersect(tokens, F.array(*map(F.lit, whole))) if whole else F.array().cast("array<string>"),
-        F.transform(F.array_intersect(F.transform(tokens, lambda w: F.substring(w, 1, PREFIX)), F.array(*map(F.lit, starts))), lambda w: F.concat(w, F.lit("~"))) if starts else F.array().cast("array<string>"),
+        _among(tokens, whole) if whole else none,
+        _among(F.transform(tokens, _beginning), starts) if starts else none,
     )
+    found = F.array_distinct(found)
     out = {}
-    for domain, own in listed.items():
-        hits = F.size(F.array_intersect(found, F.array(*map(F.lit, own)))) if own else F.lit(0)
+    for domain in DOMAINS:
+        own = listed.get(domain)
+        hits = F.size(_among(found, own)) if own else F.lit(0)
         out[f"hits_{domain}"] = F.least(hits, F.lit(4))
     signs = F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[#*$%&|<>!]")) / n
     out["signs"] = F.when(signs == 0, 0).when(signs < 0.2, 1).when(signs < 0.8, 2).otherwise(3)
@@ -68,7 +95,13 @@ def signals(text: Column, tokens: Column, listed: Mapping[str, Sequence[str]]) -
 
 
 class DomainClassifier:
-    """Naive Bayes over ``signals``; ``score`` gives each row one posterior for each domain."""
+    """Naive Bayes over ``signals``, calibrated by cell.
+
+    About MAX_TRAIN_ROWS labelled rows, chosen by a hash of their id, are used. Terms are chosen
+    on one half of them; weights and cell counts come from the other, on which chosen terms look
+    no better than they are. A cell's posterior is its labelled rows' shares, shrunk toward the
+    naive Bayes one as if that were PRIOR_ROWS rows.
+    """
 
     def __init__(self, docs: DataFrame, labels: DataFrame, scratch: Scratch, text_col: str = "text", id_col: str = "doc_id") -> None:
         known = labels.select(F.col(id_col).alias("label_id"), domain_of(F.col("quality"), F.col("toxic")).alias("domain")).where("domain IS NOT NULL AND label_id IS NOT NULL")
@@ -76,131 +109,203 @@ class DomainClassifier:
         if n > MAX_TRAIN_ROWS:
             known = known.where(F.pmod(F.xxhash64(F.col("label_id").cast("string"), F.lit("mixing")), F.lit(1_000_000)) < int(MAX_TRAIN_ROWS / n * 1_000_000))
         texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        sample = scratch.save(texts.join(F.broadcast(known), F.col("id") == F.col("label_id")).select("domain", "text"))  # MAX_TRAIN_ROWS labels, about
-        sizes = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-        total = sum(sizes.values())
-        exploded = sample.select("domain", F.explode(terms(words(F.col("text")))).alias("term"))
-        counts = exploded.groupBy("term").agg(F.count("*").alias("n"), *(F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in DOMAINS)).where(F.col("n") >= MIN_DOCS)
+        half = F.pmod(F.xxhash64(F.col("label_id").cast("string"), F.lit("half")), F.lit(2))
+        labelled = texts.join(F.broadcast(known), F.col("id") == F.col("label_id"))  # MAX_TRAIN_ROWS labels, about
+        sample = scratch.save(labelled.select("domain", "text", half.alias("half")))
+        sizes = {(r["domain"], r["half"]): r["n"] for r in sample.groupBy("domain", "half").agg(F.count("*").alias("n")).collect()}
+        total = sum(sizes.get((d, 0), 0) for d in DOMAINS)
+        exploded = sample.where("half = 0").select("domain", F.explode(terms(words(F.col("text")))).alias("term"))
+        counted = exploded.groupBy("term").agg(F.count("*").alias("n"), *(F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in DOMAINS))
+        counts = scratch.save(counted.where(F.col("n") >= MIN_DOCS))
         self.listed: dict[str, list[str]] = {}
         for d in DOMAINS:
-            share = sizes.get(d, 0) / max(1, total)
+            share = sizes.get((d, 0), 0) / max(1, total)
             lift = (F.col(d) + share) / (F.col("n") + 1) / max(share, 1e-9)
             gain = F.col(d) * F.log(lift)
             best = counts.where(lift > 3).orderBy(F.desc(gain), "term").limit(TERMS) if 0 < share < 0.5 else counts.limit(0)
             self.listed[d] = sorted(r["term"] for r in best.select("term").collect())
-        tokens = words(F.col("text"))
-        marked = sample.select("domain", *(c.alias(k) for k, c in signals(F.col("text"), tokens, self.listed).items()))
-        names = marked.columns[1:]
-        pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.col(k).cast("int").alias("v")) for k in names))
-        table = marked.select("domain", F.explode(pairs).alias("p")).groupBy("domain", "p.k", "p.v").agg(F.count("*").alias("n")).collect()
-        seen = {(r["domain"], r["k"], r["v"]): r["n"] for r in table}
-        width = 5
-        self.prior = {d: math.log((sizes.get(d, 0) + 1) / (total + len(DOMAINS))) for d in DOMAINS}
-        self.weight = {(d, k): [math.log((seen.get((d, k, v), 0) + 0.5) / (sizes.get(d, 0) + 0.5 * width)) for v in range(width)] for d in DOMAINS for k in names}
-
-    def score(self, docs: DataFrame, keep: Sequence[str], text_col: str = "text") -> DataFrame:
-        """``keep`` columns, ``n_tokens`` long and ``p_<domain>`` double of every row."""
+        marked = self._marked(sample.where("half = 1"), ("domain",), "text")
+        self.cells = scratch.save(marked.groupBy("cell").agg(*(F.count(F.when(F.col("domain") == d, 1)).alias(f"rows_{d}") for d in DOMAINS)))  # at most CELLS rows
+        pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), self._signal(k).alias("v")) for k in SIGNALS))).alias("p")
+        seen = self.cells.select(*(f"rows_{d}" for d in DOMAINS), pairs).groupBy("p.k", "p.v").agg(*(F.sum(f"rows_{d}").alias(d) for d in DOMAINS)).collect()
+        at = {(d, r["k"], r["v"]): r[d] for r in seen for d in DOMAINS}
+        mine = {d: sizes.get((d, 1), 0) for d in DOMAINS}
+        self.known = len([d for d in DOMAINS if mine[d]])
+        self.prior = {d: math.log((mine[d] + 0.5) / (sum(mine.values()) + 0.5 * len(DOMAINS))) for d in DOMAINS}
+        for table in (0, 1):  # the labelled texts and their terms; the table of cells is read later
+            scratch.drop(table)
+        self.weight = {(d, k): [math.log((at.get((d, k, v), 0) + 0.5) / (mine[d] + 0.5 * width)) for v in range(width)] for d in DOMAINS for k, width in SIGNALS.items()}
+
+    @staticmethod
+    def _signal(name: str) -> Column:
+        """The value of one signal in ``cell``, whose digits the signals are."""
+        low = 1
+        for k, width in SIGNALS.items():
+            if k == name:
+                return F.pmod(F.floor(F.col("cell") / low), F.lit(width)).cast("int")
+            low *= width
+        raise KeyError(name)
+
+    def _marked(self, docs: DataFrame, keep: Sequence[str], text_col: str) -> DataFrame:
         listed = docs.select(*keep, F.col(text_col).alias("_text"), words(F.col(text_col)).alias("_tokens"))
+        cell, low = F.lit(0), 1
         marks = signals(F.col("_text"), F.col("_tokens"), self.listed)
-        marked = listed.select(*keep, F.size("_tokens").cast("long").alias("n_tokens"), *(c.alias(f"_{k}") for k, c in marks.items()))
+        for k, width in SIGNALS.items():
+            cell = cell + marks[k] * low
+            low *= width
+        return listed.select(*keep, F.size("_tokens").cast("long").alias("n_tokens"), cell.cast("int").alias("cell"))
+
+    def mark(self, docs: DataFrame, keep: Sequence[str], text_col: str = "text") -> DataFrame:
+        """``keep`` columns, ``n_tokens`` long and ``cell`` int of every row: one pass over the texts."""
+        return self._marked(docs, keep, text_col)
+
+    def posteriors(self, cells: DataFrame) -> DataFrame:
+        """``cells`` (at most CELLS rows, one a cell) with ``p_<domain>`` double."""
         logs = []
         for d in DOMAINS:
             score = F.lit(self.prior[d])
-            for k in marks:
-                score = score + F.element_at(F.array(*map(F.lit, self.weight[d, k])), (F.col(f"_{k}") + 1).cast("int"))
+            for k in SIGNALS:
+                score = score + F.element_at(F.array(*map(F.lit, self.weight[d, k])), self._signal(k) + 1)
             logs.append(score.alias(f"_log_{d}"))
-        logged = marked.select(*keep, "n_tokens", *logs)
         top = F.greatest(*(F.col(f"_log_{d}") for d in DOMAINS))
-        shares = [F.exp(F.col(f"_log_{d}") - top) for d in DOMAINS]
-        whole = shares[0] + shares[1] + shares[2]
-        return logged.select(*keep, "n_tokens", *((s / whole).alias(f"p_{d}") for s, d in zip(shares, DOMAINS, strict=True)))
-
-
-def rate_column(steps: Sequence[Sequence[float]], cap: float | None) -> Column:
-    """The rate after all steps: start at 1, move, project onto [0, cap], and so on."""
-    rate: Column = F.lit(1.0)
-    for step in steps:
-        moved = rate
-        for d, m in zip(DOMAINS, step, strict=True):
-            moved = moved - F.col(f"p_{d}") * F.lit(float(m))
-        rate = F.greatest(F.lit(0.0), moved) if cap is None else F.least(F.lit(float(cap)), F.greatest(F.lit(0.0), moved))
-    return rate
-
-
-def _largest_eigenvalue(m: list[list[float]]) -> float:
-    v = [1.0] * len(m)
-    size = 1.0
-    for _ in range(100):
-        w = [sum(a * b for a, b in zip(row, v, strict=True)) for row in m]
-        size = max(map(abs, w)) or 1.0
-        v = [x / size for x in w]
-    return size
-
-
-def fit_rates(members: DataFrame, targets: Mapping[str, float], total: float | None = None, cap: float | None = None) -> list[list[float]]:
-    """Multipliers of each projected-gradient step over a table with ``n_tokens`` and ``p_<domain>``.
-
-    Minimises the sum over domains of (expected tokens - target)^2 / scale, where a domain's scale
-    is the larger of its tokens now and its target, in the norm weighted by tokens, with the step 1 / (largest curvature). ``total``: tokens of the
-    mixture; the table's own by default. Stops within TOLERANCE of all targets, when a step
-    no longer helps, or after MAX_STEPS steps. One aggregation of a few sums a step.
+        own = cells.columns
+        raw = cells.select("*", *logs).select(*own, *(F.exp(F.col(f"_log_{d}") - top).alias(f"_raw_{d}") for d in DOMAINS))
+        whole = sum((F.col(f"_raw_{d}") for d in DOMAINS), F.lit(0.0))
+        seen = self.cells.select(F.col("cell").alias("_seen_cell"), *(F.col(f"rows_{d}") for d in DOMAINS))
+        both = raw.join(F.broadcast(seen), F.col("cell") == F.col("_seen_cell"), "left")  # at most CELLS rows
+        rows = {d: F.coalesce(F.col(f"rows_{d}"), F.lit(0)) for d in DOMAINS}
+        n = sum(rows.values(), F.lit(0))
+        return both.select(*own, *(((rows[d] + PRIOR_ROWS * F.col(f"_raw_{d}") / whole) / (n + PRIOR_ROWS)).alias(f"p_{d}") for d in DOMAINS))
+
+
+def rate_column(steps: Sequence[Sequence[float]], cap: float | None, least: Column | None = None) -> Column:
+    """The rate after all steps: start at 1, move, project onto [``least`` or 0, ``cap``], and so on."""
+    if not steps:
+        return F.lit(1.0)
+    p = [F.col(f"p_{d}") for d in DOMAINS]
+
+    def moved(rate: Column, step: Column) -> Column:
+        new = rate - sum((x * step[i] for i, x in enumerate(p)), F.lit(0.0))
+        low = F.greatest(F.lit(0.0) if least is None else least, new)
+        return low if cap is None else F.least(F.lit(float(cap)), low)
+
+    text = ",".join(f"[{','.join(repr(float(m)) for m in step)}]" for step in steps)  # one literal, however many steps
+    return F.reduce(F.from_json(F.lit(f"[{text}]"), "array<array<double>>"), F.lit(1.0), moved)
+
+
+@dataclass
+class Fit:
+    """Multipliers of each projected-gradient step, and what the rates reach."""
+
+    steps: list[list[float]]
+    wanted: dict[str, float]
+    held: dict[str, float]
+
+    def missed(self) -> float:
+        """The largest miss of a domain's target, as a share of all wanted tokens."""
+        whole = sum(self.wanted.values())
+        return max((abs(self.held[d] - self.wanted[d]) for d in DOMAINS), default=0.0) / whole if whole else 0.0
+
+
+def fit_rates(cells: DataFrame, targets: Mapping[str, float], total: float | None = None, cap: float | None = None, least: Column | None = None) -> Fit:
+    """Projected-gradient steps over a table with ``n_tokens`` and ``p_<domain>``, one row a cell or document.
+
+    Minimises (E - T)' G^-1 (E - T) over rates >= ``least`` or 0 (and <= ``cap``), where E are the domains'
+    expected tokens, T the targets and G the token-weighted Gram matrix of the posteriors, in the
+    norm weighted by tokens. There the largest curvature is 1, so a step of 1 never climbs; a step
+    is longer where the last move found less curvature (most rates at a bound). ``total``: tokens of the mixture; the table's own by
+    default. Stops within TOLERANCE of all targets, when steps no longer help, or after
+    MAX_STEPS; a miss of more than 1 % of all tokens is warned of. One small aggregation a step.
     """
     p = {d: F.col(f"p_{d}") for d in DOMAINS}
     n = F.col("n_tokens")
     grid = [F.sum(n * p[a] * p[b]).alias(f"{a}_{b}") for a in DOMAINS for b in DOMAINS]
-    first = members.agg(F.sum(n).alias("n"), *(F.sum(n * p[d]).alias(d) for d in DOMAINS), *grid).first()
+    first = cells.agg(F.sum(n).alias("n"), *(F.sum(n * p[d]).alias(d) for d in DOMAINS), *grid).first()
     if not first["n"]:
-        return []
-    now = {d: max(float(first[d]), 1e-9) for d in DOMAINS}
-    wanted = {d: targets.get(d, 0.0) * (float(first["n"]) if total is None else total) for d in DOMAINS}
-    scale = {d: max(now[d], wanted[d]) for d in DOMAINS}
-    curve = [[float(first[f"{a}_{b}"]) / math.sqrt(scale[a] * scale[b]) for b in DOMAINS] for a in DOMAINS]
-    rate = 1.0 / _largest_eigenvalue(curve)
-    held = dict(now)
-    steps: list[list[float]] = []
-    loss = math.inf
-    for _ in range(MAX_STEPS):
-        off = {d: held[d] - wanted[d] for d in DOMAINS}
-        new = sum(off[d] ** 2 / scale[d] for d in DOMAINS)
-        if max(abs(x) for x in off.values()) <= TOLERANCE * sum(wanted.values()) or new >= loss * (1 - 1e-3):
+        return Fit([], dict.fromkeys(DOMAINS, 0.0), dict.fromkeys(DOMAINS, 0.0))
+    whole = float(first["n"]) if total is None else total
+    wanted = {d: targets.get(d, 0.0) * whole for d in DOMAINS}
+    held = {d: float(first[d]) for d in DOMAINS}
+    gram = np.array([[float(first[f"{a}_{b}"]) for b in DOMAINS] for a in DOMAINS])
+    inverse = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
+    out = Fit([], wanted, held)
+    losses: list[float] = []
+    size, slow = 1.0, 0
+    while len(out.steps) < MAX_STEPS:
+        off = np.array([out.held[d] - wanted[d] for d in DOMAINS])
+        losses.append(float(off @ inverse @ off))
+        slow = slow + 1 if len(losses) > 1 and losses[-1] >= min(losses[:-1]) * (1 - 1e-3) else 0
+        if out.missed() <= TOLERANCE or slow >= PATIENCE:
             break
-        loss = new
-        steps.append([rate * off[d] / scale[d] for d in DOMAINS])
-        r = rate_column(steps, cap)
-        row = members.agg(*(F.sum(r * n * p[d]).alias(d) for d in DOMAINS)).first()
-        held = {d: float(row[d]) for d in DOMAINS}
-    return steps
+        before = out.held
+        for size in (size, 1.0):  # a long step that climbs above the last losses is taken back
+            trial = [*out.steps, (size * (inverse @ off)).tolist()]
+            rate = F.struct(rate_column(out.steps, cap, least).alias("old"), rate_column(trial, cap, least).alias("new"))
+            moved = n * F.pow(F.col("_rate.new") - F.col("_rate.old"), 2)
+            row = cells.select(n, *p.values(), rate.alias("_rate")).agg(F.sum(moved).alias("_moved"), *(F.sum(F.col("_rate.new") * n * p[d]).alias(d) for d in DOMAINS)).first()
+            new = {d: float(row[d]) for d in DOMAINS}
+            rest = np.array([new[d] - wanted[d] for d in DOMAINS])
+            if size <= 1 or float(rest @ inverse @ rest) <= max(losses[-5:]):
+                break
+        out.steps, out.held = trial, new
+        change = np.array([new[d] - before[d] for d in DOMAINS])
+        curved = float(change @ inverse @ change)
+        size = min(1e4, max(1.0, float(row["_moved"]) / curved)) if curved > 0 else 1.0  # the curvature along the last move
+    if out.missed() > 0.01:
+        warnings.warn(f"mixture misses a target by {out.missed():.1%} of its tokens: the posteriors and bounds allow no better", stacklevel=2)
+    return out
+
+
+def _members(model: DomainClassifier, marked: DataFrame, scratch: Scratch) -> DataFrame:
+    """Tokens by cell, over all rows of ``marked``, with posteriors: at most CELLS rows."""
+    return scratch.save(model.posteriors(marked.groupBy("cell").agg(F.sum("n_tokens").alias("n_tokens"))))
+
+
+def _with_cells(marked: DataFrame, cells: DataFrame, columns: Sequence[Column | str]) -> DataFrame:
+    found = cells.select(F.col("cell").alias("_cell"), *columns)
+    return marked.join(F.broadcast(found), F.col("cell") == F.col("_cell")).drop("cell", "_cell")  # at most CELLS rows
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, total: float | None = None, cap: float | None = None, keep: Sequence[str] = ("doc_id",), text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``keep`` columns, ``n_tokens``, ``p_<domain>`` and ``rate`` (double, >= 0) of every row.
 
     Null and empty texts have no tokens, so any rate suits them; they get one from the same steps.
-    Without labels all posteriors are equal. Repeated rows and null ids count as often as they
-    stand; a label without a document or with a null isn't used. An empty table gives an empty
-    result; other columns are not read.
+    Without labels all posteriors are equal and no step can bring the targets nearer one by one;
+    the rates are then all alike. Repeated rows and null ids count as often as they stand; a label
+    without a document or with a null isn't used. An empty table gives an empty result; other
+    columns are not read. ``keep`` may not name a result column.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    scored = scratch.save(DomainClassifier(docs, labels, scratch, text_col, id_col).score(docs, keep, text_col))
-    steps = fit_rates(scored, targets, total, cap)
-    return scored.withColumn("rate", rate_column(steps, cap))
+    model = DomainClassifier(docs, labels, scratch, text_col, id_col)
+    marked = scratch.save(model.mark(docs, keep, text_col))
+    cells = _members(model, marked, scratch)
+    fit = fit_rates(cells, targets, total, cap)
+    return _with_cells(marked, cells, [*(f"p_{d}" for d in DOMAINS), rate_column(fit.steps, cap).alias("rate")])
 
 
 def mixed_rows(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, text_col: str = "text", id_col: str = "doc_id", sure: float = 0.9) -> DataFrame:
     """The rows of ``docs`` that a mixture without repetition keeps; all their columns.
 
-    The mixture is as large as the domain with the largest target can fill at rate 1. A row
-    stays if its rate is ``sure`` or more, else with the probability rate / sure by a hash of its id.
+    The mixture is as large as the domain with the largest target can fill at rate 1. Rows that
+    belong to this domain more likely than not stay at rate 1, so that targets out of reach cost
+    it nothing; the rates of all others are fitted between 0 and 1. A row stays if its rate is
+    ``sure`` or more, else with the probability rate / sure by a hash of its id. Without labels of two domains at least nothing tells the domains apart, and every row
+    stays; so it does where no target is positive. Equal rows share a draw, null ids draw as the
+    empty id, null and empty texts are weighed by their cell like others. An empty table gives
+    an empty result. Columns of any name pass through as they are.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     model = DomainClassifier(docs, labels, scratch, text_col, id_col)
-    own = docs.columns
-    row = docs.select(F.struct(*own).alias("_row"), F.col(text_col).alias("_mixed_text"), F.col(id_col).cast("string").alias("_mixed_id"))
-    members = scratch.save(model.score(row, (), "_mixed_text"))
-    sums = members.agg(*(F.sum(F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS)).first()
     favoured = max(DOMAINS, key=lambda d: targets.get(d, 0.0))
-    total = float(sums[favoured] or 0.0) / targets[favoured]
-    steps = fit_rates(members, targets, total, 1.0)
-    scored = model.score(row, ("_row", "_mixed_id"), "_mixed_text")
+    if model.known < 2 or targets.get(favoured, 0.0) <= 0:
+        return docs
+    own = docs.columns
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("_row"), F.col(text_col).alias("_mixed_text"), F.col(id_col).cast("string").alias("_mixed_id"))
+    marked = scratch.save(model.mark(row, ("_row", "_mixed_id"), "_mixed_text"))
+    cells = _members(model, marked, scratch)
+    whole = cells.agg(F.sum(F.col("n_tokens") * F.col(f"p_{favoured}")).alias("n")).first()["n"]
+    spared = F.when(F.col(f"p_{favoured}") >= 0.5, 1.0).otherwise(0.0)
+    fit = fit_rates(cells, targets, float(whole or 0.0) / targets[favoured], 1.0, spared)
+    drawn = _with_cells(marked, cells, [rate_column(fit.steps, 1.0, spared).alias("_rate")])
     draw = F.pmod(F.xxhash64(F.coalesce("_mixed_id", F.lit("")), F.lit("draw")), F.lit(1_000_000)) / 1_000_000
-    return scored.where(rate_column(steps, 1.0) > draw * sure).select("_row.*")
+    return drawn.where(F.col("_rate") > draw * sure).select("_row.*")
