@@ -2,10 +2,15 @@
 
 Events of the standard library's streaming parser yield one line for each block. A line's
 text-to-tag ratio is its characters divided by its tags; the ratios are smoothed by a Gaussian
-and lines above a threshold form the content clusters. The content region is the innermost
-container that holds nearly all of the clusters' text; an ``article`` or ``main`` element is
-preferred. All of the region's lines are kept but those in elements that are never content:
-navigation, footers, asides, forms, adverts, notices, reader comments, scripts.
+and lines above a threshold form the content clusters. The clusters' text decides the region:
+of the ``article`` and ``main`` elements those that hold it, on other pages the innermost
+container that holds nearly all of it. Lines of the region stay, short ones too; at its edges,
+outside an article, only clusters and titles do.
+
+Navigation, footers, asides, scripts and other elements that are never content go. Class and id
+names are weak evidence: they count only if each of their words speaks of page furniture, and
+never against a container that holds the article or most of the text in question. All passes are
+linear in the page, however deep it nests.
 """
 
 from __future__ import annotations
@@ -21,129 +26,192 @@ from pyspark.sql import DataFrame
 
 from ._common import pieces, released
 
-# Element and class names of HTML pages.
-SILENT = {"script", "style", "noscript", "template", "title", "head", "svg", "math", "canvas", "iframe", "object", "audio", "video", "textarea", "select", "option", "datalist"}
-BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "button", "dialog", "fieldset", "header"}
-CONTAINERS = {"html", "body", "div", "section", "article", "main", "table", "tbody", "tr", "td", "th", "ul", "ol", "dl", "center", "blockquote", "figure", "details"} | BOILERPLATE
-BLOCKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "address", "hr", "figcaption", "caption", "thead", "tfoot", "summary", "legend", "hgroup", "search"}
+# Element, attribute and class names of HTML pages.
+SILENT = {"script", "style", "noscript", "template", "title", "svg", "math", "canvas", "iframe", "object", "audio", "video", "textarea", "select", "datalist"}
+#: Silent elements that hold no blocks: one that starts in them shows that they were never closed.
+FLAT = {"svg", "math", "select", "datalist", "title", "textarea"}
+NEVER = {"nav", "footer", "aside", "menu", "button", "dialog"}
+FORMS = {"form", "fieldset"}
+CONTAINERS = {"html", "body", "div", "section", "article", "main", "table", "tbody", "tr", "td", "th", "ul", "ol", "li", "dl", "center", "blockquote", "figure", "details", "header"} | NEVER | FORMS
+BLOCKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "pre", "address", "hr", "figcaption", "caption", "thead", "tfoot", "summary", "legend", "hgroup", "search"}
+PAGE = {"html", "body", "article", "main"}
+#: Elements that end where such a one starts; a paragraph ends at every block.
+LOOSE = {"p"}
+IMPLIED = {"li": {"p", "li"}, "td": {"p", "td", "th"}, "th": {"p", "td", "th"}, "tr": {"p", "td", "th", "tr"}}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|sidebar|side-?bar|rail|nav|navbar|navigation|menu|"
-    r"breadcrumb|breadcrumbs|footer|header|masthead|topbar|comment|comments|commentlist|disqus|replies|respond|cookie|cookies|consent|gdpr|notice|notices|"
-    r"alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|widget|pagination|pager|search|toolbar|copyright|disclaimer|skip)(?:$|[\s_-])",
-    re.IGNORECASE,
-)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar"}
+COMMENTS = set("comment comments commentlist disqus replies reply respond".split())
+FURNITURE = COMMENTS | set(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adbox banner banners sponsor sponsored promo promos promotion sidebar side rail nav navbar navigation menu menus "
+    "breadcrumb breadcrumbs footer masthead topbar header cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login "
+    "share sharing social related recommended recommendations widget widgets pagination pager search toolbar copyright disclaimer skip".split()
+)
+#: Words that say nothing beside those: "sidebar-content" is furniture, "social-history" isn't.
+NEUTRAL = set(
+    "box wrapper wrap container list area section block item items inner outer bar button buttons link links site page global main left right top bottom primary secondary "
+    "form panel group row column slot zone region module component content body text title heading label icons post posts article articles entry story stories more thread small large "
+    "sticky fixed by to the of and us our media policy message messages tools follow".split()
+)
+#: Beside one of these "header" is the header of the text, not of the page.
+OWN_HEADER = {"post", "article", "entry", "story", "title"}
 SIGMA = 1.0
+_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+_NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+_SURE, _WEAK, _COMMENT, _HEADER = 1, 2, 4, 8
+
+
+def named(value: str) -> int:
+    """Weak evidence of a class or id value: 0, or _WEAK, _COMMENT and _HEADER added up."""
+    if not value:
+        return 0
+    out, own = 0, False
+    for token in value.split():
+        words = [w.lower() for w in _WORDS.findall(token) if not w.isdigit()]
+        own = own or not OWN_HEADER.isdisjoint(words)
+        said = {w for w in words if w in FURNITURE}
+        if not said or any(w not in FURNITURE and w not in NEUTRAL for w in words):
+            continue
+        out |= _HEADER if said == {"header"} else _COMMENT | _WEAK if said & COMMENTS else _WEAK
+    return out & ~_HEADER if own else out
 
 
 @dataclass
 class Line:
-    """One block of a page: its text, how many tags it took, and the containers around it."""
+    """One block of a page: its text, how many tags it took, and where it stands."""
 
     text: str
     tags: int
-    path: tuple[int, ...]
-    barred: bool
-    heading: bool
-
-
-@dataclass
-class _Open:
-    name: str
-    id: int
-    barred: bool
-    header: bool = False
+    box: int
+    heading: str
+    hidden: int
+    linked: int
 
 
 @dataclass
 class LineReader(HTMLParser):
     """Turns parser events into lines; keeps a stack of containers only, so that unclosed
-    paragraphs and inline tags do no harm."""
+    paragraphs and inline tags do no harm. Boxes are numbered from 0, parents before children."""
 
     lines: list[Line] = field(default_factory=list)
-    main: set[int] = field(default_factory=set)
 
     def __post_init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[_Open] = []
-        self.silent: list[str] = []
+        self.parent, self.name, self.bars = [-1], [""], [0]
+        self.stack = [0]
+        self.at: dict[str, list[int]] = {}  # places in the stack, by name
+        self.silent: list[tuple[str, int, int]] = []  # name, number, height of the stack
+        self.closed: set[int] = set()  # silent elements that were closed, so what they held goes
+        self.n_silent = 0
         self.text: list[str] = []
-        self.tags = 0
-        self.heading = False
-        self.n = 0
+        self.tags = self.linked = 0
+        self.heading = ""
+        self.in_link = False
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            barred = any(x.barred for x in self.stack)
-            if not barred and any(x.header for x in self.stack):
-                inside = any(x.id in self.main for x in self.stack)
-                barred = not (inside and self.heading)  # an article's own header holds its title
-            self.lines.append(Line(text, max(1, self.tags), tuple(x.id for x in self.stack), barred, self.heading))
+            self.lines.append(Line(text, max(1, self.tags), self.stack[-1], self.heading, self.silent[-1][1] if self.silent else 0, self.linked))
             self.tags = 0
-        self.text = []
+        self.text, self.linked = [], 0
+
+    def _end_silent(self, count: int, closed: bool) -> None:
+        self.flush()
+        for _ in range(count):
+            _, number, height = self.silent.pop()
+            if closed:
+                self.closed.add(number)
+                self._cut(height)
+
+    def _cut(self, height: int) -> None:
+        """Close the containers above this height of the stack."""
+        while len(self.stack) > height:
+            self.at[self.name[self.stack.pop()]].pop()
+
+    def _open(self, tag: str, bars: int) -> None:
+        self.parent.append(self.stack[-1])
+        self.name.append(tag)
+        self.bars.append(bars)
+        self.at.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(len(self.name) - 1)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in SILENT:
-            if tag not in ("head", "option"):
-                self.silent.append(tag)
+            self.flush()
+            self.n_silent += 1
+            self.silent.append((tag, self.n_silent, len(self.stack)))
             return
-        if self.silent:
+        if self.silent and tag in BLOCKS and self.silent[-1][0] in FLAT:
+            self._end_silent(1, True)
+        if self.silent and tag not in BLOCKS:
+            self.text.append(" ")
             return
         self.tags += 1
         if tag == "br":
             self.text.append("\n")
+        if tag == "a":
+            self.in_link = True
         if tag not in BLOCKS:
             return
         self.flush()
+        while self.name[self.stack[-1]] in IMPLIED.get(tag, LOOSE):
+            self._cut(len(self.stack) - 1)
         if tag in HEADINGS:
-            self.heading = True
+            self.heading = tag
         elif tag not in VOID:
-            self.heading = False
-        if tag in CONTAINERS:
-            named = {k: v or "" for k, v in attrs}
-            barred = tag in BOILERPLATE - {"header"} or named.get("role", "").lower() in ROLES or "hidden" in named
-            if tag not in ("html", "body", "article", "main"):
-                barred = barred or any(NAMES.search(named.get(k, "")) for k in ("class", "id"))
-            self.n += 1
-            self.stack.append(_Open(tag, self.n, barred, tag == "header"))
-            if tag in ("article", "main") and not any(x.barred for x in self.stack):
-                self.main.add(self.n)
+            self.heading = ""
+        own = {k: v or "" for k, v in attrs}
+        bars = 0
+        if tag in NEVER or tag not in PAGE and own.get("role", "").lower() in ROLES or "hidden" in own or _NONE.search(own.get("style", "")):
+            bars |= _SURE
+        if tag in FORMS:
+            bars |= _WEAK
+        if tag == "header":
+            bars |= _HEADER
+        if tag not in PAGE or tag == "article":
+            bars |= named(own.get("class", "")) | named(own.get("id", ""))
+        if tag in CONTAINERS or tag == "p" and bars:
+            self._open(tag, bars)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:  # HTML ignores the slash
-            self.handle_starttag(tag, attrs)
+        if tag in ("svg", "math"):
+            return
+        self.handle_starttag(tag, attrs)  # HTML ignores the slash
 
     def handle_endtag(self, tag: str) -> None:
         if self.silent:
-            if tag in self.silent:
-                while self.silent.pop() != tag:
-                    pass
-            return
+            if tag in SILENT:
+                k = next((k for k in range(len(self.silent) - 1, -1, -1) if self.silent[k][0] == tag), None)
+                if k is not None:
+                    self._end_silent(len(self.silent) - k, True)
+                return
+            if self.at.get(tag):
+                place = self.at[tag][-1]
+                while self.silent and place < self.silent[-1][2]:  # the element around it ends: it was never closed
+                    self._end_silent(1, self.silent[-1][0] in FLAT)
+        if tag == "a":
+            self.in_link = False
         if tag not in BLOCKS:
             self.tags += 1
             return
         self.flush()
         self.tags += 1
         if tag in HEADINGS:
-            self.heading = False
-        if tag in CONTAINERS:
-            for k in range(len(self.stack) - 1, -1, -1):
-                if self.stack[k].name == tag:
-                    del self.stack[k:]
-                    break
+            self.heading = ""
+        if self.at.get(tag):
+            self._cut(self.at[tag][-1])
 
     def handle_data(self, data: str) -> None:
-        if not self.silent:
-            self.text.append(data)
+        self.text.append(data)
+        if self.in_link:
+            self.linked += len(data)
 
     def close(self) -> None:
         super().close()
         self.flush()
+        for name, number, _ in self.silent:
+            if name in FLAT:
+                self.closed.add(number)
 
 
 def smooth(values: Sequence[float], sigma: float = SIGMA) -> list[float]:
@@ -161,40 +229,107 @@ def smooth(values: Sequence[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def content_lines(lines: Sequence[Line], main: set[int]) -> list[Line]:
+class _Boxes:
+    """Sums and marks over the tree of containers, each in one pass."""
+
+    def __init__(self, page: LineReader) -> None:
+        self.parent, self.name, self.bars = page.parent, page.name, list(page.bars)
+
+    def mass(self, lines: Sequence[Line]) -> list[int]:
+        """Characters of the lines in each box, inner boxes included."""
+        out = [0] * len(self.parent)
+        for x in lines:
+            out[x.box] += len(x.text)
+        for i in range(len(out) - 1, 0, -1):
+            out[self.parent[i]] += out[i]
+        return out
+
+    def inside(self, roots: set[int]) -> list[int]:
+        """For each box the outermost of ``roots`` that holds it, or -1."""
+        out = [-1] * len(self.parent)
+        for i in range(len(out)):
+            up = out[self.parent[i]] if i else -1
+            out[i] = up if up >= 0 else i if i in roots else -1
+        return out
+
+    def holds(self, marked: set[int]) -> list[bool]:
+        """Which boxes have a marked one somewhere inside."""
+        out = [False] * len(self.parent)
+        for i in range(len(out) - 1, 0, -1):
+            if out[i] or i in marked:
+                out[self.parent[i]] = True
+        return out
+
+
+def content_lines(page: LineReader) -> list[Line]:
     """The lines of the content region, in page order."""
-    free = [x for x in lines if not x.barred]
-    if not free:
+    boxes = _Boxes(page)
+    lines = [x for x in page.lines if x.hidden not in page.closed]
+    bars = boxes.bars
+    sure = boxes.inside({i for i, b in enumerate(bars) if b & _SURE})
+    comments = boxes.inside({i for i, b in enumerate(bars) if b & _COMMENT})
+    mains = {i for i, name in enumerate(boxes.name) if name in ("article", "main") and sure[i] < 0 and comments[i] < 0 and not bars[i] & _WEAK}
+    in_main, in_article = boxes.inside(mains), boxes.inside({i for i in mains if boxes.name[i] == "article"})
+    around = boxes.holds(mains)
+    weak = {i for i, b in enumerate(bars) if b & _COMMENT or b & _WEAK and not around[i] or b & _HEADER and in_article[i] < 0 and not around[i]}
+
+    def free() -> list[Line]:
+        under = boxes.inside(weak)
+        titles = lambda x: x.heading and bars[under[x.box]] == _HEADER and in_main[under[x.box]] >= 0  # noqa: E731  the header of a main
+        return [x for x in lines if sure[x.box] < 0 and (under[x.box] < 0 or titles(x))]
+
+    left = free()
+    # names must not empty the article, or a page without one: what holds half of its text stays
+    scope = [x for x in lines if sure[x.box] < 0 and (not mains or in_main[x.box] >= 0)]
+    whole = sum(len(x.text) for x in scope)
+    mass = boxes.mass(scope)
+    for spared in (_COMMENT, 0):
+        kept = sum(len(x.text) for x in left if not mains or in_main[x.box] >= 0)
+        if kept < 0.25 * whole and (spared or not kept):
+            weak = {i for i in weak if bars[i] & spared or 2 * mass[i] < whole}
+            left = free()
+    if not left:
         return []
-    ratio = smooth([len(x.text) / x.tags if not x.barred else 0.0 for x in lines])
+
+    own = {id(x) for x in left}
+    ratio = smooth([len(x.text) / x.tags if id(x) in own else 0.0 for x in lines])
     mean = sum(ratio) / len(ratio)
     spread = math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio))
-    chosen = [x for x, r in zip(lines, ratio, strict=True) if not x.barred and r >= min(spread, mean)] or free
-    mass: dict[int, int] = {}
-    for x in chosen:
-        for c in x.path:
-            mass[c] = mass.get(c, 0) + len(x.text)
+    cluster = {id(x) for x, r in zip(lines, ratio, strict=True) if id(x) in own and r >= min(spread, mean)} or own
+    chosen = [x for x in left if id(x) in cluster]
     total = sum(len(x.text) for x in chosen)
-    inside = {c for c in main if mass.get(c)}
-    if inside and sum(len(x.text) for x in chosen if inside & set(x.path)) >= 0.3 * total:
-        region = max(inside, key=lambda c: (mass[c], -c))
-        return [x for x in free if region in x.path]
-    holders = [c for c, m in mass.items() if m >= 0.8 * total]
-    if not holders:
-        return free
-    depth = {c: i for x in chosen for i, c in enumerate(x.path)}
-    region = max(holders, key=lambda c: (depth[c], -c))
-    return [x for x in free if region in x.path]
+    mass = boxes.mass(chosen)
+    barred = boxes.inside(weak)
+    roots = {i for i in mains if barred[i] < 0 and mass[i]}
+    outer = boxes.inside(roots)
+    tops = {outer[i] for i in roots}
+    if tops and sum(mass[i] for i in tops) >= 0.3 * total:
+        most = max(mass[i] for i in tops)
+        tops = {i for i in tops if 3 * mass[i] >= most}
+        within = [x for x in left if outer[x.box] in tops]
+        article = boxes.inside({i for i in roots if boxes.name[i] == "article"})
+        if 2 * sum(len(x.text) for x in within if article[x.box] >= 0) >= sum(len(x.text) for x in within):
+            return [x for x in within if article[x.box] >= 0 or x.heading == "h1"]  # a main around its article: of the rest only the title
+        return within
+    holders = [i for i, m in enumerate(mass) if m >= 0.8 * total]  # they are nested, the innermost last
+    region = boxes.inside({max(holders)} if holders else {0})
+    rest = [x for x in left if region[x.box] >= 0 or x.heading == "h1"]  # a title may stand before the container
+    at = [k for k, x in enumerate(rest) if id(x) in cluster]
+    first, last = (at[0], at[-1]) if at else (0, len(rest) - 1)
+    while first and rest[first - 1].heading:
+        first -= 1
+    menu = lambda x: id(x) not in cluster and not x.heading and 10 * x.linked >= 9 * len(x.text)
+    return [x for k, x in enumerate(rest) if x.heading == "h1" or first <= k <= last and not menu(x)]
 
 
 def extract_text(html: str | None) -> str:
     """The main text of one page, blocks joined by a blank line; empty if there is none."""
     if not html:
         return ""
-    reader = LineReader()
-    reader.feed(html)
-    reader.close()
-    return "\n\n".join(x.text for x in content_lines(reader.lines, reader.main))
+    page = LineReader()
+    page.feed(html)
+    page.close()
+    return "\n\n".join(x.text for x in content_lines(page))
 
 
 def html_extract(pages: DataFrame, html_col: str = "html", id_cols: Sequence[str] = ("page_id", "url")) -> DataFrame:
