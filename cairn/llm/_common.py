@@ -6,6 +6,8 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -61,8 +63,9 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 class Scratch:
     """Tables written to the shared checkpoint folder, which cut lineage and survive lost executors.
 
-    The folder is the one that the session names in ``spark.checkpoint.dir``; where none is
-    set (tests on one machine) Spark's own default applies. Tables go when ``drop`` is called
+    The folder is the one that the session names in ``spark.checkpoint.dir``. Only a session on
+    one machine may go without, as in tests; it gets a temporary folder. Elsewhere that would be
+    a folder that other machines can't see, so it is an error. Tables go when ``drop`` is called
     or when the session ends.
     """
 
@@ -70,7 +73,10 @@ class Scratch:
         self.spark = spark
         base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
         if base is None:
-            spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+            master = spark.sparkContext.master
+            if not re.fullmatch(r"local(\[.*\])?", master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-"))
             base = spark.sparkContext.getCheckpointDir()
         self.root = f"{base}/{name}-{uuid.uuid4().hex}"
         self.n = 0

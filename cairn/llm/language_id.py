@@ -1,14 +1,16 @@
 """Language identification by language-bitmask n-gram filters.
 
 Each language's frequent byte n-grams go into one bit-sliced Bloom filter: a table of 64-bit
-words in which bit l of a word says that language l has set this position. The AND of an
-n-gram's words is the set of all languages that contain it. Per text, the set bits are counted
-for each language, the counts are corrected for the filter's false positives (estimated from
-its fill), and the language with the largest corrected share wins.
+words in which bit l of a word says that language l has set this position; every further 64
+languages add one word a position. The AND of an n-gram's words is the set of all languages
+that contain it. Per text, the set bits are counted for each language, the counts are corrected
+for the filter's false positives (estimated from its fill), and the language with the largest
+corrected share wins.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -29,7 +31,7 @@ MAX_DOCS_PER_LANGUAGE = 4000
 MIN_SHARE = 1 / 20_000
 BITS = 19
 HASHES = 3
-MAX_LANGUAGES = 64
+WORD = 64
 UND = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -59,7 +61,8 @@ def positions(keys: np.ndarray, bits: int = BITS) -> list[np.ndarray]:
 
 @dataclass
 class LanguageFilters:
-    """The fitted filters: ``languages`` by bit, the bit-sliced table, and false-positive rates."""
+    """The fitted filters: ``languages`` by bit, the bit-sliced tables (one row of 2 ** BITS words
+    for each 64 languages, so 64 KB a language), and false-positive rates."""
 
     languages: list[str]
     words: np.ndarray
@@ -68,34 +71,35 @@ class LanguageFilters:
     @classmethod
     def build(cls, grams: dict[str, np.ndarray], order: Sequence[str]) -> LanguageFilters:
         """``grams``: each language's keys; ``order``: languages from the most to the least frequent."""
-        if len(order) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
-        words = np.zeros(1 << BITS, dtype=np.uint64)
+        words = np.zeros((max(1, -(-len(order) // WORD)), 1 << BITS), dtype=np.uint64)
         rate = np.zeros(len(order))
-        for bit, lang in enumerate(order):
+        for i, lang in enumerate(order):
+            row, bit = words[i // WORD], np.uint64(i % WORD)
             for at in positions(grams.get(lang, np.zeros(0, np.uint32))):
-                words[at] |= np.uint64(1 << bit)
-            rate[bit] = float(((words >> np.uint64(bit)) & np.uint64(1)).mean()) ** HASHES
+                row[at] |= np.uint64(1) << bit
+            rate[i] = float(((row >> bit) & np.uint64(1)).mean()) ** HASHES
         return cls(list(order), words, rate)
 
+    def masks(self, keys: np.ndarray) -> list[np.ndarray]:
+        """For each n-gram the bits of the languages that contain it, 64 languages a row."""
+        a, b, c = positions(keys)
+        return [row[a] & row[b] & row[c] for row in self.words]
+
     def shares(self, texts: Sequence[str | None]) -> np.ndarray:
         """For each text and language, the corrected share of the text's n-grams in the filter."""
         keys, starts = gram_keys(texts)
-        a, b, c = positions(keys)
-        masks = self.words[a]
-        masks &= self.words[b]
-        masks &= self.words[c]
+        masks = self.masks(keys)
         ends = starts[1:] - (GRAM - 1)
         edges = np.empty(2 * len(texts), dtype=np.int64)
         edges[0::2], edges[1::2] = starts[:-1], np.maximum(ends, starts[:-1])
         total = np.maximum(1, ends - starts[:-1])
         out = np.zeros((len(texts), len(self.languages)))
-        for bit in range(len(self.languages)):
-            hits = ((masks >> np.uint64(bit)) & np.uint64(1)).astype(np.int32)
+        for i in range(len(self.languages)):
+            hits = ((masks[i // WORD] >> np.uint64(i % WORD)) & np.uint64(1)).astype(np.int32)
             count = np.add.reduceat(np.append(hits, 0), edges)[0::2]
             count = np.where(ends > starts[:-1], count, 0)
-            rate = min(self.false_rate[bit], 0.999)
-            out[:, bit] = np.clip((count / total - rate) / (1 - rate), 0.0, 1.0)
+            rate = min(self.false_rate[i], 0.999)
+            out[:, i] = np.clip((count / total - rate) / (1 - rate), 0.0, 1.0)
         return out
 
     def predict(self, texts: Sequence[str | None]) -> tuple[list[str], list[float]]:
@@ -120,19 +124,21 @@ def fit_filters(
     """Fit on the rows of ``labelled`` with a text and a language.
 
     At most about ``max_docs`` rows a language are used, chosen by a hash of the id; within
-    them every n-gram counts. What reaches the driver is at most 1 / ``min_share`` keys for
-    each of at most 64 languages.
+    them every n-gram counts. What reaches the driver is one row a language and at most
+    1 / ``min_share`` keys for each.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counted = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
-    counts = {r["lang"]: r["n"] for r in counted.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()}
+    counted = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n"))
+    counts = {r["lang"]: r["n"] for r in counted.orderBy(F.desc("n"), "lang").collect()}
     if not counts:
-        return LanguageFilters([], np.zeros(1 << BITS, np.uint64), np.zeros(0))
+        return LanguageFilters([], np.zeros((1, 1 << BITS), np.uint64), np.zeros(0))
     bucket = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for lang, n in counts.items():
-        chosen = chosen | ((F.col(lang_col) == lang) & (bucket < max(1, int(min(1.0, max_docs / n) * 1_000_000))))
-    sample = rows.where(chosen).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    common = {lang: max(1, int(max_docs / n * 1_000_000)) for lang, n in counts.items() if n > max_docs}  # the others come whole
+    taken = F.lit(1_000_000)
+    if common:
+        parts = F.map_from_arrays(F.from_json(F.lit(json.dumps(list(common))), "array<string>"), F.from_json(F.lit(json.dumps(list(common.values()))), "array<int>"))
+        taken = F.coalesce(parts[F.col(lang_col).cast("string")], taken)
+    sample = rows.where(bucket < taken).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -169,6 +175,16 @@ def fit_filters(
     return LanguageFilters.build({k: np.array(v, dtype=np.uint32) for k, v in kept.items()}, list(counts))
 
 
+def _shared(spark: SparkSession, filters: LanguageFilters):
+    """A broadcast of the filters: 64 KB a language, whatever the corpus."""
+    return spark.sparkContext.broadcast((filters.languages, filters.words.tobytes(), filters.false_rate.tolist()))
+
+
+def _own(value: tuple[list[str], bytes, list[float]]) -> LanguageFilters:
+    langs, words, rate = value
+    return LanguageFilters(langs, np.frombuffer(words, dtype=np.uint64).reshape(-1, 1 << BITS), np.array(rate))
+
+
 def identify_languages(docs: DataFrame, filters: LanguageFilters, text_col: str = "text", id_cols: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``id_cols``, ``lang_pred`` string and ``score`` double (0 to 1) of every row, from its text alone.
 
@@ -179,11 +195,10 @@ def identify_languages(docs: DataFrame, filters: LanguageFilters, text_col: str
     ids = list(id_cols)
     source = docs.select(*ids, text_col)
     schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in ids) + ", lang_pred string, score double"
-    shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.words.tobytes(), filters.false_rate.tolist()))  # 4 MB by construction
+    shared = _shared(docs.sparkSession, filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, words, rate = shared.value
-        own = LanguageFilters(langs, np.frombuffer(words, dtype=np.uint64), np.array(rate))
+        own = _own(shared.value)
         for batch in pieces(batches, 128):
             pred, score = own.predict(batch.column(len(ids)).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(ids))), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*ids, "lang_pred", "score"])
@@ -193,12 +208,11 @@ def identify_languages(docs: DataFrame, filters: LanguageFilters, text_col: str
 
 def language_column(spark: SparkSession, filters: LanguageFilters, text: Column) -> Column:
     """The prediction as a column, struct<lang_pred, score>, so that rows keep all their columns."""
-    shared = spark.sparkContext.broadcast((filters.languages, filters.words.tobytes(), filters.false_rate.tolist()))
+    shared = _shared(spark, filters)
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        langs, words, rate = shared.value
-        own = LanguageFilters(langs, np.frombuffer(words, dtype=np.uint64), np.array(rate))
+        own = _own(shared.value)
         for part in parts:
             found = [own.predict(part.iloc[k : k + 128].tolist()) for k in range(0, len(part), 128)]
             yield pd.DataFrame({"lang_pred": [x for f in found for x in f[0]], "score": [x for f in found for x in f[1]]})
@@ -210,7 +224,11 @@ def language_column(spark: SparkSession, filters: LanguageFilters, text: Column)
 def language_id(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", folds: int = 4, held_fold: int = 2) -> DataFrame:
     """Fit on the rows outside the held-out fold, then predict every row.
 
-    Result: ``doc_id``, ``held_out`` boolean, ``lang_pred``, ``score``.
+    Result: ``doc_id``, ``held_out`` boolean, ``lang_pred``, ``score``. Rows without a text or a
+    language teach nothing; null texts and those without a letter are ``und`` with score 0. Where
+    nothing can be learned every row is ``und``. Any number of languages may occur; ties go to the
+    one with more training rows, then by name. Repeated rows and null ids come back as they are;
+    an empty table gives an empty result; other columns are not read.
     """
     held = fold(F.col(id_col), folds) == held_fold
     filters = fit_filters(docs.where(~held), text_col, lang_col, id_col)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import pieces, release, released
+from ._text import WordHasher
 
 SYMBOLS = b"#*$%&|<>"
 #: n-gram length in words -> largest share of word characters that repeated n-grams may cover.
@@ -25,6 +26,7 @@ SYMBOL_LIMIT = 0.25
 BASE_WINDOW = 8
 
 _STEP = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+_hasher = WordHasher()
 _powers = np.ones(1, dtype=np.uint64)
 _inverse = np.ones(1, dtype=np.uint64)
 
@@ -90,7 +92,7 @@ def measure(text: str | None, lengths: Sequence[int] = tuple(COVER_LIMITS)) -> d
     want = sorted({BASE_WINDOW, *lengths})
     cover = {k: np.zeros(0, bool) for k in want}
     if n:
-        hashes = np.fromiter(map(hash, words), dtype=np.int64, count=n).view(np.uint64)
+        hashes = _hasher.array(words)
         cover = repeated_words(hashes, want)
     out["n_repeat_words"] = int(cover[BASE_WINDOW].sum())
     total = max(1, int(sizes.sum()))
@@ -153,7 +155,10 @@ def quality_rules(
 
 
 def kept_column(text: Column, cover_limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT, symbol_limit: float = SYMBOL_LIMIT) -> Column:
-    """The verdict as a boolean column, so that rows keep all their columns."""
+    """The verdict as a boolean column, so that rows keep all their columns.
+
+    Null, empty and blank texts have no words and are false; equal texts have equal verdicts.
+    """
     limits = dict(COVER_LIMITS if cover_limits is None else cover_limits)
     lengths = sorted(limits)
 
