@@ -6,8 +6,9 @@ escapes to the next shorter context, in which the bytes just ruled out are exclu
 uniform order -1. Escape is estimated by method D: each distinct byte of a context gives half an
 occurrence to the escape.
 
-A byte's code length depends on itself and the ORDER bytes before it only. Chunks of documents
-send their distinct strings of ORDER + 1 bytes with training counts to buckets by the last
+A byte's code length depends on itself and the ORDER bytes before it only. Chunks of documents,
+of so many bytes of text that rows between chunks and buckets stay large enough (their number
+grows with the input, not its square), send their distinct strings of ORDER + 1 bytes with training counts to buckets by the last
 LOW + 1 bytes of the context, so that a bucket holds all of each context longer than LOW; it
 sends each chunk its own strings' code lengths back. Orders up to LOW have 2 ** 24 possible
 nodes at any input size; they are counted first and broadcast whole.
@@ -20,13 +21,16 @@ word's count over all training texts: these go the same way, by the words' hashe
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +39,10 @@ from ._text import mix, words_of
 
 ORDER = 5
 LOW = 2  # longest context that is broadcast
-#: Documents in a chunk, about.
-CHUNK_DOCS = 4096
+#: Bytes of text in a chunk, about: the least, and the most that a chunk grows to on large inputs.
+CHUNK_BYTES = (12 << 20, 192 << 20)
+#: Bytes of a row between a chunk and a bucket, about, and packed bytes for each byte of text.
+ROW_BYTES, PACKED = 4096, 2.4
 TAKEN = 0.5  # of each distinct byte's count, for the escape
 END = b"\n"  # no word holds one
 
@@ -290,7 +296,36 @@ def _cuts(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-_scorers: dict[str, PpmScorer] = {}
+@lru_cache(maxsize=1)
+def _low_scorer(fit: str) -> PpmScorer:
+    """The scorer of the broadcast orders of one fit; a worker builds it once, not once a task."""
+    return PpmScorer(_low[fit].value)
+
+
+_low: dict[str, Broadcast] = {}
+
+
+def low_scorer(fit: str, shared: Broadcast) -> PpmScorer:
+    """This module's own function, so that task functions share its memory of the last fit."""
+    if fit not in _low:
+        _low.clear()
+        _low[fit] = shared
+    return _low_scorer(fit)
+
+
+def layout(total_bytes: int, least: int) -> tuple[int, int]:
+    """Chunks and buckets for so many bytes of text; ``least`` buckets at least."""
+    size = min(CHUNK_BYTES[1], max(CHUNK_BYTES[0], int(math.sqrt(total_bytes * ROW_BYTES / PACKED))))
+    chunks = max(1, -(-total_bytes // size))
+    buckets = min(max(least, chunks), max(least, int(size * PACKED / ROW_BYTES)))
+    return chunks, buckets
+
+
+def in_order(docs: DataFrame) -> bool:
+    """Whether reading ``docs`` again yields the same rows in the same order: a plain scan of files does."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    kinds = {m for line in plan.splitlines() for m in re.findall(r"^[\s:+\-]*([A-Z]\w+)", line)}
+    return "Relation" in plan and kinds <= {"Project", "Filter", "Relation"}
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -314,10 +349,10 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_fold: int = 1, text_col: str
     held = fold(F.col(id_col), folds) == held_fold
     rows = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    n_docs = docs.count()
-    chunks = max(1, -(-n_docs // CHUNK_DOCS))
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(least, chunks)
+    if not in_order(docs):  # a lost task made anew could deal its rows out differently
+        rows = scratch.save(rows)
+    total_bytes = rows.agg(F.coalesce(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1), F.lit(0)).alias("n")).first()["n"]
+    chunks, buckets = layout(total_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shared = spark.sparkContext.broadcast(fit_low(rows.where(~F.col("held_out"))))
     fitted = scratch.root
 
@@ -367,12 +402,9 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_fold: int = 1, text_col: str
         all_keys, all_counts = _add_up(keys, counts)
         back = [all_counts[np.searchsorted(all_keys, k)] for k in keys]
         n = len(keys)  # the bucket's own totals stand on its first row
-        if fitted not in _scorers:
-            _scorers.clear()
-            _scorers[fitted] = PpmScorer(shared.value)
         strings = [unpack(x, "<u8") for x in table.column("strings").to_pylist()]
         all_strings, all_seen = _add_up(strings, [unpack(x, "<i8") for x in table.column("seen").to_pylist()])
-        bits = code_lengths(all_strings, all_seen, _scorers[fitted], shared.value.total)
+        bits = code_lengths(all_strings, all_seen, low_scorer(fitted, shared), shared.value.total)
         return pa.table(
             {
                 "chunk": table.column("chunk").cast(pa.int32()),
