@@ -69,29 +69,29 @@ def terms(tokens: Column) -> Column:
     return F.array_distinct(F.concat(tokens, F.transform(tokens, _beginning)))
 
 
-def signals(text: Column, tokens: Column, listed: Mapping[str, Sequence[str]]) -> dict[str, Column]:
-    """Small integer features of one text: hits on each domain's terms, signs, repetition, length."""
-    n = F.greatest(F.size(tokens), F.lit(1))
+def signals(docs: DataFrame, keep: Sequence[str], text_col: str, listed: Mapping[str, Sequence[str]]) -> DataFrame:
+    """``keep``, ``n_tokens`` and the SIGNALS of each text: small integers for the hits on each
+    domain's terms, signs, repetition and length. What several signals use is a column of its
+    own first, so that it is computed once; terms are looked up among the distinct tokens only.
+    """
     every = sorted({t for own in listed.values() for t in own})
     whole, starts = [t for t in every if t[-1] != "~"], [t for t in every if t[-1] == "~"]
-    # one pass over the tokens for all domains' terms; what it finds is short
     none = F.array().cast("array<string>")
-    found = F.concat(
-        _among(tokens, whole) if whole else none,
-        _among(F.transform(tokens, _beginning), starts) if starts else none,
-    )
-    found = F.array_distinct(found)
+    d = docs.select(*keep, F.col(text_col).alias("_text"), words(F.col(text_col)).alias("_tokens"))
+    signs = F.regexp_count(F.coalesce("_text", F.lit("")), F.lit("[#*$%&|<>!]"))
+    d = d.select(*keep, F.size("_tokens").alias("_n"), signs.alias("_signs"), F.array_distinct("_tokens").alias("_distinct"))
+    found = F.concat(_among(F.col("_distinct"), whole) if whole else none, _among(F.transform("_distinct", _beginning), starts) if starts else none)
+    n = F.greatest("_n", F.lit(1))
+    d = d.select(*keep, "_n", (F.col("_signs") / n).alias("_signs"), (F.size("_distinct") / n).alias("_fresh"), F.array_distinct(found).alias("_found"))
     out = {}
     for domain in DOMAINS:
         own = listed.get(domain)
-        hits = F.size(_among(found, own)) if own else F.lit(0)
-        out[f"hits_{domain}"] = F.least(hits, F.lit(4))
-    signs = F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[#*$%&|<>!]")) / n
+        out[f"hits_{domain}"] = F.least(F.size(_among(F.col("_found"), own)), F.lit(4)) if own else F.lit(0)
+    signs, fresh, n = F.col("_signs"), F.col("_fresh"), F.col("_n")
     out["signs"] = F.when(signs == 0, 0).when(signs < 0.2, 1).when(signs < 0.8, 2).otherwise(3)
-    fresh = F.size(F.array_distinct(tokens)) / n
     out["fresh"] = F.when(fresh < 0.25, 0).when(fresh < 0.4, 1).when(fresh < 0.55, 2).when(fresh < 0.7, 3).otherwise(4)
     out["length"] = F.when(n < 20, 0).when(n < 200, 1).otherwise(2)
-    return out
+    return d.select(*keep, n.cast("long").alias("n_tokens"), *(c.alias(f"_signal_{k}") for k, c in out.items()))
 
 
 class DomainClassifier:
@@ -147,13 +147,12 @@ class DomainClassifier:
         raise KeyError(name)
 
     def _marked(self, docs: DataFrame, keep: Sequence[str], text_col: str) -> DataFrame:
-        listed = docs.select(*keep, F.col(text_col).alias("_text"), words(F.col(text_col)).alias("_tokens"))
+        read = signals(docs, keep, text_col, self.listed)
         cell, low = F.lit(0), 1
-        marks = signals(F.col("_text"), F.col("_tokens"), self.listed)
         for k, width in SIGNALS.items():
-            cell = cell + marks[k] * low
+            cell = cell + F.col(f"_signal_{k}") * low
             low *= width
-        return listed.select(*keep, F.size("_tokens").cast("long").alias("n_tokens"), cell.cast("int").alias("cell"))
+        return read.select(*keep, "n_tokens", cell.cast("int").alias("cell"))
 
     def mark(self, docs: DataFrame, keep: Sequence[str], text_col: str = "text") -> DataFrame:
         """``keep`` columns, ``n_tokens`` long and ``cell`` int of every row: one pass over the texts."""
