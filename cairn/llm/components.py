@@ -2,7 +2,8 @@
 
 Each round is two group-minimum aggregations and joins, so a component's size bounds neither a
 task's memory nor the driver's. A local union-find in every partition shortens long chains
-before the first round. The edge table of each round is written to the shared folder.
+before the first round. The edge table of each round is written to the shared folder. As soon as
+no more than FINISH_EDGES edges are left, a few megabytes, one task ends the work.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 from ._common import Scratch
 
 
+FINISH_EDGES = 100_000
+
+
 class UnionFind:
     """Disjoint sets over 0..n-1 with the smallest member as root."""
 
@@ -72,10 +76,14 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit()
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One half round over edges a > b: every node's neighbours move to its least neighbour."""
+def _star(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
+    """One half round over edges a > b: every node's neighbours move to its least neighbour.
+
+    The least neighbours are written first: where both sides of the join are read from tables,
+    Spark can split the neighbours of a hot node over many tasks.
+    """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = scratch.save(both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m")))
     moved = both.join(least, F.col("a") == F.col("u"))
     if large:
         out = moved.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -102,14 +110,21 @@ def connected_components(edges: DataFrame, scratch: Scratch, contracted: bool =
         first = first.mapInArrow(_contract, "a long, b long")
     now = scratch.save(first.distinct())
     before = state(now)
-    if before[0]:
+    if 0 < before[0] <= FINISH_EDGES:
+        now = scratch.save(now.coalesce(1).mapInArrow(_contract, "a long, b long"))
+    elif before[0]:
         while True:
-            number = scratch.n - 1
-            now = scratch.save(_star(_star(now, True), False))
+            first_table = scratch.n - 1
+            half = scratch.save(_star(now, True, scratch))
+            now = scratch.save(_star(half, False, scratch))
             after = state(now)
-            scratch.drop(number)
+            for number in range(first_table, scratch.n - 1):
+                scratch.drop(number)
             if after == before:
                 break
+            if after[0] <= FINISH_EDGES:
+                now = scratch.save(now.coalesce(1).mapInArrow(_contract, "a long, b long"))
+                break
             before = after
     roots = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))

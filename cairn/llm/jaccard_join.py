@@ -11,9 +11,8 @@
    yields exact overlaps: prefix lists are entered at the first set large enough and left at
    positions too late for the bound (index-level skipping), and a set's overlaps with all others
    are derived from those of a highly similar set by adding and subtracting only the lists of
-   the shingles in which they differ (answer-level skipping). Sets already in one component
-   need no answer about each other.
-4. Links of all blocks are joined to components; copies take their node's.
+   the shingles in which they differ (answer-level skipping). Every matching pair is counted.
+4. One link for each merge goes on to be joined to components; copies take their node's.
 
 Nothing is capped: a family beyond one block is split into pairs of blocks.
 """
@@ -30,23 +29,26 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch, pieces, release, released
 from ._text import WordHasher, mix, shingles, words_of
-from .components import UnionFind, connected_components, stars
+from .components import connected_components, stars
 
-#: Sets and shingles in one block of a family.
-BLOCK_SETS = 1024
+#: Sets and shingles in one block of a family. Each block meets all of its family, so large ones
+#: move fewer copies of sets about.
+BLOCK_SETS = 4096
 BLOCK_SHINGLES = 2_000_000
+#: Answers of a block that are kept to derive others from.
+ANSWERS = 128
 #: Entries of the index that one task of the second step reads, about.
 INDEX_ENTRIES = 1_000_000
 #: And entries that a task of the first step sorts at once, about.
 SENT_ENTRIES = 600_000
-#: Cells of the filter that says which nodes are in families: a bounded bitmap.
-FILTER_CELLS = 1 << 20
+#: Cells of the filter that says which nodes are in families: a bitmap of 16 cells a node, within bounds.
+FILTER_BITS = (20, 28)
 
 #: A shingle is common if COMMON_DOCS texts of about COMMON_SHINGLES shingles hold it. The cells
 #: of common shingles, by their first bits, form a bounded bitmap.
 COMMON_DOCS = 5
 COMMON_SHINGLES = 2_000_000
-COMMON_BITS = 22
+COMMON_BITS = 26
 
 _U = np.uint64
 _POSITION, _GROUP, _EMPTY = _U(0xA24BAED4963EE407), _U(0x9FB21C651E98DF25), _U(0xC13FA9A902A6328F)
@@ -153,15 +155,17 @@ class RelationJoin:
         lists = [self.list_sets[a:b] for a, b in zip(self.list_first[tokens], self.list_first[tokens + 1], strict=True)]
         return np.bincount(np.concatenate(lists), minlength=len(self.sets)).astype(np.int32)
 
-    def links(self) -> list[tuple[int, int]]:
-        """Pairs (indexes of the given sets) that match and suffice for the same components."""
+    def links(self, copies: Sequence[int]) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """Pairs (indexes of the given sets) that suffice for the components of all matching pairs,
+        and for each set how many copies the sets have that match it; a set has ``copies``."""
         n, found = len(self.sets), []
-        sets = UnionFind(n)
+        weight = np.array([copies[i] for i in self.original], dtype=np.int64)
+        count = np.zeros(n, dtype=np.int64)
+        label = np.arange(n)
         for i in range(n):
             size = int(self.sizes[i])
-            least = -(-self.num * size // self.den)
-            lowest = int(np.searchsorted(self.sizes, least))
-            near_count: dict[int, int] = {}
+            lowest = int(np.searchsorted(self.sizes, -(-self.num * size // self.den)))
+            seen = []
             for p, t in enumerate(self.sets[i][: self.prefix[i]].tolist()):
                 a, b = self.list_first[t], self.list_first[t + 1]
                 if b - a < 2:
@@ -173,38 +177,51 @@ class RelationJoin:
                 ids, places = ids[lo:hi], self.list_place[a + lo : a + hi]
                 room = 1 + np.minimum(size - p - 1, self.sizes[ids] - places - 1)  # what can still be shared from here on
                 need = -(-self.num * (size + self.sizes[ids]) // (self.num + self.den))
-                for j in ids[room + np.minimum(p, places) >= need].tolist():
-                    near_count[j] = near_count.get(j, 0) + 1
+                seen.append(ids[room + np.minimum(p, places) >= need])
+            if not seen:
+                continue
+            met = np.bincount(np.concatenate(seen), minlength=i)
+            asked = np.flatnonzero(met)
             if self.side is not None:
-                asked = [j for j in near_count if self.side[j] != self.side[i]]
-            else:
-                asked = list(near_count)
-            asked = [j for j in asked if sets.find(j) != sets.find(i)]
-            if not asked:
+                asked = asked[self.side[asked] != self.side[i]]
+            if not len(asked):
                 continue
-            known = [j for j in near_count if j in self.answers]
-            near = max(known, key=lambda j: (near_count[j], j)) if known else None
+            near = max((j for j in self.answers if j < i and met[j]), key=lambda j: (met[j], j), default=None)
             if len(asked) <= 2 and near is None:
-                shared = {j: len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)) for j in asked}
+                shared = np.array([len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)) for j in asked])
             else:
                 answer = self.overlaps(i, near)
                 self.answers[i] = answer
-                shared = {j: int(answer[j]) for j in asked}
-            for j in sorted(asked, key=lambda j: -shared[j]):
-                if sets.find(j) != sets.find(i) and matches(shared[j], size, int(self.sizes[j]), self.num, self.den):
-                    sets.join(i, j)
+                if len(self.answers) > ANSWERS:
+                    del self.answers[next(iter(self.answers))]
+                shared = answer[asked].astype(np.int64)
+            hit = asked[self.den * shared >= self.num * (size + self.sizes[asked] - shared)]
+            if not len(hit):
+                continue
+            count[i] += weight[hit].sum()
+            count[hit] += weight[i]
+            labels, at = np.unique(label[hit], return_index=True)
+            for old, j in zip(labels.tolist(), hit[at].tolist(), strict=True):
+                if old != label[i]:
                     found.append((self.original[i], self.original[j]))
-        return found
+                    label[label == old] = label[i]
+        out = np.zeros(n, dtype=np.int64)
+        out[self.original] = count
+        return found, out
 
 
 def _solve(table: pa.Table, num: int, den: int) -> pa.Table:
-    """Links of one group: either many whole families, or one pair of blocks of a large one."""
-    nodes, family, block = (table.column(c).to_numpy() for c in ("node", "family", "block"))
+    """Links and counts of one group: many whole families, or one pair of blocks of a large one.
+
+    Rows with ``a`` other than ``b`` are links; a row with both alike has that set's ``n``.
+    """
+    nodes, family, block, copies = (table.column(c).to_numpy() for c in ("node", "family", "block", "copies"))
     data = table.column("shingles").to_pylist()
-    pair = table.column("bi")[0].as_py() >= 0
+    bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
     order = np.lexsort((nodes, family))
     a: list[int] = []
     b: list[int] = []
+    n: list[int] = []
     k = 0
     while k < len(order):
         end = k
@@ -215,18 +232,33 @@ def _solve(table: pa.Table, num: int, den: int) -> pa.Table:
         if len(rows) < 2:
             continue
         sets = [np.frombuffer(data[i], dtype="<u8") for i in rows]
-        cross = pair and table.column("bi")[0].as_py() != table.column("bj")[0].as_py()
-        for x, y in RelationJoin(sets, num, den, [int(block[i]) for i in rows] if cross else None).links():
-            a.append(int(nodes[rows[x]]))
-            b.append(int(nodes[rows[y]]))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        links, counts = RelationJoin(sets, num, den, [int(block[i]) for i in rows] if bi != bj else None).links([int(copies[i]) for i in rows])
+        own = np.flatnonzero(counts)
+        a += [int(nodes[rows[x]]) for x, _ in links] + [int(nodes[rows[x]]) for x in own]
+        b += [int(nodes[rows[y]]) for _, y in links] + [int(nodes[rows[x]]) for x in own]
+        n += [0] * len(links) + counts[own].tolist()
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
+
+
+def _bitmap(cells: DataFrame, bits: int) -> bytes:
+    """A bitmap of 2 ** ``bits`` with the values of the only column set, put together by the executors."""
+    x = F.col(cells.columns[0]) + 1
+    rows = cells.groupBy(F.bitmap_bucket_number(x).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("b")).collect()  # 2 ** bits / 8 bytes at most
+    out = np.zeros(max(4096, (1 << bits) // 8), dtype=np.uint8)
+    for r in rows:
+        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["b"], dtype=np.uint8)
+    return out.tobytes()
+
+
+def _is_set(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return (bitmap[(cells >> _U(3)).astype(np.int64)] >> (cells & _U(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Components of the documents under links with 100% exact Jaccard >= num / den on k-word shingles.
 
-    Result: ``doc_id``, ``n_shingles`` (long, the set's size) and ``component_id``, the smallest
-    id reachable by links, its own included. Texts with fewer than k words are one shingle. Null,
+    Result: ``doc_id``, ``n_shingles`` (long, the set's size), ``component_id``, the smallest id
+    reachable by links, its own included, and ``n_links`` (long), the other rows linked with it. Texts with fewer than k words are one shingle. Null,
     empty and blank texts have no shingles and are linked with nothing; their component is their
     own id. A null id takes part, but is no component's smallest unless all are null. Rows with
     the same id stay apart rows. An empty table gives an empty result; other columns are not read.
@@ -264,16 +296,14 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
 
     measured = scratch.save(texts.mapInArrow(released(measure), f"id {id_type}, node long, n long"))
     rows = measured.where("n >= 0")
-    often = np.zeros(1 << COMMON_BITS, dtype=bool)
-    often[measured.where("n < 0").select("node").distinct().toPandas()["node"].to_numpy(dtype=np.int64)] = True  # 2**COMMON_BITS at most
-    frequent = spark.sparkContext.broadcast(np.packbits(often).tobytes())
-    nodes = scratch.save(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least_id"), F.first("n").alias("n")))
+    frequent = spark.sparkContext.broadcast(_bitmap(measured.where("n < 0").select("node"), COMMON_BITS))  # 8 MB
+    nodes = scratch.save(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least_id"), F.first("n").alias("n"), F.count("*").alias("copies")))
     total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first()["s"]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 2.5 * (den - num) / num / INDEX_ENTRIES) + 1)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, groups = WordHasher(), SizeGroups(num, den)
-        bits = np.unpackbits(np.frombuffer(frequent.value, dtype=np.uint8)).astype(bool)
+        bits = np.frombuffer(frequent.value, dtype=np.uint8)
         keys: list[np.ndarray] = []
         owners: list[np.ndarray] = []
         seen: set[int] = set()
@@ -305,7 +335,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
                 if not len(s) or (node := node_of(s)) in seen:
                     continue
                 seen.add(node)
-                got = index_keys(s, groups, bits[s >> _U(64 - COMMON_BITS)])
+                got = index_keys(s, groups, _is_set(bits, s >> _U(64 - COMMON_BITS)))
                 keys.append(got)
                 owners.append(np.full(len(got), node, dtype=np.int64))
                 held += len(got)
@@ -341,24 +371,26 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     shared = lists.repartition(parts, "part").groupBy("part").applyInArrow(read_lists, "a long, b long")
     families = scratch.save(connected_components(shared, scratch, contracted=True))
 
-    members = families.join(nodes, "node").select("node", F.col("root").alias("family"), "n")
+    members = scratch.save(families.join(nodes, "node").select("node", F.col("root").alias("family"), "n", "copies"))
     spans = members.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n").alias("size"))
-    spans = spans.select("family", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = scratch.save(members.select("node", "family").join(spans, "family"))
-    cells = members.select((F.pmod("node", F.lit(FILTER_CELLS))).alias("cell")).distinct()  # FILTER_CELLS rows at most
-    bitmap = np.zeros(FILTER_CELLS, dtype=bool)
-    bitmap[cells.toPandas()["cell"].to_numpy(dtype=np.int64)] = True
-    wanted = spark.sparkContext.broadcast(np.packbits(bitmap).tobytes())
+    spans = spans.select("family", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("blocks > 1")
+    # read from a table, so that Spark can split the rows of a hot family
+    spans = scratch.save(spans)
+    members = scratch.save(members.join(spans, "family", "left").select("node", "family", "copies", F.coalesce("blocks", F.lit(1)).alias("blocks")))
+    n_members = members.count()
+    filter_bits = min(FILTER_BITS[1], max(FILTER_BITS[0], (16 * n_members).bit_length()))
+    cells = 1 << filter_bits
+    wanted = spark.sparkContext.broadcast(_bitmap(members.select(F.pmod("node", F.lit(cells)).alias("cell")), filter_bits))  # 32 MB at most
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        bits = np.unpackbits(np.frombuffer(wanted.value, dtype=np.uint8))
+        bits = wanted.value
         seen: set[int] = set()
         for batch in pieces(batches):
             ids, data = [], []
             for text in batch.column(0).to_pylist():
                 s = shingles(words_of(text), k, hasher)
-                if not len(s) or (node := node_of(s)) in seen or not bits[node % FILTER_CELLS]:
+                if not len(s) or (node := node_of(s)) in seen or not bits[(c := node % cells) >> 3] >> (c & 7) & 1:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
@@ -369,7 +401,6 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
 
     sets = texts.select("text").mapInArrow(released(fetch), "node long, shingles binary").join(members, "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    n_members = members.count()
     bins = max(1, n_members // 500)
     sets = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     whole = F.col("blocks") == 1
@@ -377,17 +408,21 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         "node",
         "family",
         "block",
+        "copies",
         "shingles",
         F.when(whole, F.pmod(F.xxhash64("family"), F.lit(bins))).otherwise(F.col("family")).alias("task"),
         F.when(whole, F.lit(-1)).otherwise(F.least("block", "other")).alias("bi"),
         F.when(whole, F.lit(-1)).otherwise(F.greatest("block", "other")).alias("bj"),
     )
-    links = sets.groupBy("task", "bi", "bj").applyInArrow(lambda t: _solve(t, num, den), "a long, b long")
-    linked = scratch.save(connected_components(links, scratch, contracted=True))
+    solved = scratch.save(sets.groupBy("task", "bi", "bj").applyInArrow(lambda t: _solve(t, num, den), "a long, b long, n long"))
+    linked = scratch.save(connected_components(solved.where("a <> b").select("a", "b"), scratch, contracted=True))
 
     owned = linked.join(nodes.select("node", "least_id"), "node")
-    least = owned.groupBy("root").agg(F.min("least_id").alias("component"))
-    named = scratch.save(owned.select("node", "root").join(least, "root").select(F.col("node").alias("linked_node"), "component"))
-    found = scratch.save(nodes.join(named, F.col("node") == F.col("linked_node"), "left").select(F.col("node").alias("of_node"), F.coalesce("component", "least_id").alias("component")))
+    least = scratch.save(owned.groupBy("root").agg(F.min("least_id").alias("component")))
+    named = owned.select("node", "root").join(least, "root").select(F.col("node").alias("linked_node"), "component")
+    counted = solved.where("a = b").groupBy("a").agg(F.sum("n").alias("links"))
+    found = nodes.join(named, F.col("node") == F.col("linked_node"), "left").join(counted, F.col("node") == F.col("a"), "left")
+    found = scratch.save(found.select(F.col("node").alias("of_node"), F.coalesce("component", "least_id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
     out = rows.join(found, (F.col("node") == F.col("of_node")) & (F.col("n") > 0), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+    some = F.col("n") > 0
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(some, F.col("component")).otherwise(F.col("id")).alias("component_id"), F.when(some, F.col("links")).otherwise(F.lit(0)).alias("n_links"))
