@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cairn.llm import bpe, html_extract, jaccard_join, language_id, lm_scoring, mixing, quality_classifier, quality_rules, topk_search, toxicity
+from cairn.llm import bpe, components, html_extract, jaccard_join, language_id, lm_scoring, mixing, quality_classifier, quality_rules, topk_search, toxicity
 from cairn.llm import queries as Q
 from cairn.llm._common import Scratch
 from cairn.llm.components import connected_components
@@ -144,6 +144,7 @@ def brute_components(rows, k, num, den):
 
     sets = {i: shingles(x) for i, x in rows}
     up = {i: i for i in sets}
+    links = dict.fromkeys(sets, 0)
 
     def root(x):
         while up[x] != x:
@@ -156,7 +157,9 @@ def brute_components(rows, k, num, den):
             if a < b and sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
                 x, y = root(a), root(b)
                 up[max(x, y)] = min(x, y)
-    return sorted((i, len(sets[i]), root(i)) for i in ids)
+                links[a] += 1
+                links[b] += 1
+    return sorted((i, len(sets[i]), root(i), links[i]) for i in ids)
 
 
 def families(seed):
@@ -196,11 +199,13 @@ def test_matching_sets_share_a_key():
 
 def test_components_odd_rows(spark, odd):
     got = [tuple(r) for r in jaccard_join.jaccard_components(odd).collect()]
-    assert len(got) == 7 and got.count((1, 4, 1)) == 2 and (2, 0, 2) in got and (3, 0, 3) in got and (None, 1, None) in got
+    assert len(got) == 7 and got.count((1, 4, 1, 1)) == 2 and (2, 0, 2, 0) in got and (3, 0, 3, 0) in got and (None, 1, None, 0) in got
     assert jaccard_join.jaccard_components(odd.limit(0)).count() == 0
 
 
-def test_connected_components_of_a_chain(spark):
+@pytest.mark.parametrize("finish", [0, 40, 100_000])
+def test_connected_components_of_a_chain(spark, monkeypatch, finish):
+    monkeypatch.setattr(components, "FINISH_EDGES", finish)
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in connected_components(edges, Scratch(spark, "t")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
@@ -370,7 +375,7 @@ def test_pipeline_stages(spark, tmp_path):
             assert set(now["doc_id"]) == {i for i, k in kept.items() if k}
         if name == "jaccard_join":
             want = brute_components(list(zip(before["doc_id"], before["text"], strict=True)), 5, 80, 100)
-            assert set(now["doc_id"]) == {i for i, _, c in want if i == c}
+            assert set(now["doc_id"]) == {i for i, _, c, _ in want if i == c}
         before = now
 
 
