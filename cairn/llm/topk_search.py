@@ -1,7 +1,7 @@
 """Exact top-k search by inner product over an impact-ordered, score-at-a-time index.
 
 Vectors are dealt into blocks of bounded size. In a block every dimension has a posting list
-cut into segments by quantised value. A query takes all segments of all dimensions by
+cut into segments by quantised value; the index is built once and written with its block. A query takes all segments of all dimensions by
 descending impact (the largest contribution that the segment can make) and adds the
 contributions to the accumulators of its members. A vector's score can't exceed its
 accumulator plus, for each dimension not yet met, that dimension's next impact. The leaders
@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 from ._common import Scratch, pieces
 
 SCALE = 1024
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 4096
 QUERY_ROWS = 512
 LEVELS = 16
+#: Blocks in a group at most, where there are more than tasks.
+GROUP_BLOCKS = 64
 #: Shares of the segments after which the bounds are computed; past the last, all vectors are rescored.
 CHECKPOINTS = (0.6, 0.7, 0.8, 0.92)
 #: Components beyond this could overflow a 64-bit inner product; such blocks use Python integers.
@@ -40,9 +42,11 @@ class ImpactIndex:
     of each vector.
     """
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, levels: int = LEVELS) -> None:
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, levels: int = LEVELS, lists: np.ndarray | None = None) -> None:
+        """``lists``: the posting lists' places as ``build`` gave them, if they are known."""
         self.ids, self.rows = ids, rows
         n, width = rows.shape
+        lists = self.build(rows) if lists is None else lists
         self.order = np.empty((width, n), dtype=np.intp)
         self.values = np.empty((width, n), dtype=np.int64)  # in the list's order
         self.first = np.zeros((width, levels + 1), dtype=np.int64)
@@ -50,9 +54,8 @@ class ImpactIndex:
         self.high = np.zeros((width, levels), dtype=np.int64)
         self.level = np.empty((width, n), dtype=np.intp)
         for d in range(width if rows.dtype != object else 0):
-            column = rows[:, d]
-            order = np.argsort(column, kind="stable")
-            ranked = column[order]
+            order = lists[d].astype(np.intp)
+            ranked = rows[order, d]
             step = (int(ranked[-1]) - int(ranked[0])) // levels + 1
             level = (ranked - ranked[0]) // step
             self.order[d], self.values[d] = order, ranked
@@ -62,6 +65,13 @@ class ImpactIndex:
             self.low[d, full] = ranked[self.first[d, :-1][full]]
             self.high[d, full] = ranked[self.first[d, 1:][full] - 1]
 
+    @staticmethod
+    def build(rows: np.ndarray) -> np.ndarray:
+        """For each dimension the vectors' places by value; none for components beyond 64 bits."""
+        if rows.dtype == object or not len(rows):
+            return np.zeros((0, len(rows)), dtype="<u4")
+        return np.argsort(rows.T, axis=1, kind="stable").astype("<u4")
+
     def candidates(self, q: np.ndarray, k: int) -> np.ndarray:
         """Places of all vectors that can be among the k best for ``q``: a superset, by proof."""
         n, width = self.rows.shape
@@ -154,14 +164,15 @@ def topk_search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str =
     are none. Equal query rows are asked once; where one id has several vectors, each is asked
     and the rank runs over all they find. An empty table gives an empty result; other columns are not read.
 
-    Blocks of vectors are built from the scan's partitions, without a shuffle of single rows.
-    Each block of queries goes once to every block of vectors, keyed by that block, and only
-    each pair's k best come back.
+    Blocks of vectors are built and indexed from the scan's partitions, without a shuffle of
+    single rows, and written. They are dealt to as many groups as there are tasks (a fixed number
+    of blocks at most each); a block of queries goes once to each group, and only the k best of
+    each pair of blocks come back.
     """
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    shape = "block long, n int, width int, ids binary, data binary"
+    shape = "block long, n int, width int, ids binary, data binary, lists binary"
 
-    def blocks_of(size: int):
+    def blocks_of(size: int, indexed: bool):
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -171,9 +182,10 @@ def topk_search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str =
                 rows = np.concatenate([np.pad(x, ((0, 0), (0, width - x.shape[1]))) for _, x in held])
                 held.clear()
                 name = xxhash.xxh3_64_intdigest(ids.tobytes() + rows.tobytes()) - (1 << 63)  # the same whenever it is built again
-                return pa.RecordBatch.from_arrays(
-                    [pa.array([name]), pa.array([len(ids)], pa.int32()), pa.array([width], pa.int32()), pa.array([ids.astype("<i8").tobytes()]), pa.array([_pack(rows)])], ["block", "n", "width", "ids", "data"]
-                )
+                packed = _pack(rows)
+                lists = ImpactIndex.build(_unpack(packed, len(ids), width)).tobytes() if indexed else b""
+                columns = [pa.array([name]), pa.array([len(ids)], pa.int32()), pa.array([width], pa.int32()), *(pa.array([x]) for x in (ids.astype("<i8").tobytes(), packed, lists))]
+                return pa.RecordBatch.from_arrays(columns, ["block", "n", "width", "ids", "data", "lists"])
 
             for batch in pieces(batches, min(size, 2048)):
                 ids, rows = quantise(batch.column(1).to_pylist(), batch.column(0).to_pylist())
@@ -186,12 +198,15 @@ def topk_search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str =
 
         return build
 
-    base = Scratch(vectors.sparkSession, "topk").save(source.mapInArrow(blocks_of(block_rows), shape))
-    asked = source.where(F.col("id") % every == 0).distinct().mapInArrow(blocks_of(query_rows), shape)
-    names = base.select(F.collect_set("block").alias("at"))  # eight bytes for each ``block_rows`` vectors
-    queries = asked.select(*(F.col(c).alias(f"q_{c}") for c in ("n", "width", "ids", "data"))).join(F.broadcast(names), F.lit(True))
-    queries = queries.withColumn("at", F.explode("at"))
-    pairs = base.join(queries, F.col("block") == F.col("at")).select("block", "n", "width", "ids", "data", "q_n", "q_width", "q_ids", "q_data")
+    spark = vectors.sparkSession
+    base = Scratch(spark, "topk").save(source.mapInArrow(blocks_of(block_rows, True), shape))
+    n_blocks = base.count()
+    groups = max(1, min(n_blocks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_blocks // GROUP_BLOCKS))))
+    group = F.pmod(F.col("block"), F.lit(groups)).cast("int")
+    asked = source.where(F.col("id") % every == 0).distinct().mapInArrow(blocks_of(query_rows, False), shape)
+    queries = asked.select(*(F.col(c).alias(f"q_{c}") for c in ("n", "width", "ids", "data")), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("to"))
+    dealt = base.withColumn("group", group).repartition(groups, "group")
+    pairs = dealt.join(queries.repartition(groups, "to").hint("shuffle_merge"), F.col("group") == F.col("to")).select("block", "n", "width", "ids", "data", "lists", "q_n", "q_width", "q_ids", "q_data")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, index = None, None
@@ -199,7 +214,8 @@ def topk_search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str =
             out = []
             for r in batch.to_pylist():
                 if last != r["block"]:
-                    index = ImpactIndex(np.frombuffer(r["ids"], dtype="<i8"), _unpack(r["data"], r["n"], r["width"]))
+                    lists = np.frombuffer(r["lists"], dtype="<u4").reshape(-1, r["n"])
+                    index = ImpactIndex(np.frombuffer(r["ids"], dtype="<i8"), _unpack(r["data"], r["n"], r["width"]), lists=lists)
                     last = r["block"]
                 q_ids, q = np.frombuffer(r["q_ids"], dtype="<i8"), _unpack(r["q_data"], r["q_n"], r["q_width"])
                 width = index.rows.shape[1]
