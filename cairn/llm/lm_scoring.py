@@ -34,13 +34,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, fold, pieces, released
+from ._common import Scratch, fold, pieces, release, released
 from ._text import mix, words_of
 
 ORDER = 5
 LOW = 2  # longest context that is broadcast
 #: Bytes of text in a chunk, about: the least, and the most that a chunk grows to on large inputs.
 CHUNK_BYTES = (12 << 20, 192 << 20)
+#: A small input is dealt to all tasks, but not in chunks below this.
+SPREAD_BYTES = 1 << 20
 #: Bytes of a row between a chunk and a bucket, about, and packed bytes for each byte of text.
 ROW_BYTES, PACKED = 4096, 2.4
 TAKEN = 0.5  # of each distinct byte's count, for the escape
@@ -314,9 +316,9 @@ def low_scorer(fit: str, shared: Broadcast) -> PpmScorer:
 
 
 def layout(total_bytes: int, least: int) -> tuple[int, int]:
-    """Chunks and buckets for so many bytes of text; ``least`` buckets at least."""
+    """Chunks and buckets for so many bytes of text and ``least`` tasks."""
     size = min(CHUNK_BYTES[1], max(CHUNK_BYTES[0], int(math.sqrt(total_bytes * ROW_BYTES / PACKED))))
-    chunks = max(1, -(-total_bytes // size))
+    chunks = max(1, -(-total_bytes // size), min(least, -(-total_bytes // SPREAD_BYTES)))
     buckets = min(max(least, chunks), max(least, int(size * PACKED / ROW_BYTES)))
     return chunks, buckets
 
@@ -384,6 +386,8 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_fold: int = 1, text_col: str
         strings, seen = _add_up([strings, more], [seen, none * 0])
         order, cut_s = _cuts(mix((strings >> _U(8)) & _U((1 << (8 * (LOW + 1))) - 1)) % _U(buckets), buckets)
         strings, seen = strings[order], seen[order]
+        del train, every, listed, texts
+        release()
         full = [b for b in range(buckets) if cut[b] < cut[b + 1] or cut_s[b] < cut_s[b + 1]]
         return pa.table(
             {
@@ -447,6 +451,8 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_fold: int = 1, text_col: str
                 tokens.append(len(words) + 1)
                 known.append(int((got != NEW).sum()) + (end_log != NEW))
                 base.append(float(got.sum()) + end_log)
+        del places, bits, count_of, logs
+        release()
         rest = [0] * (mine.num_rows - 1)
         columns = [
             mine.column("id"),
