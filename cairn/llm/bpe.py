@@ -2,10 +2,10 @@
 
 A text is cut into the stretches that the tokenizer's own splitting rule yields. Short
 stretches are encoded by the model as they are. A stretch longer than ``leaf_chars``, which
-nothing splits, is halved until its parts are short; all parts are encoded together, and the
-halves are then joined pairwise: around each join a growing window is encoded again until its
-first token agrees with a token of the left half and its last sound token with one of the
-right half. Every neighbouring pair of tokens in the result then stands next to each other in
+nothing splits, is halved until its parts are short; the parts are encoded in parallel, and the
+halves are then joined pairwise, all joins of a level side by side: around each join a growing
+window is encoded again until its first token agrees with a token of the left half and its last
+sound token with one of the right half. Every neighbouring pair of tokens in the result then stands next to each other in
 some valid encoding, which for BPE makes the whole a valid, and so the only, encoding.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Generator, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +27,8 @@ from ._common import pieces, released
 
 LEAF_CHARS = 16
 MEMO_WORDS = 200_000
+#: Strings in a batch of the library, which encodes them in parallel.
+LANES = 8
 
 
 def _byte_letters() -> list[str]:
@@ -69,19 +71,25 @@ class TreeBpe:
         self.memo: dict[str, bytes] = {}
 
     def _model_many(self, stretches: Sequence[str]) -> list[list[int]]:
-        """The model's ids of each stretch; one call, cut apart at the tokens that end a word."""
+        """The model's ids of each stretch.
+
+        Stretches are strung together, so that they cost few calls, and cut apart at the tokens
+        that end a word; the library encodes the strings of a batch in parallel.
+        """
+        size = max(256, -(-len(stretches) // LANES))
+        parts = [stretches[k : k + size] for k in range(0, len(stretches), size)]
         out: list[list[int]] = []
-        for k in range(0, len(stretches), 4096):
-            part = stretches[k : k + 4096]
-            ids = self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
+        for part, found in zip(parts, self.model.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            rows: list[list[int]] = []
             row: list[int] = []
-            for i in ids:
+            for i in found.ids:
                 row.append(i)
                 if self.tokens[i].endswith(self.end):
-                    out.append(row)
+                    rows.append(row)
                     row = []
-        if len(out) != len(stretches):  # a letter outside the vocabulary gave no token
-            out = [self.model.encode(x, add_special_tokens=False).ids for x in stretches]
+            if len(rows) != len(part):  # a letter outside the vocabulary gave no token
+                rows = [self.model.encode(x, add_special_tokens=False).ids for x in part]
+            out += rows
         return out
 
     def _ends(self, ids: Sequence[int], start: int) -> list[int]:
@@ -91,8 +99,9 @@ class TreeBpe:
             at.append(start)
         return at
 
-    def _join(self, s: str, left: list[int], right: list[int], a: int, m: int, b: int) -> list[int]:
-        """The encoding of ``s[a:b]`` from those of ``s[a:m]`` and ``s[m:b]``.
+    def _join(self, s: str, left: list[int], right: list[int], a: int, m: int, b: int) -> Generator[str, list[int], list[int]]:
+        """The encoding of ``s[a:b]`` from those of ``s[a:m]`` and ``s[m:b]``; it yields the windows
+        that it needs encoded, so that many joins can go on side by side.
 
         Where ``b`` is inside the word, the last token of a half may carry a false word end;
         tokens that touch such an edge never count as agreeing.
@@ -105,7 +114,7 @@ class TreeBpe:
         while True:
             i, j = max(0, len(left) - reach), min(len(right), reach)
             u, v = l_start[i], r_end[j - 1]
-            window = self._model_many([s[u:v]])[0]
+            window = yield s[u:v]
             w_end = self._ends(window, u)
             w_start = [u, *w_end[:-1]]
             sound = len(window) if v == b else len(window) - 1  # the last may carry a false end
@@ -132,7 +141,7 @@ class TreeBpe:
             reach *= 2
 
     def _tree(self, words: Sequence[str]) -> list[list[int]]:
-        """Ids of long stretches: all leaves in one call, then joins from the bottom up."""
+        """Ids of long stretches: all leaves at once, then the joins level by level from the bottom."""
         cuts, leaves = [], []
         for s in words:
             n = 1 << max(0, (len(s) - 1) // self.leaf).bit_length()
@@ -140,19 +149,31 @@ class TreeBpe:
             cuts.append(at)
             leaves += [s[p:q] for p, q in zip(at, at[1:], strict=False)]
         ids = iter(self._model_many(leaves))
-        out = []
-        for s, at in zip(words, cuts, strict=True):
-            rows = [next(ids) for _ in at[1:]]
-            while len(rows) > 1:
-                next_rows, next_at = [], [at[0]]
-                for k in range(0, len(rows) - 1, 2):
-                    next_rows.append(self._join(s, rows[k], rows[k + 1], at[k], at[k + 1], at[k + 2]))
-                    next_at.append(at[k + 2])
-                if len(rows) % 2:
-                    next_rows.append(rows[-1])
-                    next_at.append(at[-1])
-                rows, at = next_rows, next_at
-            out.append(rows[0])
+        rows = [[next(ids) for _ in at[1:]] for at in cuts]
+        while any(len(r) > 1 for r in rows):
+            joins = [(w, k) for w, r in enumerate(rows) for k in range(0, len(r) - 1, 2)]
+            done = self._side_by_side([self._join(words[w], rows[w][k], rows[w][k + 1], *cuts[w][k : k + 3]) for w, k in joins])
+            merged: list[list[list[int]]] = [[] for _ in words]
+            for (w, _), row in zip(joins, done, strict=True):
+                merged[w].append(row)
+            for w, r in enumerate(rows):
+                if len(r) > 1:
+                    rows[w] = merged[w] + r[len(r) - len(r) % 2 :]
+                    cuts[w] = [*cuts[w][::2], *([cuts[w][-1]] if len(r) % 2 else [])]
+        return [r[0] for r in rows]
+
+    def _side_by_side(self, joins: list[Generator[str, list[int], list[int]]]) -> list[list[int]]:
+        """What all joins give; the windows that they ask for at a time are encoded together."""
+        out: list[list[int]] = [[] for _ in joins]
+        asked = {k: next(join) for k, join in enumerate(joins)}
+        while asked:
+            more = {}
+            for k, window in zip(asked, self._model_many(list(asked.values())), strict=True):
+                try:
+                    more[k] = joins[k].send(window)
+                except StopIteration as end:
+                    out[k] = end.value
+            asked = more
         return out
 
     def _learn(self, words: Sequence[str]) -> None:
