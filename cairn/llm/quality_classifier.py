@@ -22,6 +22,8 @@ from .quality_rules import measure
 #: Bound of the sample of labelled rows that the regression is fitted on.
 MAX_TRAIN_ROWS = 20_000
 KEEP_SCORE = 0.5
+#: A table of sites is broadcast up to so many rows; larger ones are joined by key.
+MAX_BROADCAST_SITES = 100_000
 FEATURES = 9
 
 
@@ -86,7 +88,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: Column, path: Colum
     ``held_out``, ``doc_score`` (the text alone), ``host_rate``, ``path_rate`` (shrunk), ``score``
     (double, 0 to 1) and ``kept``. Null hosts and paths count as the empty name. Null and empty
     texts are scored by their measurements (all zero). Without labels every rate is one half.
-    Repeated rows and null ids come back as they are; an empty table gives an empty result.
+    Repeated labels of a document count as often as they stand. Repeated rows and null ids come back as they are; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
@@ -130,7 +132,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: Column, path: Colum
         .join(path_rate, (F.col("host") == F.col("ph")) & (F.col("path") == F.col("pp")), "left")
         .select(F.col("host").alias("sh"), F.col("path").alias("sp"), F.coalesce("host_rate", F.lit(rate)).alias("host_rate"), F.coalesce("path_rate", "host_rate", F.lit(rate)).alias("path_rate"))
     )
-    joined = scored.join(both, (F.col("host") == F.col("sh")) & (F.col("path") == F.col("sp")), "left")
+    # both sides are read from tables, so that beyond the bound Spark can split a hot site's rows
+    few_sites = F.broadcast(both) if both.count() <= MAX_BROADCAST_SITES else both
+    joined = scored.join(few_sites, (F.col("host") == F.col("sh")) & (F.col("path") == F.col("sp")), "left")
     odds = F.col("z") + _logit(F.col("path_rate")) - _logit(F.lit(rate))
     score = 1 / (1 + F.exp(-odds))
     return joined.select(
