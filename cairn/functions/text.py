@@ -26,8 +26,8 @@ SURFACE_UNKNOWN = ["", "UNKNOWN", "UNK", "N A", "NA", "?", "NONE"]
 SYNTHETIC = ["SYNTHETIC", "SYNTH", "ALL WEATHER", "ALLWEATHER", "POLYTRACK", "TAPETA", "CUSHION TRACK", "CUSHION", "FIBRESAND", "FIBERSAND", "PRO RIDE", "PRORIDE", "VISCO RIDE", "ARTIFICIAL"]
 FAMILIES = ("TURF", "DIRT", "SYNTHETIC", "OTHER", "UNKNOWN")
 JUMP = (
-    r"(?i)\bHURDLES?\b|\bJUMPS?\b|\bSTEEPLE(?:CHASE)?S?\b|\bCHASE\b|\bNATIONAL\s+HUNT\b|\bNH\s+FLAT\b"
-    r"|\bPOINT\s+TO\s+POINT\b|\bCROSS\s+COUNTRY\b|障害|ハードル|スティープルチェイス"
+    r"(?i)\bHURDLES?\b|\bJUMPS?\b|\bSTEEPLE(?:CHASE)?S?\b|\bNOVICES?\s+CHASE\b|\bHANDICAP\s+CHASE\b|\bCHAMPION\s+CHASE\b|\bCELEBRATION\s+CHASE\b|\bCHASE\b"
+    r"|\bNATIONAL\s+HUNT\b|\bNH\s+FLAT\b|\bPOINT\s+TO\s+POINT\b|\bCROSS\s+COUNTRY\b|障害|ハードル|スティープルチェイス"
 )
 FOLDS = 5
 
@@ -44,6 +44,13 @@ def _blake_fold(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(lambda x: int.from_bytes(hashlib.blake2b((x or "").strip().encode(), digest_size=8).digest(), "big") % FOLDS).astype("int32")
 
 
+def nfkc(x: Column) -> Column:
+    """Compatibility-composed form. ASCII is its own, so only other strings go to Python: to the
+    worker an ASCII string is a null."""
+    other = x.rlike(r"[^\x00-\x7F]")
+    return F.coalesce(_nfkc(F.when(other, x)), x)
+
+
 def missing_to_null(x: Column) -> Column:
     """Null for the blank and NA-like strings that a CSV reader treats as missing."""
     return F.when(~F.trim(x).isin(MISSING), x)
@@ -54,10 +61,9 @@ def clean(x: Column) -> Column:
     return F.regexp_replace(F.coalesce(x.cast("string"), F.lit("")), r"(?U)^\s+|\s+$", "")
 
 
-def normal(x: Column, unicode: bool = True) -> Column:
-    """Upper case with single spaces; with ``unicode`` also NFKC, which takes a Python function."""
-    text = clean(x)
-    return F.trim(F.regexp_replace(F.upper(_nfkc(text) if unicode else text), r"(?U)\s+", " "))
+def normal(x: Column) -> Column:
+    """NFKC, upper case, single spaces."""
+    return F.trim(F.regexp_replace(F.upper(nfkc(clean(x))), r"(?U)\s+", " "))
 
 
 def key(x: Column) -> Column:
@@ -71,16 +77,16 @@ def valid_key(x: Column) -> Column:
     return ~(pk.isin(DUMMY_KEYS) | compact.isin(DUMMY_KEYS) | (compact.startswith("need ") & compact.contains("name")))
 
 
-def country(x: Column, unicode: bool = True) -> Column:
-    text = normal(x, unicode)
+def country(x: Column) -> Column:
+    text = normal(x)
     out = F.when(text == "", "UNKNOWN")
     for name, aliases in COUNTRIES.items():
         out = out.when(text.isin(aliases), name)
     return out.otherwise(text)
 
 
-def track(x: Column, unicode: bool = True) -> Column:
-    text = F.trim(F.regexp_replace(F.regexp_replace(normal(x, unicode), r"\s*,\s*", ", "), r"\s+", " "))
+def track(x: Column) -> Column:
+    text = F.trim(F.regexp_replace(F.regexp_replace(normal(x), r"\s*,\s*", ", "), r"\s+", " "))
     plain = F.trim(F.regexp_replace(F.regexp_replace(text, ",", ""), r"\s+", " "))
     out = F.when(text == "", "UNKNOWN")
     for alias, name in TRACKS.items():
@@ -90,9 +96,9 @@ def track(x: Column, unicode: bool = True) -> Column:
     return out.otherwise(text)
 
 
-def surface_family(x: Column, unicode: bool = True) -> Column:
+def surface_family(x: Column) -> Column:
     """Hard family of a surface label; synthetic words win over dirt, blanks are never guessed."""
-    raw = normal(x, unicode)
+    raw = normal(x)
     compact = F.trim(F.regexp_replace(raw, r"[^A-Z0-9一-龠ぁ-んァ-ヶ]+", " "))
     synthetic = F.lit(False)
     for word in SYNTHETIC:
@@ -120,10 +126,9 @@ def stable_fold(race_id: Column) -> Column:
     return _blake_fold(race_id.cast("string"))
 
 
-def search_key(x: Column, unicode: bool = True) -> Column:
+def search_key(x: Column) -> Column:
     """Lower-case search form that keeps digits, Latin letters, kana and CJK ideographs."""
-    text = clean(x)
-    text = F.regexp_replace(F.lower(_nfkc(text) if unicode else text), r"\+", " ")
+    text = F.regexp_replace(F.lower(nfkc(clean(x))), r"\+", " ")
     return F.regexp_replace(text, r"[^0-9a-zぁ-んァ-ヶー一-龠々]+", "")
 
 
@@ -133,6 +138,56 @@ def whole_year(x: Column) -> Column:
     return F.when(~F.isnan(number) & (F.abs(number) < 1e9), number.cast("int"))
 
 
-def percent_text(x: Column) -> Column:
+def percent_text(x: Column, digits: int = 1) -> Column:
     """A share as a percentage text; values over 1 are taken as percentages already."""
-    return F.when(x.isNull(), "-").otherwise(F.format_string("%.1f%%", F.when(F.abs(x) <= 1.000001, x * 100).otherwise(x)))
+    return F.when(x.isNull(), "-").otherwise(F.format_string(f"%.{digits}f%%", F.when(F.abs(x) <= 1.000001, x * 100).otherwise(x)))
+
+
+def to_float(x: Column) -> Column:
+    """A finite number, else null: words, blanks and infinities are null."""
+    number = F.trim(x.cast("string")).try_cast("double")
+    return F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+
+
+def to_int(x: Column) -> Column:
+    """The same cut toward zero."""
+    return to_float(x).cast("long")
+
+
+def number_text(x: Column, digits: int = 2) -> Column:
+    return F.when(x.isNull(), "-").otherwise(F.format_string(f"%.{digits}f", x.cast("double")))
+
+
+def count_text(x: Column) -> Column:
+    """With thousands separators."""
+    return F.when(x.isNull(), "-").otherwise(F.format_number(x.cast("long"), 0))
+
+
+def plain_text(x: Column, kind: str) -> Column:
+    """As a cell of an exported table: fractions with six digits, null empty."""
+    return F.when(x.isNull(), "").otherwise(F.format_string("%.6f", x) if kind in ("double", "float") else x.cast("string"))
+
+
+def padded(x: Column, width: int, right: bool = False) -> Column:
+    """Cut and padded with spaces to a fixed width."""
+    own = F.substring(F.coalesce(x, F.lit("-")), 1, width)
+    return F.lpad(own, width, " ") if right else F.rpad(own, width, " ")
+
+
+def step_label(n: Column) -> Column:
+    return F.concat(F.lit("Step "), n.cast("string"))
+
+
+def parse_years(text: str | None) -> list[int]:
+    """A comma list of years, sorted and distinct; blanks between commas don't count."""
+    return sorted({int(part) for part in (text or "").split(",") if part.strip()})
+
+
+def in_years(year: Column, years: list[int] | None = None, first: int | None = None, last: int | None = None) -> Column:
+    """An exact list of years, or inclusive bounds; the list wins."""
+    if years:
+        return year.isin(years)
+    keep = year.isNotNull()
+    if first is not None:
+        keep = keep & (year >= first)
+    return keep if last is None else keep & (year <= last)

@@ -33,7 +33,9 @@ def normalise_races(wide: DataFrame) -> DataFrame:
         T.surface_family(F.col("surface")).alias("surface_family"),
         T.country(F.col("country")).alias("country"),
         T.track(F.col("track")).alias("track"),
+        T.clean(F.col("surface")).alias("surface_raw"),
         T.stable_fold(F.col("race_id")).alias("fold"),
+        *([F.col("ordinal")] if "ordinal" in wide.columns else []),
         three.alias("e"),
     ).where(F.col("year").isNotNull())
     entries = base.select(*(c for c in base.columns if c != "e"), "e.*").where(T.valid_key(F.col("pk")))

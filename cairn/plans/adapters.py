@@ -41,14 +41,15 @@ def raw_races(spark: SparkSession, sf: str) -> DataFrame:
 def races(spark: SparkSession, sf: str) -> DataFrame:
     r = raw_races(spark, sf)
     return r.select(
-        "race_id", "year", T.race_type(F.col("race_name")).alias("race_type"), T.surface_family(F.col("surface"), unicode=False).alias("surface_family"),
-        T.country(F.col("country"), unicode=False).alias("country"), T.track(F.col("track"), unicode=False).alias("track"),
+        "race_id", "year", T.race_type(F.col("race_name")).alias("race_type"), T.surface_family(F.col("surface")).alias("surface_family"),
+        T.country(F.col("country")).alias("country"), T.track(F.col("track")).alias("track"),
     )
 
 
 def entries(spark: SparkSession, sf: str, competitor: str = "l_suppkey") -> DataFrame:
     """The three dearest lines of an order, by distinct competitor, as its placed entries."""
-    line = table(spark, sf, "lineitem").select("l_orderkey", F.col(competitor).alias("pk"), "l_extendedprice", "l_linenumber", "l_partkey", "l_suppkey")
+    # one exchange by race serves the three windows and the join
+    line = table(spark, sf, "lineitem").select("l_orderkey", F.col(competitor).alias("pk"), "l_extendedprice", "l_linenumber", "l_partkey", "l_suppkey").repartition("l_orderkey")
     order = [F.desc("l_extendedprice"), "l_linenumber", "l_partkey", "l_suppkey"]
     best = line.withColumn("_r", F.row_number().over(Window.partitionBy("l_orderkey", "pk").orderBy(*order))).where("_r = 1")
     placed = best.withColumn("placing", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order))).where("placing <= 3")

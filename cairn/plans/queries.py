@@ -240,9 +240,9 @@ def _mapped(spark, sf):
     return edges, nodes
 
 
-@query(f"""WITH {NODES_SQL}, s AS (SELECT year, race_type, surface_family, network_id, count(*) FILTER (same) AS internal_edges, CAST(coalesce(sum(n) FILTER (same), 0) AS BIGINT) AS internal_comparisons, count(*) FILTER (NOT same) AS external_edges, CAST(coalesce(sum(n) FILTER (NOT same), 0) AS BIGINT) AS external_comparisons, count(DISTINCT pk) FILTER (NOT same) AS bridge_horses, coalesce(sum(w) FILTER (same), 0) AS i, coalesce(sum(w) FILTER (NOT same), 0) AS cut FROM sides GROUP BY ALL),
-t AS (SELECT year, race_type, surface_family, 2 * sum(w) AS m FROM edges GROUP BY ALL), h AS (SELECT year, race_type, surface_family, network_id, count(*) AS horses FROM nodes GROUP BY ALL)
-SELECT year, race_type, surface_family, network_id, horses, internal_edges, internal_comparisons, external_edges, external_comparisons, bridge_horses, round(external_comparisons / (2 * internal_comparisons + external_comparisons), 6) AS bridge_share, round(CASE WHEN least(2 * i + cut, m - 2 * i - cut) > 1e-12 THEN cut / least(2 * i + cut, m - 2 * i - cut) ELSE 0 END, 6) AS conductance
+@query(f"""WITH {NODES_SQL}, s AS (SELECT year, race_type, surface_family, network_id, count(*) FILTER (same) AS internal_edges, CAST(coalesce(sum(n) FILTER (same), 0) AS BIGINT) AS internal_comparisons, count(*) FILTER (NOT same) AS external_edges, CAST(coalesce(sum(n) FILTER (NOT same), 0) AS BIGINT) AS external_comparisons, count(DISTINCT pk) FILTER (NOT same) AS bridge_competitors, coalesce(sum(w) FILTER (same), 0) AS i, coalesce(sum(w) FILTER (NOT same), 0) AS cut FROM sides GROUP BY ALL),
+t AS (SELECT year, race_type, surface_family, 2 * sum(w) AS m FROM edges GROUP BY ALL), h AS (SELECT year, race_type, surface_family, network_id, count(*) AS competitors FROM nodes GROUP BY ALL)
+SELECT year, race_type, surface_family, network_id, competitors, internal_edges, internal_comparisons, external_edges, external_comparisons, bridge_competitors, round(external_comparisons / (2 * internal_comparisons + external_comparisons), 6) AS bridge_share, round(CASE WHEN least(2 * i + cut, m - 2 * i - cut) > 1e-12 THEN cut / least(2 * i + cut, m - 2 * i - cut) ELSE 0 END, 6) AS conductance
 FROM h JOIN s USING (year, race_type, surface_family, network_id) JOIN t USING (year, race_type, surface_family)""")
 def network_metrics(spark, sf):
     return network.network_measures(*_mapped(spark, sf)).withColumn("bridge_share", F.round("bridge_share", 6)).withColumn("conductance", F.round("conductance", 6))
@@ -273,7 +273,7 @@ def _breadth_sql(keys: str, frames_: tuple[str, ...], base: str) -> str:
 MET_SQL = entries_sql() + """, e AS (SELECT *, pk % 7 AS network_id, country || '::' || track AS domain FROM entries), present AS (SELECT DISTINCT year, race_type, surface_family, race_id, network_id, domain, country FROM e), won AS (SELECT * FROM e WHERE placing = 1),
 met AS (SELECT a.*, b.network_id AS other FROM present a JOIN present b ON a.race_id = b.race_id AND a.network_id <> b.network_id), hmet AS (SELECT a.*, b.network_id AS other FROM e a JOIN present b ON a.race_id = b.race_id AND a.network_id <> b.network_id)"""
 NET_SQL = MET_SQL + ", " + _breadth_sql("year, race_type, surface_family, network_id", ("present", "won", "present", "won", "met"), "present")
-HORSE_SQL = MET_SQL + ", " + _breadth_sql("year, race_type, surface_family, pk", ("e", "won", "e", "won", "hmet"), "e")
+COMPETITOR_SQL = MET_SQL + ", " + _breadth_sql("year, race_type, surface_family, pk", ("e", "won", "e", "won", "hmet"), "e")
 _COLS = [f"{a}{p}{b}" for p, _ in _PARTS for a, b in (("effective_", ""), ("", "_count"), ("", "_total"))]
 _SQL_COLS = ", ".join(f"round({c}, 6) AS {c}" if c.startswith("effective") else f"CAST({c} AS BIGINT) AS {c}" for c in _COLS)
 
@@ -291,8 +291,8 @@ def breadth_network(spark, sf):
     return _shown(_breadth(spark, sf)[0], [*GROUP, "network_id"])
 
 
-@query(f"WITH {HORSE_SQL} SELECT year, race_type, surface_family, pk, {_SQL_COLS} FROM e_b")
-def breadth_horse(spark, sf):
+@query(f"WITH {COMPETITOR_SQL} SELECT year, race_type, surface_family, pk, {_SQL_COLS} FROM e_b")
+def breadth_competitor(spark, sf):
     return _shown(_breadth(spark, sf)[1], [*GROUP, "pk"])
 
 
@@ -313,17 +313,17 @@ def _conf_sql(top: tuple[int, int, int, int]) -> tuple[str, str, str]:
 
 _NV, _NO, _NA = _conf_sql((6, 5, 4, 20))
 _HV, _HO, _HA = _conf_sql((4, 3, 3, 8))
-_INTERNAL = f"(0.45::DOUBLE * {_sat('horses', 150)} + 0.30::DOUBLE * {_sat('races', 100)} + 0.25::DOUBLE * {_sat('compared', 300)})"
-SIZE_SQL = ", sizes AS (SELECT year, race_type, surface_family, network_id, count(DISTINCT pk) AS horses, count(DISTINCT race_id) AS races, 2 * count(*) AS compared FROM e GROUP BY ALL)"
+_INTERNAL = f"(0.45::DOUBLE * {_sat('competitors', 150)} + 0.30::DOUBLE * {_sat('races', 100)} + 0.25::DOUBLE * {_sat('compared', 300)})"
+SIZE_SQL = ", sizes AS (SELECT year, race_type, surface_family, network_id, count(DISTINCT pk) AS competitors, count(DISTINCT race_id) AS races, 2 * count(*) AS compared FROM e GROUP BY ALL)"
 NETC_SQL = NET_SQL + SIZE_SQL + f", netc AS (SELECT *, {_INTERNAL} AS internal, {_NV} AS venue, {_NO} AS opponent, {_NA} AS international, 0.55::DOUBLE * {_NV} + 0.30::DOUBLE * {_NO} + 0.15::DOUBLE * {_NA} AS external FROM present_b JOIN sizes USING (year, race_type, surface_family, network_id))"
 
 
 def _net_confidence(spark, sf):
     net = _breadth(spark, sf)[0]
     e = A.entries(spark, sf).withColumn("network_id", F.col("pk") % 7)
-    sizes = e.groupBy(*GROUP, "network_id").agg(F.countDistinct("pk").alias("horses"), F.countDistinct("race_id").alias("races"), (2 * F.count("*")).alias("compared"))
+    sizes = e.groupBy(*GROUP, "network_id").agg(F.countDistinct("pk").alias("competitors"), F.countDistinct("race_id").alias("races"), (2 * F.count("*")).alias("compared"))
     both = net.join(sizes, [*GROUP, "network_id"])
-    return both.select(*GROUP, "network_id", *_COLS, *(c.alias(k) for k, c in breadth.network_confidence(F.col("horses"), F.col("races"), F.col("compared")).items()))
+    return both.select(*GROUP, "network_id", *_COLS, *(c.alias(k) for k, c in breadth.network_confidence(F.col("competitors"), F.col("races"), F.col("compared")).items()))
 
 
 @query(f"WITH {NETC_SQL} SELECT year, race_type, surface_family, network_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("internal", "venue", "opponent", "international", "external")) + " FROM netc")
@@ -331,10 +331,10 @@ def network_confidence(spark, sf):
     return _net_confidence(spark, sf).select(*GROUP, "network_id", *r6("internal", "venue", "opponent", "international", "external"))
 
 
-@query(f"WITH {HORSE_SQL} SELECT year, race_type, surface_family, pk, round({_HV}, 6) AS horse_venue, round({_HO}, 6) AS bridge, round({_HA}, 6) AS horse_international FROM e_b")
-def horse_confidence(spark, sf):
+@query(f"WITH {COMPETITOR_SQL} SELECT year, race_type, surface_family, pk, round({_HV}, 6) AS own_venue, round({_HO}, 6) AS bridge, round({_HA}, 6) AS own_international FROM e_b")
+def competitor_confidence(spark, sf):
     h = _breadth(spark, sf)[1]
-    return h.select(*GROUP, "pk", *(F.round(c, 6).alias(k) for k, c in breadth.horse_confidence().items()))
+    return h.select(*GROUP, "pk", *(F.round(c, 6).alias(k) for k, c in breadth.competitor_confidence().items()))
 
 
 @query()
@@ -346,10 +346,10 @@ def retention_realized(spark, sf):
     h = h.select(*GROUP, "pk", *(F.col(c).alias(f"h_{c}") for c in _COLS))
     r = races.placing_counts(A.entries(spark, sf)).withColumn("network_id", F.col("pk") % 7).withColumn("rating", 90.0 + 30.0 * F.col("wins") / F.col("top3") + F.col("pk") % 13)
     x = r.join(n, [*GROUP, "network_id"], "left").join(h, [*GROUP, "pk"], "left")
-    conf = breadth.horse_confidence("h_")
+    conf = breadth.competitor_confidence("h_")
     use = breadth.network_use("n_", "h_")
-    x = x.withColumn("use", use).withColumn("retention", breadth.retention_realized(S.number(F.col("internal")), S.number(F.col("external")), use, conf["horse_venue"], conf["bridge"], conf["horse_international"]))
-    x = x.withColumn("basic", breadth.retention_basic(S.number(F.col("internal")), S.number(F.col("external")), conf["horse_venue"], conf["bridge"], conf["horse_international"]))
+    x = x.withColumn("use", use).withColumn("retention", breadth.retention_realized(S.number(F.col("internal")), S.number(F.col("external")), use, conf["own_venue"], conf["bridge"], conf["own_international"]))
+    x = x.withColumn("basic", breadth.retention_basic(S.number(F.col("internal")), S.number(F.col("external")), conf["own_venue"], conf["bridge"], conf["own_international"]))
     out = x.select(*GROUP, "pk", "network_id", "rating", "use", "basic", "retention", *(c.alias(k) for k, c in breadth.calibrated(F.col("rating"), F.col("retention")).items()))
     return out.withColumn("rank", F.rank().over(Window.partitionBy(*GROUP).orderBy(F.desc("ceiling"))))
 
@@ -361,7 +361,7 @@ def leaf_effective(spark, sf):
     return A.paths(spark, sf).select("source", "step", "effective", "similarity", "state")
 
 
-@query()
+@query(f"""WITH {PATHS_SQL}, raw AS (SELECT source, step, unnest([t, u || ' x', replace(m, ' ', '_')]) AS name, unnest(ws) AS w FROM paths) SELECT source, step, name, sum(w) AS weight FROM raw GROUP BY ALL""")
 def leaf_parse(spark, sf):
     return A.paths(spark, sf).select("source", "step", F.explode(select.leaves(F.col("representation"))).alias("l")).select("source", "step", "l.name", "l.weight")
 
@@ -392,7 +392,7 @@ def first_break(spark, sf):
     return select.first_break(A.paths(spark, sf))
 
 
-LEAF_SQL = "w AS (SELECT l_suppkey AS k, l_linestatus || l_returnflag || CAST(l_quantity AS BIGINT) AS name, CAST(count(*) AS DOUBLE) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01' GROUP BY ALL), leaf AS (SELECT k, name, n / sum(n) OVER (PARTITION BY k) AS weight FROM w)"
+LEAF_SQL = "w AS (SELECT l_suppkey AS k, l_linestatus || l_returnflag || CAST(l_quantity AS BIGINT) AS name, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY ALL), leaf AS (SELECT k, name, n / sum(n) OVER (PARTITION BY k) AS weight FROM w)"
 
 
 def _leaf_rows(line):
@@ -400,24 +400,28 @@ def _leaf_rows(line):
     return w.select("k", "name", (F.col("n") / F.sum("n").over(Window.partitionBy("k"))).alias("weight"))
 
 
-@query(f"""WITH {LEAF_SQL}, z AS (SELECT k, count(*) AS c FROM leaf GROUP BY k), j AS (SELECT a.k AS a, b.k AS b, sum(least(a.weight, b.weight)) AS low, count(*) AS c FROM leaf a JOIN leaf b ON a.name = b.name AND a.k < b.k GROUP BY ALL)
-SELECT a, b, round(low / (2 - low), 6) AS weighted_jaccard, round(j.c / (x.c + y.c - j.c), 6) AS plain_jaccard FROM j JOIN z x ON x.k = a JOIN z y ON y.k = b""")
-def leaf_jaccard(spark, sf):
-    line = table(spark, sf, "lineitem").where("l_shipdate >= TIMESTAMP_NTZ '1998-06-01'")  # as in LEAF_SQL
-    return select.leaf_similarity(_leaf_rows(line), "k").select("a", "b", *r6("weighted_jaccard", "plain_jaccard"))
+PAIR_SQL = """z AS (SELECT k, count(*) AS c FROM leaf GROUP BY k), j AS (SELECT a.k AS a, b.k AS b, sum(least(a.weight, b.weight)) AS low, count(*) AS c FROM leaf a JOIN leaf b ON a.name = b.name AND a.k < b.k GROUP BY ALL),
+alike AS (SELECT a, b, low / (2 - low) AS weighted_jaccard, j.c / (x.c + y.c - j.c) AS plain_jaccard FROM j JOIN z x ON x.k = a JOIN z y ON y.k = b)"""
 
 
-@query()
-def leaf_jaccard_whole(spark, sf):
-    """The same over all of lineitem."""
+@query(f"WITH {LEAF_SQL}, {PAIR_SQL} SELECT a, b, round(weighted_jaccard, 6) AS weighted_jaccard, round(plain_jaccard, 6) AS plain_jaccard FROM alike WHERE weighted_jaccard >= 0.55 - 1e-12")
+def leaf_jaccard(spark, sf):
     return select.leaf_similarity(_leaf_rows(table(spark, sf, "lineitem")), "k").select("a", "b", *r6("weighted_jaccard", "plain_jaccard"))
 
 
-@query()
+MEDOID_SQL = f"""{PATHS_SQL}, raw AS (SELECT source || '#' || step AS k, unnest([t, u || ' x', replace(m, ' ', '_')]) AS leaf, unnest(ws) AS w FROM paths WHERE state = 'REPRODUCED'),
+folded AS (SELECT k, regexp_replace(lower(leaf), '[^a-z0-9]', '', 'g') AS name, sum(w) AS w FROM raw GROUP BY ALL), leaf AS (SELECT k, name, w / sum(w) OVER (PARTITION BY k) AS weight FROM folded), {PAIR_SQL},
+edges AS (SELECT a, b FROM alike WHERE weighted_jaccard >= 0.72 OR (weighted_jaccard >= 0.55 AND plain_jaccard >= 0.65)), links AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach(k, c) AS (SELECT DISTINCT k, k FROM leaf UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.k), label AS (SELECT k, min(c) AS cluster FROM reach GROUP BY k),
+near AS (SELECT p.k, round(sum(s.weighted_jaccard), 9) AS s FROM (SELECT a AS k, b AS o, weighted_jaccard FROM alike UNION ALL SELECT b, a, weighted_jaccard FROM alike) s JOIN label p ON p.k = s.k JOIN label q ON q.k = s.o AND q.cluster = p.cluster GROUP BY p.k)
+SELECT k AS id, cluster, count(*) OVER (PARTITION BY cluster) AS size, CAST(row_number() OVER (PARTITION BY cluster ORDER BY coalesce(s, 0) DESC, k) = 1 AS INTEGER) AS is_medoid FROM label LEFT JOIN near USING (k)"""
+
+
+@query(f"WITH RECURSIVE {MEDOID_SQL}")
 def cluster_medoid(spark, sf):
     p = A.paths(spark, sf).where("state = 'REPRODUCED'")
-    rows = select.leaf_rows(p.select(F.concat_ws("#", "source", "step").alias("id"), select.at_leaves(F.col("representation")).alias("leaves")), "id", "leaves")
-    return select.clusters(select.leaf_similarity(rows, "id"), rows.select("id").distinct(), "id")
+    rows = select.leaf_rows(p.select(F.concat_ws("#", "source", "step").alias("id"), select.leaves(F.col("representation")).alias("leaves")), "id", "leaves")
+    return select.clusters(rows, "id")
 
 
 # ---- lineage ---------------------------------------------------------------------------------

@@ -59,6 +59,23 @@ def test_partition_keeps_small_components_and_splits_loose_ones():
     assert set(net[40:]) == {3} and set(parent[40:]) == {2} and set(size[:40]) == {40}
 
 
+def test_a_sweep_takes_the_best_gain_of_each_node_in_order():
+    rng = random.Random(11)
+    edges = sorted({tuple(sorted(rng.sample(range(25), 2))) for _ in range(70)})
+    weight = [rng.choice([1.0, 2.0, 0.5]) for _ in edges]
+    p = network.Partition(network.Graph(25, *np.array(edges).T, np.array(weight)))
+    label = list(range(25))
+    both = {**dict(zip(edges, weight)), **{(b, a): w for (a, b), w in zip(edges, weight)}}
+    total = sum(both.values())
+    degree = [sum(w for (a, _), w in both.items() if a == x) for x in range(25)]
+    for _ in range(4):
+        for x in range(25):
+            gains = {c: sum(w for (a, b), w in both.items() if a == x and label[b] == c) - degree[x] * sum(degree[y] for y in range(25) if y != x and label[y] == c) / total for c in {label[b] for a, b in both if a == x} | {label[x]}}
+            label[x] = min(c for c, v in gains.items() if v >= max(gains.values()) - 1e-12)
+        p.sweep()
+        assert p.label.tolist() == label
+
+
 def test_partition_leaves_no_leaky_community():
     random.seed(3)
     edges = {tuple(sorted(random.sample(range(80), 2))) for _ in range(160)}
@@ -74,7 +91,7 @@ def test_partition_leaves_no_leaky_community():
         for c in set(net[nodes]):
             own = [x for x in nodes if net[x] == c]
             vol = sum(g.degree[x] for x in own)
-            cut = sum(w for x in own for y, w in g.near[x].items() if net[y] != c)
+            cut = sum(w for x in own for y, w in zip(g.to[g.first[x] : g.first[x + 1]], g.weight[g.first[x] : g.first[x + 1]]) if net[y] != c)
             assert min(vol, total - vol) <= 1e-12 or cut / min(vol, total - vol) <= 0.2 + 1e-9
 
 
@@ -134,7 +151,7 @@ def test_ramp_never_falls(spark):
 
 
 def test_aliases_and_loading(spark):
-    assert tables.resolve(["Horse PK", "Birth-Year"], {"pk": ["horse_pk"], "year": ["birthyear"], "no": ["x"]}) == {"pk": "Horse PK", "year": "Birth-Year", "no": None}
+    assert tables.resolve(["Competitor PK", "Birth-Year"], {"pk": ["competitor_pk"], "year": ["birthyear"], "no": ["x"]}) == {"pk": "Competitor PK", "year": "Birth-Year", "no": None}
     assert tables.guess_encoding("日本\n".encode("cp932")) == "cp932"
     d = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), (None, 3, 3.0)], "k string, o int, v double")
     assert [tuple(r) for r in loading.last_wins(d, ["k"], "o").collect()] == [("a", 2, 2.0)]
@@ -162,30 +179,67 @@ def test_stream_of_parts_adds_up(spark, tmp_path):
     assert got["n"] == want["n"] == 18 and abs(got["mean_a"] - want["mean_a"]) < 1e-9
 
 
-def test_leaf_jaccard_of_the_whole_table(spark):
-    line = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_suppkey", "l_linestatus", "l_returnflag", "l_quantity").collect()
+def test_leaf_jaccard_at_any_threshold(spark):
+    rng = random.Random(5)
     leaves = {}
-    for k, status, flag, quantity in line:
-        own = leaves.setdefault(k, {})
-        own[status, flag, int(quantity)] = own.get((status, flag, int(quantity)), 0) + 1
-    want = {}
-    for a, b in itertools.combinations(sorted(leaves), 2):
-        x, y = ({n: c / sum(leaves[k].values()) for n, c in leaves[k].items()} for k in (a, b))
-        if x.keys() & y.keys():
+    for k in range(120):
+        base = rng.sample(range(60), rng.randint(1, 12)) if k % 3 or not leaves else list(leaves[k - 1])
+        raw = {n: rng.random() + 0.05 for n in base[: rng.randint(1, len(base))]}
+        leaves[k] = {n: w / sum(raw.values()) for n, w in raw.items()}
+    rows = spark.createDataFrame([(k, f"n{n}", w) for k, own in leaves.items() for n, w in own.items()], "k int, name string, weight double")
+    for least in (0.0, 0.3, 0.55, 0.8):
+        want = {}
+        for a, b in itertools.combinations(sorted(leaves), 2):
+            x, y = leaves[a], leaves[b]
             low = sum(min(x[n], y[n]) for n in x.keys() & y.keys())
-            want[a, b] = (low / (2 - low), len(x.keys() & y.keys()) / len(x.keys() | y.keys()))
-    got = {(r["a"], r["b"]): (r["weighted_jaccard"], r["plain_jaccard"]) for r in plans.QUERIES["leaf_jaccard_whole"](spark, SF).collect()}
-    assert got.keys() == want.keys() and want
-    assert all(np.allclose(got[p], want[p], atol=1e-6) for p in want)
+            if x.keys() & y.keys() and low / (2 - low) >= least:
+                want[a, b] = (low / (2 - low), len(x.keys() & y.keys()) / len(x.keys() | y.keys()))
+        got = {(r["a"], r["b"]): (r["weighted_jaccard"], r["plain_jaccard"]) for r in select.leaf_similarity(rows, "k", least).collect()}
+        assert got.keys() == want.keys() and want
+        assert all(np.allclose(got[p], want[p], atol=1e-9) for p in want)
 
 
 def test_clusters_of_long_chains(spark):
-    order = list(range(45))
+    order = list(range(60))
     random.Random(3).shuffle(order)
-    chains = [[f"a{i:02}" for i in range(45)], [f"b{i:02}" for i in order]]
+    chains = [[f"a{i:02}" for i in range(60)], [f"b{i:02}" for i in order]]
     pairs = [(*sorted(p), 0.9, 0.9) for c in chains for p in itertools.pairwise(c)] + [("a00", "b00", 0.5, 0.9)]
     similar = spark.createDataFrame(pairs, "a string, b string, weighted_jaccard double, plain_jaccard double")
     keys = spark.createDataFrame([(k,) for c in chains for k in c] + [("c",)], "id string")
-    got = {r["id"]: r for r in select.clusters(similar, keys, "id").collect()}
+    label = select.components(similar, keys, "id")
+    got = {r["id"]: r for r in select.medoids(label, similar.where("weighted_jaccard > 0.5"), "id").collect()}
     assert {k: (r["cluster"], r["size"]) for k, r in got.items()} == {k: (min(c), len(c)) for c in [*chains, ["c"]] for k in c}
     assert sorted(k for k, r in got.items() if r["is_medoid"]) == ["a01", min(chains[1][1:-1]), "c"]
+
+
+def test_medoid_weighs_pairs_that_are_not_alike_too(spark):
+    # x-y and y-z are alike, x-z aren't; w is alike to x only, so that sums over alike pairs alone would mislead
+    rows = [("x", "a", 0.6), ("x", "b", 0.4), ("y", "a", 0.85), ("y", "b", 0.15), ("z", "a", 0.9), ("z", "c", 0.1), ("w", "b", 0.55), ("w", "a", 0.45)]
+    d = spark.createDataFrame(rows, "k string, name string, weight double")
+    by = {}
+    for k, n, w in rows:
+        by.setdefault(k, {})[n] = w
+    sim = lambda p, q: (low := sum(min(by[p].get(n, 0), by[q].get(n, 0)) for n in "abc")) / (2 - low)
+    got = {r["k"]: r for r in select.clusters(d, "k").collect()}
+    assert {r["size"] for r in got.values()} == {4}
+    best = max(sorted(by), key=lambda p: sum(sim(p, q) for q in by if q != p))
+    assert [k for k, r in got.items() if r["is_medoid"]] == [best]
+
+
+def test_leaves_by_functions_equal_the_reader(spark):
+    texts = ["A@0.5|B@0.25|C x@0.25", "A@0.5|A@0.25", "A@0.5|B*0.25, C:0.15; D(0.1)", "X, Y; Y | none", "p=>q|r", "", None, "a@1e3|b@2", " a @ 0.5 | b@0", "A@0.5 (x) | B@.5"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    for t, got in zip(texts, [[(x["name"], x["weight"]) for x in r[0]] for r in d.select(select.leaves(F.col("t"))).collect()], strict=True):
+        assert got == select.read_leaves(t), t
+
+
+def test_path_rows_and_selections(spark):
+    cols = "source string, source_rank string, step string, state string, representation string, similarity string, high_jaccard string, carrier_recall string, leaf_count string"
+    raw = spark.createDataFrame([("", " 3 ", "1.0", None, "A@0.5|B@0.5", "0.97", "nan", "inf", ""), (None, None, "0", "x", "R", "", None, None, "7"), (None, "", "2", "y", None, "0.1", None, None, None)], cols)
+    got = select.path_rows(raw).collect()
+    assert [(r["source"], r["step"], r["similarity"], r["high_jaccard"], r["carrier_recall"], r["raw_leaf_count"]) for r in got] == [("SOURCE_RANK_3", 1, 0.97, None, None, 2), ("SOURCE_REP_R", 0, None, None, None, 7), ("UNKNOWN_SOURCE", 2, 0.1, None, None, None)]
+    assert got[0]["effective"] == 2.0 and got[1]["effective"] == 1.0 and got[2]["effective"] is None
+    p = golden(spark).unionByName(golden(spark).where("step = 0").withColumn("source", F.lit("Z")))
+    chosen = {(r["source"], r["label"]): (r["status"], r["step"]) for r in select.selections(p).collect()}
+    assert len(chosen) == 8 and chosen["A|B", "PRACTICAL_KNEE"] == ("OK", 8) and chosen["A|B", "FIRST_BREAK"] == ("OK", 17) and chosen["Z", "PRACTICAL_KNEE"] == ("NOT_AVAILABLE", None)
+    assert [r[0] for r in spark.sql("SELECT 1").select(select.plain_jaccard(F.array().cast("array<string>"), F.array().cast("array<string>"))).collect()] == [1.0]
