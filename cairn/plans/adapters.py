@@ -57,6 +57,23 @@ def entries(spark: SparkSession, sf: str, competitor: str = "l_suppkey") -> Data
     return e.withColumn("n_valid", F.count("*").over(Window.partitionBy("race_id"))).where("n_valid >= 2").drop("n_valid")
 
 
+def wide_races(spark: SparkSession, sf: str) -> DataFrame:
+    """One order as a wide race row of strings, its three dearest lines as placed entries.
+
+    Some keys are placeholders and some stand twice, so that the cleaning has work to do.
+    """
+    line = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice", "l_linenumber", "l_partkey")
+    order = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber", "l_partkey", "l_suppkey")
+    placed = line.withColumn("r", F.row_number().over(order)).where("r <= 3")
+    key = F.when(F.col("l_partkey") % 97 == 0, "need winners name").otherwise(F.concat(F.lit(" S"), F.col("l_suppkey").cast("string"), F.lit(" ")))
+    three = []
+    for i, p in enumerate(("winner", "second", "third"), 1):
+        three += [F.max(F.when(F.col("r") == i, key)).alias(f"{p}_pk"), F.max(F.when(F.col("r") == i, F.concat(F.lit("Supplier "), F.col("l_suppkey").cast("string")))).alias(f"{p}_name")]
+    own = placed.groupBy(F.col("l_orderkey").alias("race_id")).agg(*three)
+    raw = raw_races(spark, sf).select("race_id", F.col("race_id").alias("ordinal"), F.concat(F.col("year").cast("string"), F.lit(".0")).alias("year"), "race_name", F.lit(None).cast("string").alias("comment"), F.lit("").alias("condition"), "country", "track", "surface")
+    return raw.join(own, "race_id")
+
+
 def ratings(spark: SparkSession, sf: str) -> DataFrame:
     """Plain stand-in ratings of each year, surface and competitor, exact in any engine."""
     e = entries(spark, sf)
@@ -129,3 +146,12 @@ PATHS_SQL = """first AS (
 ), post AS (
   SELECT *, similarity >= 0.95 AND (high_jaccard IS NULL OR high_jaccard >= 0.85) AND carrier_recall >= 0.95 AS strict,
     similarity >= 0.80 AND (high_jaccard IS NULL OR high_jaccard >= 0.65) AND carrier_recall >= 0.70 AS fallback FROM paths WHERE state = 'REPRODUCED')"""
+#: The wide races cleaned to entries, in SQL.
+NORMAL_SQL = f"""{RACES_SQL}, three AS (
+  SELECT l_orderkey AS race_id, l_suppkey, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) AS INTEGER) AS placing FROM lineitem
+), valid AS (
+  SELECT race_id, 's' || l_suppkey AS pk, 'Supplier ' || l_suppkey AS name, placing FROM three WHERE placing <= 3 AND l_partkey % 97 <> 0
+), marked AS (
+  SELECT *, row_number() OVER (PARTITION BY race_id, pk ORDER BY placing) AS r, max(k) OVER (PARTITION BY race_id) AS repeated FROM (SELECT *, CAST(row_number() OVER (PARTITION BY race_id, pk ORDER BY placing) > 1 AS INTEGER) AS k FROM valid)
+), normal AS (
+  SELECT race_id, pk, name, placing, repeated, count(*) OVER (PARTITION BY race_id) AS n_valid FROM marked WHERE r = 1)"""

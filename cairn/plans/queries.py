@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import stats as S
 from cairn.functions import text as T
-from cairn.operators import bradley_terry, breadth, frames, lineage, loading, network, races, select, summary
+from cairn.operators import bradley_terry, breadth, calibrate, frames, lineage, loading, network, races, select, summary
+
+from cairn.sources import output
 
 from . import adapters as A
-from .adapters import PATHS_SQL, PEOPLE_SQL, RACES_SQL, RATINGS_SQL, entries_sql, table
+from .adapters import NORMAL_SQL, PATHS_SQL, PEOPLE_SQL, RACES_SQL, RATINGS_SQL, entries_sql, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,6 +53,48 @@ def year_coerce_filter(spark, sf):
     return o.select("o_orderkey", T.whole_year(raw).alias("year")).where("year BETWEEN 1996 AND 1999")
 
 
+_RAW_YEAR = "CASE WHEN o_orderkey % 10 = 3 THEN NULL ELSE CAST(year(o_orderdate) AS INTEGER) END"
+
+
+def _raw_years(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", T.whole_year(F.when(F.col("o_orderkey") % 10 == 3, "abc").otherwise(F.year("o_orderdate").cast("string"))).alias("year"))
+
+
+@query(f"SELECT year, count(*) AS dropped FROM (SELECT {_RAW_YEAR} AS year FROM orders) WHERE year IS NULL OR year NOT BETWEEN 1996 AND 1999 GROUP BY ALL")
+def years_dropped(spark, sf):
+    return loading.split_years(_raw_years(spark, sf), "year", 1996, 1999)[1]
+
+
+@query("SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders WHERE year(o_orderdate) IN (1995, 1998) UNION ALL SELECT -o_orderkey, CAST(year(o_orderdate) AS INTEGER) FROM orders WHERE year(o_orderdate) >= 1998")
+def year_choice(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"))
+    listed = o.where(T.in_years(F.col("year"), T.parse_years("1998, 1995,,"), first=1997))
+    return listed.unionByName(o.where(T.in_years(F.col("year"), None, 1998)).select((-F.col("o_orderkey")).alias("o_orderkey"), "year"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE CAST(year(o_orderdate) AS INTEGER) IN (SELECT 1992 + s_nationkey % 7 FROM supplier WHERE s_acctbal > 9000)")
+def semi_years(spark, sf):
+    years = table(spark, sf, "supplier").where("s_acctbal > 9000").select((1992 + F.col("s_nationkey") % 7).cast("int").alias("wanted"))
+    return table(spark, sf, "orders").join(years, F.year("o_orderdate") == F.col("wanted"), "left_semi").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT c_custkey, c_acctbal AS score FROM customer WHERE c_acctbal > 0 AND c_custkey % 7 <> 0")
+def positive_scores(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 == 0, "n/a").otherwise(F.col("c_acctbal").cast("string")).alias("score"))
+    return loading.positive_scores(c, "score")
+
+
+@query("""SELECT c_custkey, printf('%.2f', c_acctbal) AS number, format('{:,}', CAST(c_acctbal * 100 AS BIGINT)) AS whole, CASE WHEN c_custkey % 7 = 0 THEN '-' WHEN c_custkey % 2 = 0 THEN printf('%.1f%%', 100.0 * (c_custkey % 100) / 100.0) ELSE printf('%.1f%%', 2.0 + c_custkey % 50) END AS share,
+printf('%.6f', c_acctbal / 3) AS six, rpad(left(c_name, 12), 14, ' ') AS name, 'Step ' || c_custkey AS step, c_nationkey AS whole_number FROM customer""")
+def number_texts(spark, sf):
+    c, k = table(spark, sf, "customer"), F.col("c_custkey")
+    share = F.when(k % 7 != 0, F.when(k % 2 == 0, (k % 100) / 100.0).otherwise(2.0 + k % 50))
+    return c.select(
+        "c_custkey", T.number_text(F.col("c_acctbal")).alias("number"), T.count_text((F.round(F.col("c_acctbal") * 100)).cast("long")).alias("whole"), T.percent_text(share).alias("share"), T.plain_text(F.col("c_acctbal") / 3, "double").alias("six"),
+        F.rpad(T.padded(F.col("c_name"), 12), 14, " ").alias("name"), T.step_label(k).alias("step"), T.to_int(F.concat(F.lit(" "), F.col("c_nationkey").cast("string"), F.lit(".9 "))).alias("whole_number"),
+    )
+
+
 @query("SELECT s_suppkey FROM supplier WHERE s_suppkey % 4 NOT IN (1, 2, 3)")
 def valid_pk_filter(spark, sf):
     k = F.col("s_suppkey") % 4
@@ -95,6 +140,11 @@ def stable_fold(spark, sf):
 
 # ---- races and comparisons -------------------------------------------------------------------
 
+@query(f"WITH {NORMAL_SQL} SELECT race_id, pk, name, placing, repeated, n_valid, year, race_type, surface_family, country, track FROM normal JOIN races USING (race_id)")
+def normalise_races(spark, sf):
+    return races.normalise_races(A.wide_races(spark, sf)).select("race_id", "pk", "name", "placing", "repeated", "n_valid", *GROUP, "country", "track")
+
+
 @query(f"WITH {entries_sql()} SELECT race_id, pk, placing, year, race_type, surface_family FROM entries")
 def race_dedup(spark, sf):
     return A.entries(spark, sf).select("race_id", "pk", "placing", *GROUP)
@@ -337,21 +387,70 @@ def competitor_confidence(spark, sf):
     return h.select(*GROUP, "pk", *(F.round(c, 6).alias(k) for k, c in breadth.competitor_confidence().items()))
 
 
-@query()
+_RATIO = "CASE WHEN {1} > 1e-12 THEN least(greatest({0} / {1}, 0), 1) ELSE 0 END"
+_H = ", ".join(f"{c} AS h_{c}" for c in _COLS)
+RET_SQL = NETC_SQL + ", " + _breadth_sql("year, race_type, surface_family, pk", ("e", "won", "e", "won", "hmet"), "e").replace("top3_domains AS (", "ct3d AS (").replace("win_domains AS (", "cwd AS (").replace("top3_countries AS (", "ct3c AS (").replace("win_countries AS (", "cwc AS (").replace("opponent_networks AS (", "con AS (").replace("LEFT JOIN top3_domains", "LEFT JOIN ct3d AS top3_domains").replace("LEFT JOIN win_domains", "LEFT JOIN cwd AS win_domains").replace("LEFT JOIN top3_countries", "LEFT JOIN ct3c AS top3_countries").replace("LEFT JOIN win_countries", "LEFT JOIN cwc AS win_countries").replace("LEFT JOIN opponent_networks", "LEFT JOIN con AS opponent_networks") + f""",
+own AS (SELECT year, race_type, surface_family, pk, {_H}, {_HV} AS venue_c, {_HO} AS bridge_c, {_HA} AS abroad_c FROM e_b),
+rated AS (SELECT year, race_type, surface_family, pk, pk % 7 AS network_id, 90.0::DOUBLE + 30.0::DOUBLE * count(*) FILTER (placing = 1) / count(*) + pk % 13 AS rating FROM entries GROUP BY year, race_type, surface_family, pk),
+joined AS (SELECT * FROM rated LEFT JOIN netc USING (year, race_type, surface_family, network_id) LEFT JOIN own USING (year, race_type, surface_family, pk)),
+used0 AS (SELECT *, {_RATIO.format('h_effective_top3_domains', 'effective_top3_domains')} AS p FROM joined),
+used AS (SELECT *, CASE WHEN effective_win_domains <= 1e-12 THEN p ELSE {_RATIO.format('h_effective_win_domains', 'effective_win_domains')} END AS w, {_RATIO.format('h_effective_opponent_networks', 'effective_opponent_networks')} AS o, CASE WHEN effective_opponent_networks <= 1e-12 THEN 0 ELSE {_RATIO.format('h_opponent_networks_total', 'opponent_networks_total')} END AS m FROM used0),
+use_ AS (SELECT *, 0.65::DOUBLE * (0.65::DOUBLE * p + 0.35::DOUBLE * w) + 0.35::DOUBLE * (0.70::DOUBLE * o + 0.30::DOUBLE * m) AS used FROM used),
+kept AS (SELECT *, least(0.25::DOUBLE + 0.35::DOUBLE * internal + 0.15::DOUBLE * external * (0.25::DOUBLE + 0.75::DOUBLE * used) + 0.15::DOUBLE * venue_c + 0.20::DOUBLE * bridge_c + 0.05::DOUBLE * abroad_c, 1) AS retention,
+  least(0.25::DOUBLE + 0.40::DOUBLE * internal + 0.30::DOUBLE * external + 0.05::DOUBLE * venue_c + 0.10::DOUBLE * bridge_c + 0.05::DOUBLE * abroad_c, 1) AS basic FROM use_)"""
+
+
+@query(f"""WITH {RET_SQL} SELECT year, race_type, surface_family, pk, network_id, rating, round(used, 6) AS network_use, round(basic, 6) AS basic, round(retention, 6) AS retention, round(100 + retention * (rating - 100), 6) AS calibrated,
+round(CASE WHEN rating > 100 THEN 100 + retention * (rating - 100) ELSE rating END, 6) AS ceiling, round(CASE WHEN rating > 100 THEN retention * (rating - 100) + 100 - rating ELSE 0 END, 6) AS change FROM kept""")
 def retention_realized(spark, sf):
-    """Retention of the stand-in ratings: two left joins, then arithmetic, then one rank."""
-    n = _net_confidence(spark, sf)
-    n = n.select(*GROUP, "network_id", *(F.col(c).alias(f"n_{c}") for c in _COLS), "internal", "external")
-    h = _breadth(spark, sf)[1]
-    h = h.select(*GROUP, "pk", *(F.col(c).alias(f"h_{c}") for c in _COLS))
-    r = races.placing_counts(A.entries(spark, sf)).withColumn("network_id", F.col("pk") % 7).withColumn("rating", 90.0 + 30.0 * F.col("wins") / F.col("top3") + F.col("pk") % 13)
-    x = r.join(n, [*GROUP, "network_id"], "left").join(h, [*GROUP, "pk"], "left")
-    conf = breadth.competitor_confidence("h_")
-    use = breadth.network_use("n_", "h_")
-    x = x.withColumn("use", use).withColumn("retention", breadth.retention_realized(S.number(F.col("internal")), S.number(F.col("external")), use, conf["own_venue"], conf["bridge"], conf["own_international"]))
-    x = x.withColumn("basic", breadth.retention_basic(S.number(F.col("internal")), S.number(F.col("external")), conf["own_venue"], conf["bridge"], conf["own_international"]))
-    out = x.select(*GROUP, "pk", "network_id", "rating", "use", "basic", "retention", *(c.alias(k) for k, c in breadth.calibrated(F.col("rating"), F.col("retention")).items()))
-    return out.withColumn("rank", F.rank().over(Window.partitionBy(*GROUP).orderBy(F.desc("ceiling"))))
+    """Retention of the stand-in ratings: two left joins, then arithmetic."""
+    e = A.entries(spark, sf).withColumn("network_id", F.col("pk") % 7)
+    net, own = breadth.breadth(e, GROUP)
+    sizes = e.groupBy(*GROUP, "network_id").agg(F.countDistinct("pk").alias("competitors"), F.countDistinct("race_id").alias("races"), (2 * F.count("*")).alias("compared"))
+    rated = races.placing_counts(e).select(*GROUP, F.col("pk").cast("string").alias("pk"), (F.col("pk") % 7).alias("network_id"), (90.0 + 30.0 * F.col("wins") / F.col("top3") + F.col("pk") % 13).alias("rating"))
+    out = calibrate.calibrate(rated, net, own, sizes)
+    return out.select(*GROUP, F.col("pk").cast("long").alias("pk"), "network_id", "rating", *r6("network_use"), F.round("basic_retention", 6).alias("basic"), *r6("retention", "calibrated", "ceiling", "change"))
+
+
+# ---- both stages from wide races ----------------------------------------------------------------
+
+def _stages(spark, sf) -> calibrate.Results:
+    return calibrate.run(races.normalise_races(A.wide_races(spark, sf)), output.Store(spark, "stages").save)
+
+
+FULL_SQL = f"""{NORMAL_SQL}, full_entries AS (SELECT * FROM normal JOIN races USING (race_id) WHERE n_valid >= 2),
+full_pairs AS (SELECT a.year, a.race_type, a.surface_family, a.pk AS winner, b.pk AS loser FROM full_entries a JOIN full_entries b ON a.race_id = b.race_id AND a.placing < b.placing)"""
+
+
+@query(f"WITH {FULL_SQL} SELECT year, race_type, surface_family, count(*) AS comparisons, 1 AS fitted, (SELECT count(DISTINCT k) FROM (SELECT winner AS k, year, race_type, surface_family FROM full_pairs UNION ALL SELECT loser, year, race_type, surface_family FROM full_pairs) q WHERE q.year = p.year AND q.race_type = p.race_type AND q.surface_family = p.surface_family) AS competitors, 0.0 AS largest_gradient FROM full_pairs p GROUP BY ALL")
+def bt_gradient(spark, sf):
+    """The fit's own condition: at the optimum no competitor's gradient differs from zero."""
+    entries = races.normalise_races(A.wide_races(spark, sf)).where("n_valid >= 2")
+    pairs = races.comparisons(entries)
+    fitted = bradley_terry.fit_groups(entries)
+    return bradley_terry.gradient_check(fitted, pairs).select(*GROUP, "comparisons", "fitted", "competitors", F.round("largest_gradient", 6).alias("largest_gradient"))
+
+
+@query(f"WITH {FULL_SQL} SELECT year, race_type, surface_family, count(DISTINCT pk) AS rated, CAST(100.0 AS DOUBLE) AS mean_rating FROM full_entries WHERE pk IN (SELECT winner FROM full_pairs UNION SELECT loser FROM full_pairs) GROUP BY ALL")
+def stage_ratings(spark, sf):
+    """Stage A's ratings, as many as SQL finds competitors, and centred in every group."""
+    return _stages(spark, sf).ratings.groupBy(*GROUP).agg(F.count("*").alias("rated"), F.round(F.avg("rating"), 6).alias("mean_rating"))
+
+
+@query()
+def stage_networks(spark, sf):
+    return _stages(spark, sf).networks
+
+
+@query()
+def stage_competitors(spark, sf):
+    return _stages(spark, sf).competitors
+
+
+@query()
+def calibrated_ratings(spark, sf):
+    """Stage A to B in one: ratings, networks, breadth, retention, ceiling and ranks."""
+    return _stages(spark, sf).calibrated
 
 
 # ---- representations -------------------------------------------------------------------------
@@ -371,9 +470,38 @@ def pareto_frontier(spark, sf):
     return select.frontier(A.paths(spark, sf)).select("source", "step", "similarity", "effective")
 
 
-@query()
+FRONT_SQL = PATHS_SQL + """, front AS (SELECT source, step, similarity, effective FROM post a WHERE fallback AND NOT EXISTS (SELECT 1 FROM post b WHERE b.fallback AND b.source = a.source AND b.step >= a.step AND b.similarity >= a.similarity AND b.effective <= a.effective AND (b.step > a.step OR b.similarity > a.similarity OR b.effective < a.effective)))"""
+_UNIT = "CASE WHEN max({0}) OVER w > min({0}) OVER w THEN ({0} - min({0}) OVER w) / (max({0}) OVER w - min({0}) OVER w) ELSE 0.5 END"
+KNEE_SQL = f"""{FRONT_SQL}, axes AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY source ORDER BY step, effective, similarity) AS i, {_UNIT.format('CAST(step AS DOUBLE)')} AS x, {_UNIT.format('similarity')} AS y, 1 - {_UNIT.format('effective')} AS z FROM front WINDOW w AS (PARTITION BY source)),
+ends AS (SELECT *, {', '.join(f"max({c}) FILTER (i = 1) OVER w AS {c}0, max({c}) FILTER (i = n) OVER w - max({c}) FILTER (i = 1) OVER w AS v{c}" for c in 'xyz')} FROM axes WINDOW w AS (PARTITION BY source)),
+along AS (SELECT *, CASE WHEN vx * vx + vy * vy + vz * vz > 1e-15 THEN ((x - x0) * vx + (y - y0) * vy + (z - z0) * vz) / (vx * vx + vy * vy + vz * vz) ELSE 0 END AS t FROM ends),
+far AS (SELECT *, sqrt((x - x0 - t * vx) ** 2 + (y - y0 - t * vy) ** 2 + (z - z0 - t * vz) ** 2) AS distance, i > 1 AND i < n AS inner_row FROM along),
+bent AS (SELECT *, max(distance) FILTER (inner_row) OVER (PARTITION BY source) AS bend FROM far),
+picked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY
+  CASE WHEN n <= 2 THEN -step WHEN bend > 1e-12 AND inner_row THEN 0 WHEN bend > 1e-12 THEN 1 ELSE sqrt((1 - x) ** 2 + (1 - y) ** 2 + (1 - z) ** 2) END,
+  CASE WHEN n <= 2 THEN -similarity WHEN bend > 1e-12 THEN -distance ELSE 0 END, CASE WHEN n > 2 AND bend > 1e-12 THEN -(x + y + z) ELSE 0 END, i) AS r FROM bent)"""
+
+
+@query(f"WITH {KNEE_SQL} SELECT source, step, similarity, effective, round(CASE WHEN n > 2 THEN distance END, 6) AS knee_distance FROM picked WHERE r = 1")
 def knee_point(spark, sf):
-    return select.knee(select.frontier(A.paths(spark, sf)))
+    return select.knee(select.frontier(A.paths(spark, sf))).withColumn("knee_distance", F.round("knee_distance", 6))
+
+
+@query(f"""WITH {KNEE_SQL}, l AS (SELECT *, CASE WHEN strict THEN 0 WHEN fallback THEN 1 ELSE 2 END AS level FROM post), m AS (SELECT *, min(level) OVER (PARTITION BY source) AS best FROM l), c AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY effective, step DESC, similarity DESC) AS r FROM m WHERE level = best),
+labels AS (SELECT DISTINCT source, unnest(['DEEPEST_REPRODUCIBLE', 'MINIMUM_SUFFICIENT', 'PRACTICAL_KNEE', 'FIRST_BREAK']) AS label FROM paths),
+chosen AS (SELECT source, 'DEEPEST_REPRODUCIBLE' AS label, max(step) AS step FROM paths WHERE state <> 'BREAK_CANDIDATE' GROUP BY source UNION ALL SELECT source, 'FIRST_BREAK', min(step) FROM paths WHERE state = 'BREAK_CANDIDATE' GROUP BY source
+  UNION ALL SELECT source, 'MINIMUM_SUFFICIENT', step FROM c WHERE r = 1 UNION ALL SELECT source, 'PRACTICAL_KNEE', step FROM picked WHERE r = 1)
+SELECT source, label, step, CASE WHEN step IS NULL THEN 'NOT_AVAILABLE' ELSE 'OK' END AS status FROM labels LEFT JOIN chosen USING (source, label)""")
+def selections(spark, sf):
+    return select.selections(A.paths(spark, sf)).select("source", "label", "step", "status")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN trim(p_name) WHEN p_partkey % 3 = 1 THEN 'SOURCE_RANK_' || p_size WHEN p_partkey % 2 = 0 THEN 'SOURCE_REP_' || p_type ELSE 'UNKNOWN_SOURCE' END AS source FROM part""")
+def source_keys(spark, sf):
+    k = F.col("p_partkey")
+    name = F.when(k % 3 == 0, F.concat(F.lit(" "), "p_name", F.lit(" "))).otherwise(F.lit(" "))
+    rank = F.when(k % 3 == 1, F.col("p_size").cast("string"))
+    return table(spark, sf, "part").select("p_partkey", select.source_key(name, rank, F.when(k % 2 == 0, "0.0").otherwise("2"), F.col("p_type")).alias("source"))
 
 
 @query(f"""WITH {PATHS_SQL}, l AS (SELECT *, CASE WHEN strict THEN 0 WHEN fallback THEN 1 ELSE 2 END AS level FROM post), m AS (SELECT *, min(level) OVER (PARTITION BY source) AS best FROM l), c AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY effective, step DESC, similarity DESC) AS r FROM m WHERE level = best)
@@ -404,9 +532,9 @@ PAIR_SQL = """z AS (SELECT k, count(*) AS c FROM leaf GROUP BY k), j AS (SELECT
 alike AS (SELECT a, b, low / (2 - low) AS weighted_jaccard, j.c / (x.c + y.c - j.c) AS plain_jaccard FROM j JOIN z x ON x.k = a JOIN z y ON y.k = b)"""
 
 
-@query(f"WITH {LEAF_SQL}, {PAIR_SQL} SELECT a, b, round(weighted_jaccard, 6) AS weighted_jaccard, round(plain_jaccard, 6) AS plain_jaccard FROM alike WHERE weighted_jaccard >= 0.55 - 1e-12")
+@query(f"WITH {LEAF_SQL}, {PAIR_SQL} SELECT a, b, round(weighted_jaccard, 6) AS weighted_jaccard, round(plain_jaccard, 6) AS plain_jaccard FROM alike WHERE weighted_jaccard >= 0.45")
 def leaf_jaccard(spark, sf):
-    return select.leaf_similarity(_leaf_rows(table(spark, sf, "lineitem")), "k").select("a", "b", *r6("weighted_jaccard", "plain_jaccard"))
+    return select.leaf_similarity(_leaf_rows(table(spark, sf, "lineitem")), "k", 0.45).select("a", "b", *r6("weighted_jaccard", "plain_jaccard"))
 
 
 MEDOID_SQL = f"""{PATHS_SQL}, raw AS (SELECT source || '#' || step AS k, unnest([t, u || ' x', replace(m, ' ', '_')]) AS leaf, unnest(ws) AS w FROM paths WHERE state = 'REPRODUCED'),
@@ -426,6 +554,13 @@ def cluster_medoid(spark, sf):
 
 # ---- lineage ---------------------------------------------------------------------------------
 
+def _rho_sql(share: str) -> str:
+    place = lambda c: f"rank() OVER (PARTITION BY parent ORDER BY {c}) + (count(*) OVER (PARTITION BY parent, {c}) - 1) / 2.0"
+    return f"s{share[0]} AS (SELECT parent, CASE WHEN count(*) >= 3 AND var_pop(x) > 1e-9 AND var_pop(y) > 1e-9 THEN round(corr(x, y), 6) END AS {share}_rho FROM (SELECT parent, {place(f'{share}_pct')} AS x, {place('rating')} AS y FROM kids WHERE rating IS NOT NULL AND {share}_pct IS NOT NULL) GROUP BY parent)"
+
+
+RHO_SQL = f"{_rho_sql('old')}, {_rho_sql('dn')}"
+
 def _kids(spark, sf):
     p = A.people(spark, sf)
     return lineage.children(p, p)
@@ -436,36 +571,85 @@ def children(spark, sf):
     return _kids(spark, sf).select("parent", "pk", "name", "rating")
 
 
-@query(f"""WITH {PEOPLE_SQL}, g AS (SELECT parent, count(*) AS n, count(rating) AS rated, round(avg(rating), 6) AS mean_rating, median(rating) AS median_rating, count(*) FILTER (rating >= 105) AS n105, count(*) FILTER (rating >= 110) AS n110, count(*) FILTER (rating >= 115) AS n115, count(*) FILTER (rating >= 120) AS n120 FROM kids GROUP BY ALL),
-b AS (SELECT * FROM kids WHERE rating IS NOT NULL AND dn_pct IS NOT NULL), k AS (SELECT parent, rank() OVER (PARTITION BY parent ORDER BY dn_pct) + (count(*) OVER (PARTITION BY parent, dn_pct) - 1) / 2.0 AS x, rank() OVER (PARTITION BY parent ORDER BY rating) + (count(*) OVER (PARTITION BY parent, rating) - 1) / 2.0 AS y FROM b),
-s AS (SELECT parent, CASE WHEN count(*) >= 3 AND var_pop(x) > 1e-9 AND var_pop(y) > 1e-9 THEN round(corr(x, y), 6) END AS dn_rho FROM k GROUP BY parent) SELECT g.*, dn_rho FROM g LEFT JOIN s USING (parent)""")
+@query(f"""WITH {PEOPLE_SQL}, g AS (SELECT parent, count(*) AS n, count(rating) AS rated, round(avg(rating), 6) AS mean_rating, median(rating) AS median_rating, count(*) FILTER (rating >= 105) AS n105, count(*) FILTER (rating >= 110) AS n110, count(*) FILTER (rating >= 115) AS n115, count(*) FILTER (rating >= 120) AS n120,
+round(avg(old_pct), 6) AS mean_old, round(median(old_pct), 6) AS median_old, round(avg(dn_pct), 6) AS mean_dn, round(median(dn_pct), 6) AS median_dn FROM kids GROUP BY ALL), {RHO_SQL} SELECT g.*, old_rho, dn_rho FROM g LEFT JOIN so USING (parent) LEFT JOIN sd USING (parent)""")
 def progeny_summary(spark, sf):
-    return lineage.progeny_summary(_kids(spark, sf)).withColumn("mean_rating", F.round("mean_rating", 6)).withColumn("dn_rho", F.round("dn_rho", 6))
+    out = lineage.progeny_summary(_kids(spark, sf))
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_rating", "mean_old", "median_old", "mean_dn", "median_dn", "old_rho", "dn_rho")})
+
+
+@query(f"""WITH {PEOPLE_SQL}, {RHO_SQL}, every AS (SELECT DISTINCT parent, unnest(['LOW', 'MID', 'HIGH']) AS band FROM kids), b AS (SELECT parent, CASE WHEN dn_pct < 0.4 THEN 'LOW' WHEN dn_pct < 0.75 THEN 'MID' ELSE 'HIGH' END AS band, count(*) AS n, count(rating) AS rated, round(avg(rating), 6) AS mean_rating, count(*) FILTER (rating >= 110) AS n110 FROM kids WHERE dn_pct IS NOT NULL GROUP BY ALL)
+SELECT parent, band, coalesce(n, 0) AS n, coalesce(rated, 0) AS rated, mean_rating, coalesce(n110, 0) AS n110, old_rho, dn_rho FROM every LEFT JOIN b USING (parent, band) LEFT JOIN so USING (parent) LEFT JOIN sd USING (parent)""")
+def trend(spark, sf):
+    return lineage.trend(_kids(spark, sf)).withColumns({c: F.round(c, 6) for c in ("mean_rating", "old_rho", "dn_rho")})
+
+
+@query(f"""WITH {PEOPLE_SQL}, n AS (SELECT parent AS pk, count(*) AS children FROM kids GROUP BY ALL) SELECT p.pk, p.name, coalesce(s.name, CAST(p.sire_pk AS VARCHAR), '-') AS sire_name, coalesce(d.name, CAST(p.dam_pk AS VARCHAR), '-') AS dam_name, coalesce(children, 0) AS children
+FROM people p LEFT JOIN people s ON s.pk = p.sire_pk LEFT JOIN people d ON d.pk = p.dam_pk LEFT JOIN n ON n.pk = p.pk WHERE p.pk % 3 = 0""")
+def profile(spark, sf):
+    p = A.people(spark, sf)
+    return lineage.profile(p, p.where("pk % 3 = 0")).select("pk", "name", "sire_name", "dam_name", "children")
+
+
+@query(f"""WITH {PEOPLE_SQL}, o AS (SELECT *, unnest([1, 2, 3, 4, 5]) AS mode FROM kids WHERE parent = 2), r AS (SELECT mode, parent, pk, CAST(row_number() OVER (PARTITION BY mode ORDER BY
+  CASE WHEN mode = 1 THEN -rating WHEN mode = 2 THEN -dn_pct WHEN mode = 3 THEN -old_pct WHEN mode = 4 THEN dn_pct ELSE birth_year END NULLS LAST, CASE WHEN mode = 5 THEN name ELSE '' END, pk) AS INTEGER) AS place FROM o) SELECT mode, parent, pk FROM r WHERE place BETWEEN 4 AND 6""")
+def child_orders(spark, sf):
+    kids = _kids(spark, sf).where("parent = 2")
+    pages = [lineage.page(kids, 1, 3, mode).select(F.lit(mode).alias("mode"), "parent", "pk") for mode in lineage.ORDERS]
+    return reduce(lambda a, b: a.unionByName(b), pages)
+
+
+@query(f"""WITH {PEOPLE_SQL} SELECT parent, pk, rpad(left(name, 28), 28, ' ') AS name, lpad(CASE WHEN birth_year IS NULL THEN '-' ELSE format('{{:,}}', birth_year) END, 5, ' ') AS born, lpad(CASE WHEN old_pct IS NULL THEN '-' ELSE printf('%.1f%%', old_pct * 100) END, 8, ' ') AS old,
+lpad(CASE WHEN dn_pct IS NULL THEN '-' ELSE printf('%.1f%%', dn_pct * 100) END, 8, ' ') AS dn, lpad(CASE WHEN rating IS NULL THEN '-' ELSE printf('%.2f', rating) END, 9, ' ') AS rating FROM kids""")
+def child_listing(spark, sf):
+    return lineage.listing(_kids(spark, sf))
+
 
+@query(f"WITH {RATINGS_SQL} SELECT pk, year, surface_family, rating FROM ratings WHERE pk % 50 = 1 ORDER BY pk, year, surface_family")
+def rating_history(spark, sf):
+    r = A.ratings(spark, sf)
+    return lineage.history(r, r.where("pk % 50 = 1").select("pk").distinct()).select("pk", "year", "surface_family", "rating")
 
-@query(f"WITH {PEOPLE_SQL} SELECT parent, CASE WHEN dn_pct < 0.4 THEN 'LOW' WHEN dn_pct < 0.75 THEN 'MID' ELSE 'HIGH' END AS band, count(*) AS n, count(rating) AS rated, round(avg(rating), 6) AS mean_rating, count(*) FILTER (rating >= 110) AS n110 FROM kids WHERE dn_pct IS NOT NULL GROUP BY ALL")
+
+@query(f"WITH {PEOPLE_SQL}, m AS (SELECT *, CASE WHEN sire_pk = parent THEN dam_pk ELSE sire_pk END AS mate, CAST(row_number() OVER (PARTITION BY parent ORDER BY rating DESC NULLS LAST, pk) AS INTEGER) AS place FROM kids) SELECT m.parent, m.pk, m.place, m.mate, coalesce(p.name, CAST(m.mate AS VARCHAR), '-') AS mate_name FROM m LEFT JOIN people p ON p.pk = m.mate WHERE place <= 4")
+def bearing(spark, sf):
+    return lineage.bearing(_kids(spark, sf), A.people(spark, sf), 4).select("parent", "pk", "place", "mate", "mate_name")
+
+
+@query(f"WITH {PEOPLE_SQL} SELECT parent, CASE WHEN dn_pct < 0.4 THEN 'LOW' WHEN dn_pct < 0.75 THEN 'MID' ELSE 'HIGH' END AS band, count(*) AS n, count(rating) AS rated, round(avg(rating), 6) AS mean_rating, count(*) FILTER (rating >= 110) AS n110, round(avg(old_pct), 6) AS mean_old, round(avg(dn_pct), 6) AS mean_dn FROM kids WHERE dn_pct IS NOT NULL GROUP BY ALL")
 def dn_bands(spark, sf):
-    return lineage.bands(_kids(spark, sf), lineage.share_band(F.col("dn_pct")), "band").withColumn("mean_rating", F.round("mean_rating", 6))
+    return lineage.bands(_kids(spark, sf), lineage.share_band(F.col("dn_pct")), "band").withColumns({c: F.round(c, 6) for c in ("mean_rating", "mean_old", "mean_dn")})
 
 
-@query(f"WITH {PEOPLE_SQL} SELECT parent, birth_year // 5 * 5 AS band, count(*) AS n, count(rating) AS rated, round(avg(rating), 6) AS mean_rating, count(*) FILTER (rating >= 110) AS n110 FROM kids WHERE birth_year IS NOT NULL GROUP BY ALL")
+@query(f"WITH {PEOPLE_SQL} SELECT parent, birth_year // 5 * 5 AS band, count(*) AS n, count(rating) AS rated, round(avg(rating), 6) AS mean_rating, count(*) FILTER (rating >= 110) AS n110, round(avg(old_pct), 6) AS mean_old, round(avg(dn_pct), 6) AS mean_dn FROM kids WHERE birth_year IS NOT NULL GROUP BY ALL")
 def birth_bands(spark, sf):
-    return lineage.bands(_kids(spark, sf), F.floor(F.col("birth_year") / 5) * 5, "band").withColumn("mean_rating", F.round("mean_rating", 6))
+    return lineage.bands(_kids(spark, sf), F.floor(F.col("birth_year") / 5) * 5, "band").withColumns({c: F.round(c, 6) for c in ("mean_rating", "mean_old", "mean_dn")})
 
 
-@query(f"WITH {PEOPLE_SQL} SELECT parent, pk, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY parent ORDER BY rating DESC NULLS LAST, pk) AS INTEGER) AS place FROM kids) WHERE place <= 5")
+@query(f"WITH {PEOPLE_SQL} SELECT parent, pk, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY parent ORDER BY rating DESC, pk) AS INTEGER) AS place FROM kids WHERE rating IS NOT NULL) WHERE place <= 5")
 def representatives(spark, sf):
     return lineage.representatives(_kids(spark, sf), 5).select("parent", "pk", "place")
 
 
+@query(f"WITH {PEOPLE_SQL} SELECT parent, pk, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY parent ORDER BY rating DESC, pk) AS INTEGER) AS place FROM kids WHERE rating IS NOT NULL AND dn_pct < 0.4) WHERE place <= 20")
+def representatives_low(spark, sf):
+    return lineage.representatives(_kids(spark, sf), 20, 0.40).select("parent", "pk", "place")
+
+
 @query(f"WITH {PEOPLE_SQL}, m AS (SELECT parent, CASE WHEN sire_pk = parent THEN dam_pk ELSE sire_pk END AS mate FROM kids), c AS (SELECT parent, mate, count(*) AS n FROM m WHERE mate IS NOT NULL GROUP BY ALL), r AS (SELECT c.*, name AS mate_name, CAST(row_number() OVER (PARTITION BY parent ORDER BY n DESC, mate) AS INTEGER) AS place FROM c LEFT JOIN people ON pk = mate) SELECT * FROM r WHERE place <= 60")
 def mates(spark, sf):
     return lineage.mates(_kids(spark, sf), A.people(spark, sf)).select("parent", "mate", "n", "mate_name", "place")
 
 
-@query(f"WITH {PEOPLE_SQL} SELECT pk, name, birth_year FROM people WHERE contains(lower(name), '00012') OR CAST(pk AS VARCHAR) = '00012' ORDER BY birth_year NULLS FIRST, name, pk LIMIT 50")
+@query(f"WITH {PEOPLE_SQL} SELECT pk, name, birth_year FROM people WHERE contains(regexp_replace(lower(name), '[^0-9a-z]', '', 'g'), '00012') OR contains(CAST(pk AS VARCHAR), '00012') ORDER BY birth_year NULLS FIRST, name, pk LIMIT 50")
 def name_search(spark, sf):
-    return lineage.search(A.people(spark, sf), "00012").select("pk", "name", "birth_year")
+    return lineage.search(A.people(spark, sf), " 00012").select("pk", "name", "birth_year")
+
+
+@query(f"WITH {PEOPLE_SQL} SELECT pk, name, birth_year FROM people WHERE pk = 12")
+def key_search(spark, sf):
+    """A key finds its own individual only, though names hold the same digits."""
+    return lineage.search(A.people(spark, sf), "12").select("pk", "name", "birth_year")
 
 
 @query(f"WITH {PEOPLE_SQL} SELECT parent, pk, rating FROM kids ORDER BY rating DESC NULLS LAST, pk, parent LIMIT 30 OFFSET 60")
@@ -493,11 +677,14 @@ def monotone_jitter(spark, sf):
 TOP_SQL = "top AS (SELECT p_name || ' [' || p_partkey || ']' AS label, p_retailprice AS value, CAST(5 + 10 * (row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1) AS INTEGER) AS start FROM (SELECT * FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20)), frames AS (SELECT CAST(step AS INTEGER) AS step, label, value * least(1, greatest(0, (step - start + 1) / 10)) AS value FROM top, range(205) t(step))"
 
 
-def _ramp(spark, sf):
+def _labels(spark, sf):
     top = table(spark, sf, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(20)
     w = Window.orderBy("p_retailprice", "p_partkey")  # twenty rows
-    labels = top.select(F.concat("p_name", F.lit(" ["), F.col("p_partkey").cast("string"), F.lit("]")).alias("label"), F.col("p_retailprice").alias("value"), (5 + 10 * (F.row_number().over(w) - 1)).alias("start"))
-    return frames.ramp(labels, 205, 10)
+    return top.select(F.concat("p_name", F.lit(" ["), F.col("p_partkey").cast("string"), F.lit("]")).alias("label"), F.col("p_retailprice").alias("value"), (5 + 10 * (F.row_number().over(w) - 1)).alias("start"))
+
+
+def _ramp(spark, sf):
+    return frames.ramp(_labels(spark, sf), 205, 10)
 
 
 @query(f"WITH {TOP_SQL} SELECT step, label, round(value, 6) AS value FROM frames")
@@ -536,3 +723,48 @@ def round_null_clean(spark, sf):
 @query("SELECT s_suppkey, name, value FROM (SELECT s_suppkey, s_acctbal, CAST(s_nationkey AS DOUBLE) AS s_nationkey FROM supplier) UNPIVOT (value FOR name IN (s_acctbal, s_nationkey))")
 def unpivot_matrix(spark, sf):
     return loading.unpivot(table(spark, sf, "supplier").selectExpr("s_suppkey", "s_acctbal", "CAST(s_nationkey AS DOUBLE) AS s_nationkey"), "s_suppkey")
+
+
+@query(f"WITH {TOP_SQL} SELECT step, label, CASE WHEN step < start OR value * least(1, greatest(0, (step - start + 1) / 10)) < 1e-9 THEN NULL ELSE round(value * least(1, greatest(0, (step - start + 1) / 10)), 6) END AS value FROM (SELECT CAST(step AS INTEGER) AS step, label, value, start FROM top, range(205) t(step))")
+def rising_frames(spark, sf):
+    return frames.rising(_labels(spark, sf), 205, 10).withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {TOP_SQL} SELECT 'Step ' || (step + 1) AS period, CAST(step AS INTEGER) AS step, label, least(CASE WHEN step < start THEN 0.0 ELSE value END, round(0.9 * (SELECT max(value) FROM top), 9)) AS value FROM top, range(205) t(step)")
+def jumping_frames(spark, sf):
+    shown = frames.rising(_labels(spark, sf), 205, 1, shown=True)
+    return frames.named_steps(frames.clipped(shown, 0.9).withColumn("value", F.round("value", 9)))
+
+
+@query("SELECT 205 AS steps, 1025 AS pictures, 82.0 AS seconds")
+def frame_duration(spark, sf):
+    return frames.duration(_ramp(spark, sf), 400.0, 5)
+
+
+@query("SELECT p_brand, p_partkey, p_name || ' (' || (rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) - 1) || ')' AS label FROM part")
+def place_labels(spark, sf):
+    return table(spark, sf, "part").select("p_brand", "p_partkey", frames.place_label(F.col("p_name"), F.col("p_size"), ["p_brand"]).alias("label"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS pk, 2000 + CAST(event_id % 5 AS INTEGER) AS year, round(arg_max(value, event_id), 6) AS rating FROM events WHERE event_id % 11 <> 0 AND user_id % 13 <> 0 GROUP BY ALL")
+def yearly_ratings(spark, sf):
+    e = table(spark, sf, "events")
+    raw = e.select(F.when(F.col("user_id") % 13 == 0, " ").otherwise(F.concat(F.col("user_id").cast("string"), F.lit(" "))).alias("pk"), F.concat((2000 + F.col("event_id") % 5).cast("string"), F.lit(".0")).alias("year"), F.when(F.col("event_id") % 11 == 0, "nan").otherwise(F.col("value").cast("string")).alias("rating"), F.col("event_id").alias("ordinal"))
+    return loading.yearly_ratings(raw).select("pk", "year", "rating")
+
+
+@query("SELECT c_custkey, c_acctbal > 0 AS kept FROM customer")
+def dead_letters(spark, sf):
+    kept, lost = output.dead_letters(table(spark, sf, "customer"), F.when(F.col("c_acctbal") > 0, True))
+    return kept.select("c_custkey", F.lit(True).alias("kept")).unionByName(lost.select("c_custkey", F.lit(False).alias("kept")))
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS key, printf('%.6f', s_acctbal) AS amount, '' AS name FROM supplier UNION ALL SELECT CAST(n_nationkey AS VARCHAR), '', n_name FROM nation")
+def export_rows(spark, sf):
+    return output.export_rows([table(spark, sf, "supplier").selectExpr("s_suppkey AS key", "s_acctbal AS amount"), table(spark, sf, "nation").selectExpr("n_nationkey AS key", "n_name AS name")])
+
+
+@query("SELECT s_suppkey AS label, s_name AS name, s_nationkey AS nation FROM supplier")
+def json_decode(spark, sf):
+    s = loading.as_json(table(spark, sf, "supplier").selectExpr("s_suppkey", "s_name AS name", "s_nationkey AS nation"), "s_suppkey")
+    return loading.parse_json(s, "doc", "name string, nation int")

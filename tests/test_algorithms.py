@@ -1,16 +1,18 @@
 """Properties and brute-force checks of what SQL can't express."""
 
+import collections
 import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
 from cairn.operators import bradley_terry as bt
 from cairn.operators import frames, loading, network, races, select
 from cairn.plans import queries as plans
-from cairn.sources import tables
+from cairn.sources import output, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -179,7 +181,7 @@ def test_stream_of_parts_adds_up(spark, tmp_path):
     assert got["n"] == want["n"] == 18 and abs(got["mean_a"] - want["mean_a"]) < 1e-9
 
 
-def test_leaf_jaccard_at_any_threshold(spark):
+def test_leaf_jaccard_at_any_threshold(spark, monkeypatch):
     rng = random.Random(5)
     leaves = {}
     for k in range(120):
@@ -187,7 +189,8 @@ def test_leaf_jaccard_at_any_threshold(spark):
         raw = {n: rng.random() + 0.05 for n in base[: rng.randint(1, len(base))]}
         leaves[k] = {n: w / sum(raw.values()) for n, w in raw.items()}
     rows = spark.createDataFrame([(k, f"n{n}", w) for k, own in leaves.items() for n, w in own.items()], "k int, name string, weight double")
-    for least in (0.0, 0.3, 0.55, 0.8):
+    for least, dense in ((0.0, 1024), (0.3, 0), (0.55, 1024), (0.55, 0), (0.8, 0)):
+        monkeypatch.setattr(select, "DENSE_NAMES", dense)
         want = {}
         for a, b in itertools.combinations(sorted(leaves), 2):
             x, y = leaves[a], leaves[b]
@@ -243,3 +246,167 @@ def test_path_rows_and_selections(spark):
     chosen = {(r["source"], r["label"]): (r["status"], r["step"]) for r in select.selections(p).collect()}
     assert len(chosen) == 8 and chosen["A|B", "PRACTICAL_KNEE"] == ("OK", 8) and chosen["A|B", "FIRST_BREAK"] == ("OK", 17) and chosen["Z", "PRACTICAL_KNEE"] == ("NOT_AVAILABLE", None)
     assert [r[0] for r in spark.sql("SELECT 1").select(select.plain_jaccard(F.array().cast("array<string>"), F.array().cast("array<string>"))).collect()] == [1.0]
+
+
+# sources and sinks ------------------------------------------------------------------------------
+
+
+def test_finding_inputs(tmp_path):
+    import os
+
+    for i, name in enumerate(["a_path.csv", "b_path.csv", "cache/c_path.csv", "d_path_v3_9.csv"]):
+        p = tmp_path / name
+        p.parent.mkdir(exist_ok=True)
+        p.write_text("x" * i)
+        os.utime(p, (1000 + i, 1000 + i))
+    assert tables.newest(tmp_path, ["*_path.csv", "*/*_path.csv"], without=["cache"]).name == "b_path.csv"
+    assert tables.newest(tmp_path, ["*/*_path.csv"]).name == "c_path.csv" and tables.newest(tmp_path, ["*.txt"]) is None
+    assert tables.discover(tmp_path, None, ["a_path.csv"], ["*.csv"]).name == "a_path.csv"
+    assert tables.discover(tmp_path, "b_path.csv", ["a_path.csv"], []).name == "b_path.csv"
+    with pytest.raises(FileNotFoundError):
+        tables.discover(tmp_path, "gone.csv", [], [])
+    with pytest.raises(FileNotFoundError):
+        tables.discover(tmp_path, None, ["gone.csv"], ["*.xlsx"])
+    assert [p.name for p in tables.find_inputs(tmp_path, "*.csv", "_v3_9")] == ["c_path.csv", "b_path.csv", "a_path.csv"]
+    assert tables.output_stem("x/run_path.csv", "_path.csv") == "run" and tables.output_stem("x/run.csv", "_path.csv") == "run"
+    for name in ("old", "new"):
+        (tmp_path / name / "ratings").mkdir(parents=True)
+        os.utime(tmp_path / name, (2000 + len(name) + (name == "new"), 2000 + len(name) + (name == "new")))
+    assert tables.discover_results(tmp_path, None, [], ["ratings"]).name == "new" and tables.discover_results(tmp_path, None, ["old"], ["ratings"]).name == "old"
+    with pytest.raises(FileNotFoundError):
+        tables.discover_results(tmp_path, str(tmp_path / "cache"), [], ["ratings"])
+
+
+def test_signatures_follow_the_content(tmp_path):
+    p = tmp_path / "x.bin"
+    p.write_bytes(b"a" * (tables.EDGE * 4))
+    first, sampled = tables.file_signature(p)["sha256"], tables.sampled_signature(p)
+    assert tables.file_signature(p)["sha256"] == first and tables.sampled_signature(p) == sampled
+    data = bytearray(p.read_bytes())
+    data[tables.EDGE * 2] = 7  # in the middle: only the sampled one looks there
+    p.write_bytes(data)
+    assert tables.file_signature(p)["sha256"] == first and tables.sampled_signature(p) != sampled
+    data[-1] = 7
+    p.write_bytes(data)
+    assert tables.file_signature(p)["sha256"] != first
+
+
+def test_reading_results_paths_and_parts(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("\ufeffStep,Representation,Similarity,Path State\n0,A@1,1.0,SOURCE\n", encoding="utf-8")
+    assert tables.read_path(spark, str(tmp_path / "p.csv")).first().asDict() == {"step": "0", "state": "SOURCE", "representation": "A@1", "similarity": "1.0"}
+    (tmp_path / "q.csv").write_text("step,representation\n0,A\n")
+    with pytest.raises(ValueError, match="similarity"):
+        tables.read_path(spark, str(tmp_path / "q.csv"))
+    schema = "a int, b string"
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "other.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "good.csv").write_text("\ufeffa,c\n1,2\nz,3\n", encoding="utf-8")
+    for name, want in (("gone", []), ("empty", []), ("other", []), ("good", [(1, None), (None, None)])):
+        got = tables.read_if_exists(spark, str(tmp_path / f"{name}.csv"), schema)
+        assert [tuple(r) for r in got.collect()] == want and got.columns == ["a", "b"]
+    with pytest.raises(FileNotFoundError):
+        tables.read_results(spark, str(tmp_path / "no"))
+    r = spark.createDataFrame([("2001.0", " flat", "Turf ", " H1 ", "One", "101.5", "3.0", "1"), ("", "FLAT", "TURF", "h2", "", "1", "1", "0"), ("2001", "FLAT", "TURF", "", "", "1", "1", "0"), ("2001", "FLAT", "TURF", "h3", "", "inf", "", "0")], "year string, race_type string, surface_family string, pk string, name string, rating string, network_id string, japan_top3 string")
+    r.write.option("header", True).csv(str(tmp_path / "res" / "ratings"))
+    n = spark.createDataFrame([("2001", "FLAT", "TURF", "3", "10", "4", "5", "6"), ("2001", "FLAT", "TURF", "", "10", "4", "5", "6")], "year string, race_type string, surface_family string, network_id string, network_competitors string, network_races string, internal_comparisons string, external_comparisons string")
+    n.write.option("header", True).csv(str(tmp_path / "res" / "networks"))
+    got = tables.read_results(spark, str(tmp_path / "res"))
+    assert sorted(tuple(x) for x in got["ratings"].collect()) == [(2001, "FLAT", "TURF", "h1", "One", 101.5, 3, 1), (2001, "FLAT", "TURF", "h3", None, None, None, 0)]
+    assert [x["network_id"] for x in got["networks"].collect()] == [3]
+    (tmp_path / "m.csv").write_text("name,a,b\nx,1,nan\ny,2.5,z\n")
+    assert sorted(map(tuple, tables.read_matrix(spark, str(tmp_path / "m.csv")).collect()), key=str) == [("x", "a", 1.0), ("x", "b", None), ("y", "a", 2.5), ("y", "b", None)]
+    assert tables.columns_of(tables.literal(spark, [(1, "a")], schema), ["a"]) == {"a": "int", "b": "string"}
+    with pytest.raises(ValueError, match="z"):
+        tables.columns_of(tables.literal(spark, [], schema), ["z"])
+
+
+def test_parts_are_resumed_and_dropped_with_their_manifest(spark, tmp_path):
+    folder = output.Folder(spark, str(tmp_path / "out"))
+    keys = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "year int, kind string")
+    made = []
+
+    def make(todo):
+        made.append(sorted(tuple(r) for r in todo.collect()))
+        return todo.withColumn("v", F.col("year") * 10)
+
+    assert output.read_parts(folder, "v int, year int, kind string").count() == 0
+    assert output.prepare(folder, {"v": 1}) is False and output.write_missing(folder, keys.where("year = 1"), make, ["year", "kind"]) == 2
+    assert output.prepare(folder, {"v": 1}) is True and output.write_missing(folder, keys, make, ["year", "kind"]) == 1
+    assert output.write_missing(folder, keys, make, ["year", "kind"]) == 0
+    assert made == [[(1, "a"), (1, "b")], [(2, "a")]]
+    assert sorted(tuple(r) for r in output.read_parts(folder, "v int, year int, kind string").collect()) == [(10, 1, "a"), (10, 1, "b"), (20, 2, "a")]
+    assert output.prepare(folder, {"v": 2}) is False and output.read_parts(folder, "v int, year int, kind string").count() == 0
+    with pytest.raises(ValueError):
+        folder.delete("../elsewhere")
+
+
+def test_staged_build_swaps_whole_sets(spark, tmp_path):
+    folder = output.Folder(spark, str(tmp_path))
+    calls = []
+
+    def make(n):
+        def run():
+            calls.append(n)
+            return spark.range(n)
+
+        return run
+
+    got = output.build(folder, "set", {"a": make(3), "b": make(4)}, "s1", {"version": 7})
+    assert (got["a"].count(), got["b"].count(), calls) == (3, 4, [3, 4])
+    output.build(folder, "set", {"a": make(5), "b": make(6)}, "s1")
+    assert calls == [3, 4] and output.valid(folder, "set", {"a": ["id"]}, "s1") and not output.valid(folder, "set", {"a": ["x"]}, "s1")
+
+    def broken():
+        raise RuntimeError("no")
+
+    with pytest.raises(RuntimeError):
+        output.build(folder, "set", {"a": make(9), "b": broken}, "s2")
+    assert spark.read.parquet(folder.at("set/a")).count() == 3  # the old set still stands
+    assert output.build(folder, "set", {"a": make(5), "b": make(6)}, "s2")["b"].count() == 6
+    assert output.missing_outputs(folder, ["set/a", "set/zzz"]) == ["set/zzz"]
+    assert [tuple(r) for r in output.metadata_table(spark, {"version": 1, "x": "y"}).collect()] == [("version", "1"), ("x", "y")]
+
+
+def test_exports_and_reports(spark, tmp_path):
+    d = spark.createDataFrame([("b", 1 / 3, None), ("a", None, 2)], "k string, x double, n int")
+    output.export_csv(output.as_text(d), str(tmp_path / "csv"), ["k"])
+    text = "".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / "csv").glob("part-*")))
+    assert text.startswith("\ufeffk,x,n\n") and "b,0.333333," in text
+    assert output.export_rows([spark.range(1).select()]).collect()[0].asDict() == {"status": "NO_ROWS"}
+    folder = output.Folder(spark, str(tmp_path))
+    output.write_report(folder, "report.txt", "Ratings", {"rows": 2}, {"ROWS": d}, {"ROWS": [F.desc("k")]})
+    assert folder.read("report.txt") == "Ratings\n=======\n\nrows: 2\n\n[ROWS]\nk | x | n\nb | 0.333333 | \na |  | 2\n" and folder.read("none.txt") is None
+
+
+# both stages ------------------------------------------------------------------------------------
+
+
+def test_stages_hang_together(spark):
+    from cairn.operators import calibrate
+    from cairn.plans import adapters as A
+
+    entries = races.normalise_races(A.wide_races(spark, SF).where("surface IN ('Turf', ' Dirt')"))
+    lone = spark.createDataFrame([("z1", 1950, "FLAT", "OTHER", "JAPAN", "TOKYO", "grassless", 0, 1, 1, "solo", "Solo", 0, 1)], "race_id string, year int, race_type string, surface_family string, country string, track string, surface_raw string, fold int, ordinal long, placing int, pk string, name string, repeated int, n_valid long")
+    entries = entries.select(*(F.col(c).cast(lone.schema[c].dataType) for c in lone.columns)).unionByName(lone)
+    out = calibrate.run(entries, output.Store(spark, "test").save)
+    ratings = out.ratings.count()
+    assert ratings and out.calibrated.count() == ratings and out.groups.where("fitted = 1").count() == out.groups.count()
+    rows = out.competitors.collect()
+    assert rows and all(0 <= r["bridge_comparison_share"] <= 1 and r["network_rank"] >= 1 for r in rows)
+    summary = {(r["year"], r["race_type"], r["surface_family"], r["network_id"]): r for r in out.networks.collect()}
+    for key, n in collections.Counter((r["year"], r["race_type"], r["surface_family"], r["network_id"]) for r in rows).items():
+        assert summary[key]["network_competitors"] >= n and summary[key]["network_races"] >= 1
+    assert all(r["dominant_country_share"] <= 1 and r["top_countries"].startswith(r["dominant_country"] + ":") for r in summary.values())
+    assert out.calibrated.where("retention < 0.25 OR retention > 1 OR ceiling > rating + 1e-9 AND rating > 100").count() == 0
+    assert out.host_ranking.where("japan_top3 IS NULL OR japan_top3 <= 0").count() == 0 and out.multi_surface.count() > 0
+    names = {r["pk"]: r["name"] for r in out.ratings.select("pk", "name").collect()}
+    assert all(v == f"Supplier {k[1:]}" for k, v in names.items())
+
+
+def test_names_are_the_last_told_and_unfitted_groups_are_told_of(spark):
+    rows = [("r1", 1, 0, 1, "a", "Old"), ("r1", 1, 0, 2, "b", ""), ("r2", 0, 1, 1, "a", "Older"), ("r2", 0, 1, 2, "b", None), ("r3", 2, 1, 1, "b", ""), ("r3", 2, 1, 2, "a", "New")]
+    e = spark.createDataFrame([("x", *r) for r in rows] + [("y", "q", 0, 0, 1, "a", "A")], "g string, race_id string, ordinal long, fold int, placing int, pk string, name string")
+    got = bt.fit_groups(e, ("g",))
+    assert {r["pk"]: r["name"] for r in got.where("g = 'x'").collect()} == {"a": "New", "b": "b"}
+    assert [(r["g"], r["competitors"], r["fitted"], r["races"], r["comparisons"]) for r in bt.group_meta(got, ("g",)).orderBy("g").collect()] == [("x", 2, 1, 3, 3), ("y", 0, 0, 1, 0)]
+    assert bt.adjust(got, ("g",)).count() == 2
