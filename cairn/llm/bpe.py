@@ -29,6 +29,8 @@ LEAF_CHARS = 16
 MEMO_WORDS = 200_000
 #: Strings in a batch of the library, which encodes them in parallel.
 LANES = 8
+#: Stretches in a string at least: below this, threads cost more than they save.
+LANE_STRETCHES = 4096
 
 
 def _byte_letters() -> list[str]:
@@ -74,9 +76,10 @@ class TreeBpe:
         """The model's ids of each stretch.
 
         Stretches are strung together, so that they cost few calls, and cut apart at the tokens
-        that end a word; the library encodes the strings of a batch in parallel.
+        that end a word. The library encodes the strings of a batch in parallel, so many leaves or
+        windows are dealt to LANES strings.
         """
-        size = max(256, -(-len(stretches) // LANES))
+        size = max(LANE_STRETCHES, -(-len(stretches) // LANES))
         parts = [stretches[k : k + size] for k in range(0, len(stretches), size)]
         out: list[list[int]] = []
         for part, found in zip(parts, self.model.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
