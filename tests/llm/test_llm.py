@@ -669,6 +669,8 @@ def test_pipeline_stages(spark, tmp_path):
 def test_near_copy_stage_keeps_one_of_equal_rows(spark):
     d = spark.createDataFrame([(1, "a b c d e f g", "en", "s", 13), (1, "a b c d e f g", "en", "s", 13), (2, "a b c d e f g", "en", "s", 13), (None, "q r s t u", "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(corpus_pipeline.drop_near_copies(spark, d, SF).toPandas()["text"]) == ["a b c d e f g", "q r s t u"]
+    e = spark.createDataFrame([(None, "a b c d e f g"), (7, "a b c d e f g"), (None, "q r s t u"), (None, "q r s t u"), (None, None), (3, "")], "doc_id long, text string")
+    assert sorted(map(tuple, corpus_pipeline.drop_near_copies(spark, e, SF).collect()), key=str) == [(3, ""), (7, "a b c d e f g"), (None, "q r s t u"), (None, None)]
 
 
 def test_pipeline_takes_odd_tables(spark, tmp_path):
