@@ -31,9 +31,9 @@ from ._common import Scratch, pieces, release, released
 from ._text import WordHasher, mix, shingles, words_of
 from .components import connected_components, stars
 
-#: Sets and shingles in one block of a family. Each block meets all of its family, so large ones
-#: move fewer copies of sets about.
-BLOCK_SETS = 4096
+#: Sets in one block of a family, and shingles. Each block meets all of its family: a sixteenth of
+#: the family makes a block, so that no set is copied more often, but within these bounds.
+BLOCK_SETS, MOST_SETS = 1024, 8192
 BLOCK_SHINGLES = 2_000_000
 #: Answers of a block that are kept to derive others from.
 ANSWERS = 128
@@ -373,7 +373,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
 
     members = scratch.save(families.join(nodes, "node").select("node", F.col("root").alias("family"), "n", "copies"))
     spans = members.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n").alias("size"))
-    spans = spans.select("family", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("blocks > 1")
+    spans = spans.select("family", F.greatest(F.ceil(F.col("sets") / F.greatest(F.lit(BLOCK_SETS), F.least(F.lit(MOST_SETS), F.col("sets") / 16))), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("blocks > 1")
     # read from a table, so that Spark can split the rows of a hot family
     spans = scratch.save(spans)
     members = scratch.save(members.join(spans, "family", "left").select("node", "family", "copies", F.coalesce("blocks", F.lit(1)).alias("blocks")))
