@@ -26,12 +26,23 @@ def read_strings(spark: SparkSession, path: str, columns: Sequence[str], encodin
     return raw.select(*(T.missing_to_null(F.col(f"`{by[c]}`")).alias(c) if c in by else F.lit(None).cast("string").alias(c) for c in columns))
 
 
-#: What the columns of a path file may be called.
+# What the columns of a path file may be called.
 PATH_ALIASES = {
-    "source": ["source_package", "source", "source_name"], "source_rank": ["source_rank"], "step": ["step", "path_step", "step_index"], "state": ["state", "path_state", "status"],
-    "representation": ["representation", "package", "leaves"], "similarity": ["similarity", "sim"], "high_jaccard": ["high_jaccard"], "low_jaccard": ["low_jaccard"], "carrier_recall": ["carrier_recall"],
-    "joint_jaccard": ["joint_carrier_jaccard", "joint_jaccard"], "high_recall": ["high_recall"], "log_corr": ["log_dose_corr", "log_corr"], "leaf_count": ["leaf_count", "raw_leaf_count"],
-    "median_year": ["representation_median_year", "median_year"], "carrier_signature": ["carrier_signature"],
+    "source": ["source_package", "source_package_name", "source_package_key", "source_ancestors", "source", "original_package"],
+    "source_rank": ["source_rank", "multi_blood_rank", "package_rank", "rank"],
+    "step": ["step", "path_step", "reconstruction_step", "forward_step"],
+    "state": ["path_state", "state", "status", "representation_status", "stage"],
+    "representation": ["representation", "representation_text", "current_representation", "reconstructed_package", "branch_representation", "package_representation", "nearest_reproducible_package"],
+    "similarity": ["similarity", "fingerprint_similarity", "representation_similarity"],
+    "high_jaccard": ["high_jaccard", "high_group_jaccard", "highdose_jaccard"],
+    "low_jaccard": ["low_jaccard", "low_group_jaccard", "lowdose_jaccard"],
+    "carrier_recall": ["carrier_recall", "joint_carrier_recall"],
+    "joint_jaccard": ["joint_carrier_jaccard", "carrier_jaccard", "joint_jaccard"],
+    "high_recall": ["high_recall", "high_group_recall"],
+    "log_corr": ["log_dose_corr", "logdosecorr", "dose_corr", "log_dose_pearson"],
+    "leaf_count": ["leaf_count", "total_leaves", "branch_leaf_count", "n_leaves"],
+    "median_year": ["representation_median_year", "median_year", "leaf_median_year", "component_median_year", "nearest_median_year"],
+    "carrier_signature": ["carrier_signature", "joint_carrier_signature", "carrier_bitset_signature", "target_carrier_signature"],
 }
 PATH_REQUIRED = ("step", "representation", "similarity")
 
@@ -42,7 +53,7 @@ def read_path(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFr
     Without a column for the step, the representation or the similarity it can't be read.
     """
     raw = spark.read.option("header", True).option("encoding", encoding).csv(path)
-    found = resolve([c.lstrip("\ufeff") for c in raw.columns], PATH_ALIASES)
+    found = resolve([c.lstrip("\ufeff") for c in raw.columns], PATH_ALIASES, contains=True)
     if lost := [c for c in PATH_REQUIRED if found[c] is None]:
         raise ValueError(f"{path} has no column for {', '.join(lost)}")
     by = {c.lstrip("\ufeff"): c for c in raw.columns}

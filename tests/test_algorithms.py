@@ -293,9 +293,12 @@ def test_signatures_follow_the_content(tmp_path):
 
 def test_reading_results_paths_and_parts(spark, tmp_path):
     (tmp_path / "p.csv").write_text("\ufeffStep,Representation,Similarity,Path State\n0,A@1,1.0,SOURCE\n", encoding="utf-8")
-    assert tables.read_path(spark, str(tmp_path / "p.csv")).first().asDict() == {"step": "0", "state": "SOURCE", "representation": "A@1", "similarity": "1.0"}
-    (tmp_path / "q.csv").write_text("step,representation\n0,A\n")
-    with pytest.raises(ValueError, match="similarity"):
+    path = tables.read_path(spark, str(tmp_path / "p.csv"))
+    assert {"step": "0", "state": "SOURCE", "representation": "A@1", "similarity": "1.0"}.items() <= path.first().asDict().items()
+    typed = select.path_rows(path).first()
+    assert (typed["source"], typed["step"], typed["similarity"], typed["median_year"], [tuple(x) for x in typed["leaves"]]) == ("SOURCE_REP_A@1", 0, 1.0, None, [("A", 1.0)])
+    (tmp_path / "q.csv").write_text("a,b\n0,A\n")
+    with pytest.raises(ValueError, match="step, representation, similarity"):
         tables.read_path(spark, str(tmp_path / "q.csv"))
     schema = "a int, b string"
     (tmp_path / "empty.csv").write_text("")
