@@ -297,7 +297,7 @@ def test_reading_results_paths_and_parts(spark, tmp_path):
     assert {"step": "0", "state": "SOURCE", "representation": "A@1", "similarity": "1.0"}.items() <= path.first().asDict().items()
     typed = select.path_rows(path).first()
     assert (typed["source"], typed["step"], typed["similarity"], typed["median_year"], [tuple(x) for x in typed["leaves"]]) == ("SOURCE_REP_A@1", 0, 1.0, None, [("A", 1.0)])
-    (tmp_path / "q.csv").write_text("a,b\n0,A\n")
+    (tmp_path / "q.csv").write_text("zq,xx\n0,A\n")
     with pytest.raises(ValueError, match="step, representation, similarity"):
         tables.read_path(spark, str(tmp_path / "q.csv"))
     schema = "a int, b string"
