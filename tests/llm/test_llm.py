@@ -643,6 +643,18 @@ def test_rules_query(spark, odd):
     assert quality_rules.quality_rules(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    got, want = Q.queries()[name](spark, SF).toPandas(), con.execute(Q.oracle_sql()[name]).fetchdf()
+    assert sorted(got.columns) == sorted(want.columns) and len(got)
+    assert sorted(map(tuple, got[sorted(got.columns)].values.tolist())) == sorted(map(tuple, want[sorted(got.columns)].values.tolist()))
+
+
 # pipeline --------------------------------------------------------------------------------------
 
 
