@@ -437,14 +437,54 @@ def stage_ratings(spark, sf):
     return _stages(spark, sf).ratings.groupBy(*GROUP).agg(F.count("*").alias("rated"), F.round(F.avg("rating"), 6).alias("mean_rating"))
 
 
-@query()
-def stage_networks(spark, sf):
-    return _stages(spark, sf).networks
-
-
-@query()
-def stage_competitors(spark, sf):
-    return _stages(spark, sf).competitors
+# The rows of networks and competitors over a mapping that SQL knows: network pk % 7, its parent pk % 7 // 4, plain ratings.
+
+GRP = "year, race_type, surface_family"
+
+
+def _top_sql(name: str, keys: str, column: str) -> str:
+    return f"{name} AS (SELECT {keys}, string_agg({column} || ':' || n, ' | ' ORDER BY n DESC, {column}) FILTER (r <= 5) AS top, max({column}) FILTER (r = 1) AS first, max(n) FILTER (r = 1) / sum(n) AS share FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY n DESC, {column}) AS r FROM (SELECT {keys}, {column}, count(*) AS n FROM placed_rows GROUP BY ALL)) GROUP BY ALL)"
+
+
+NETWORK_SQL = NODES_SQL + f""", raw_surface AS (SELECT o_orderkey AS race_id, CASE o_orderstatus WHEN 'F' THEN 'Turf' WHEN 'O' THEN '<blank>' ELSE 'All-Weather' END AS surface_raw FROM orders),
+placed_rows AS (SELECT e.*, surface_raw, pk % 7 AS network_id FROM entries e JOIN raw_surface USING (race_id)),
+rated AS (SELECT {GRP}, pk, pk % 7 AS network_id, 'Supplier ' || pk AS name, 90.0::DOUBLE + 30.0::DOUBLE * count(*) FILTER (placing = 1) / count(*) + pk % 13 AS rating FROM entries GROUP BY {GRP}, pk),
+strongest AS (SELECT {GRP}, network_id, avg(rating) AS rating_mean, max(rating) AS rating_max, arg_max(pk, (rating, CAST(pk AS VARCHAR))) AS top_pk FROM rated GROUP BY {GRP}, network_id),
+sums AS (SELECT {GRP}, network_id, count(*) FILTER (same) AS internal_edges, CAST(coalesce(sum(n) FILTER (same), 0) AS BIGINT) AS internal_comparisons, count(*) FILTER (NOT same) AS external_edges, CAST(coalesce(sum(n) FILTER (NOT same), 0) AS BIGINT) AS external_comparisons, count(DISTINCT pk) FILTER (NOT same) AS bridge_competitors, coalesce(sum(w) FILTER (same), 0) AS i, coalesce(sum(w) FILTER (NOT same), 0) AS cut FROM sides GROUP BY ALL),
+whole AS (SELECT {GRP}, 2 * sum(w) AS m FROM edges GROUP BY ALL), heads AS (SELECT {GRP}, network_id, count(*) AS network_competitors FROM nodes GROUP BY ALL), met_races AS (SELECT {GRP}, network_id, count(DISTINCT race_id) AS network_races FROM placed_rows GROUP BY ALL),
+vol AS (SELECT {GRP}, network_id, 2 * i + cut AS v, 2 * i AS inner_w FROM sums), mod AS (SELECT {GRP}, sum(inner_w / m - (v / m) * (v / m)) AS modularity FROM vol JOIN whole USING ({GRP}) GROUP BY {GRP}),
+{_top_sql('lands', GRP + ', network_id', 'country')}, {_top_sql('courses', GRP + ', network_id', 'track')}, {_top_sql('grounds', GRP + ', network_id', 'surface_raw')},
+summary AS (SELECT {GRP}, network_id, network_competitors, CAST(network_competitors = max(network_competitors) OVER (PARTITION BY {GRP}) AS INTEGER) AS is_largest, network_id // 4 AS parent_component_id, 1000 AS parent_component_competitors, network_races,
+  internal_edges, internal_comparisons, external_edges, external_comparisons, bridge_competitors, external_comparisons / (2 * internal_comparisons + external_comparisons) AS bridge_share, CASE WHEN least(2 * i + cut, m - 2 * i - cut) > 1e-12 THEN cut / least(2 * i + cut, m - 2 * i - cut) ELSE 0 END AS conductance, modularity,
+  lands.first AS dominant_country, lands.share AS dominant_country_share, grounds.first AS dominant_raw_surface, lands.top AS top_countries, courses.top AS top_tracks, grounds.top AS top_raw_surfaces, rating_mean, rating_max, CAST(top_pk AS VARCHAR) AS top_pk, 'Supplier ' || top_pk AS top_name
+  FROM heads JOIN sums USING ({GRP}, network_id) JOIN whole USING ({GRP}) JOIN mod USING ({GRP}) JOIN met_races USING ({GRP}, network_id) JOIN strongest USING ({GRP}, network_id) JOIN lands USING ({GRP}, network_id) JOIN courses USING ({GRP}, network_id) JOIN grounds USING ({GRP}, network_id))"""
+_NUMBERS = ("bridge_share", "conductance", "modularity", "dominant_country_share", "rating_mean", "rating_max")
+
+
+def _network_tables(spark, sf):
+    edges, nodes = _mapped(spark, sf)
+    raw = A.raw_races(spark, sf).select("race_id", F.when(F.col("surface") == " Dirt", "").otherwise(F.col("surface")).alias("surface_raw"))
+    entries = A.entries(spark, sf).join(raw, "race_id")
+    parts = nodes.select(*GROUP, F.col("pk").cast("string").alias("pk"), F.col("network_id").cast("int").alias("network_id"), F.floor(F.col("network_id") / 4).cast("int").alias("parent_id"), F.lit(1000).alias("parent_size"))
+    rated = races.placing_counts(A.entries(spark, sf)).select(*GROUP, "pk", F.concat(F.lit("Supplier "), F.col("pk").cast("string")).alias("name"), (90.0 + 30.0 * F.col("wins") / F.col("top3") + F.col("pk") % 13).alias("rating"))
+    return network.network_tables(entries, edges, parts, rated)
+
+
+@query(f"WITH {NETWORK_SQL} SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in _NUMBERS)}) FROM summary")
+def network_summary(spark, sf):
+    out = _network_tables(spark, sf)[0]
+    return out.withColumns({c: F.round(c, 6) for c in _NUMBERS})
+
+
+@query(f"""WITH {NETWORK_SQL}, ends AS (SELECT {GRP}, a AS pk, b AS o, n FROM edges UNION ALL SELECT {GRP}, b, a, n FROM edges), bridged AS (SELECT {GRP}, pk, count(*) FILTER (pk % 7 <> o % 7) AS bridge_neighbours, CAST(coalesce(sum(n) FILTER (pk % 7 <> o % 7), 0) AS BIGINT) AS bridge_comparisons, sum(n) AS whole_n FROM ends GROUP BY ALL),
+home AS (SELECT {GRP}, pk, count(*) FILTER (country = 'JAPAN') AS japan_top3 FROM placed_rows GROUP BY ALL), {_top_sql('own_lands', GRP + ', pk', 'country')}, {_top_sql('own_courses', GRP + ', pk', 'track')}, {_top_sql('own_grounds', GRP + ', pk', 'surface_raw')},
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY {GRP}, network_id ORDER BY rating DESC, CAST(pk AS VARCHAR)) AS INTEGER) AS network_rank, count(*) OVER (PARTITION BY {GRP}, network_id) AS n FROM rated)
+SELECT {GRP}, CAST(pk AS VARCHAR) AS pk, name, round(rating, 6) AS rating, network_id, network_rank, round(CASE WHEN n <= 1 THEN 100 ELSE 100.0 * (n - network_rank) / (n - 1) END, 6) AS network_percentile, bridge_neighbours, bridge_comparisons, japan_top3, own_lands.top AS own_top_countries, own_courses.top AS own_top_tracks, own_grounds.top AS own_top_raw_surfaces,
+  round(bridge_comparisons / whole_n, 6) AS bridge_comparison_share, network_competitors, network_races, parent_component_id, parent_component_competitors, is_largest, round(bridge_share, 6) AS network_bridge_share, round(conductance, 6) AS conductance, round(modularity, 6) AS modularity, dominant_country, round(dominant_country_share, 6) AS dominant_country_share, top_countries, top_tracks
+FROM ranked JOIN bridged USING ({GRP}, pk) JOIN home USING ({GRP}, pk) JOIN own_lands USING ({GRP}, pk) JOIN own_courses USING ({GRP}, pk) JOIN own_grounds USING ({GRP}, pk) JOIN summary USING ({GRP}, network_id)""")
+def network_rows(spark, sf):
+    out = _network_tables(spark, sf)[1]
+    return out.withColumns({c: F.round(c, 6) for c in ("rating", "network_percentile", "bridge_comparison_share", "network_bridge_share", "conductance", "modularity", "dominant_country_share")})
 
 
 @query()

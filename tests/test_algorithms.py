@@ -137,6 +137,14 @@ def test_cleaning(spark):
     ]
 
 
+def test_folds_are_those_of_the_hash(spark):
+    import hashlib
+
+    ids = ["1", " 1 ", "", "日本-7", None, *map(str, range(50))]
+    want = [int.from_bytes(hashlib.blake2b((x or "").strip().encode(), digest_size=8).digest(), "big") % 5 for x in ids]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in ids], "x string").coalesce(1).select(T.stable_fold(F.col("x"))).collect()] == want
+
+
 def test_wide_races_drop_placeholders_and_repeats(spark):
     row = ("r1", "2001.0", "Cup", None, None, "USA", "Ascot", "Turf", " H1 ", "One", "need winners name", "", "h1", "Again")
     cols = "race_id string, year string, race_name string, comment string, condition string, country string, track string, surface string, winner_pk string, winner_name string, second_pk string, second_name string, third_pk string, third_name string"
