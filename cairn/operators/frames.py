@@ -42,7 +42,7 @@ def place_label(name: Column, value: Column, keys: list[str]) -> Column:
     return F.concat(name, F.lit(" ("), place.cast("string"), F.lit(")"))
 
 
-def sequence(labels: DataFrame, steps: int, first: int = 0, hidden: bool = True, top: bool = False) -> DataFrame:
+def sequence(labels: DataFrame, steps: int, first: int = 0, top: bool = False) -> DataFrame:
     """Labels with the step at which each begins to rise: one after the other from the lowest value up.
 
     ``steps``: how many steps a label has to itself. ``top``: the highest begins. Ties by label.

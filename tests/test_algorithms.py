@@ -160,6 +160,20 @@ def test_ramp_never_falls(spark):
     assert all(x <= y for v in by.values() for x, y in zip(v, v[1:])) and by["a"][-1] == 3.0 and by["b"][0] == 0.0
 
 
+def test_frames_in_sequence(spark):
+    lab = spark.createDataFrame([("b", 3.0), ("a", 7.0), ("c", 3.0)], "label string, value double")
+    turn = frames.sequence(lab, 2, first=1)
+    assert {r["label"]: r["start"] for r in turn.collect()} == {"b": 1, "c": 3, "a": 5}
+    assert {r["label"]: r["start"] for r in frames.sequence(lab, 2, top=True).collect()} == {"a": 0, "b": 2, "c": 4}
+    by = collections.defaultdict(list)
+    for r in frames.rising(turn, 7, 2).orderBy("step").collect():
+        by[r["label"]].append(r["value"])
+    assert by == {"b": [None, 1.5, 3.0, 3.0, 3.0, 3.0, 3.0], "c": [None, None, None, 1.5, 3.0, 3.0, 3.0], "a": [None] * 5 + [3.5, 7.0]}
+    jump = {(r["step"], r["label"]): r["value"] for r in frames.jumping(turn, 6).collect()}
+    assert jump[4, "a"] is None and jump[5, "a"] == 7.0 and jump[0, "b"] is None and jump[1, "b"] == 3.0
+    assert frames.clipped(frames.jumping(turn, 6), 0.5).agg(F.max("value")).first()[0] == 3.5
+
+
 def test_aliases_and_loading(spark):
     assert tables.resolve(["Competitor PK", "Birth-Year"], {"pk": ["competitor_pk"], "year": ["birthyear"], "no": ["x"]}) == {"pk": "Competitor PK", "year": "Birth-Year", "no": None}
     assert tables.guess_encoding("日本\n".encode("cp932")) == "cp932"
@@ -237,6 +251,12 @@ def test_medoid_weighs_pairs_that_are_not_alike_too(spark):
     assert [k for k, r in got.items() if r["is_medoid"]] == [best]
 
 
+def test_cluster_table_numbers_clusters_by_size(spark):
+    rows = [("b", "x", 1.0), ("a", "x", 1.0), ("c", "y", 0.5), ("c", "x", 0.5), ("d", "z", 1.0)]
+    got = sorted(map(tuple, select.cluster_table(spark.createDataFrame(rows, "k string, name string, weight double"), "k").collect()))
+    assert got == [(1, 2, "a", "a", 1.0, 1.0), (1, 2, "b", "a", 1.0, 1.0), (2, 1, "c", "c", 1.0, 1.0), (3, 1, "d", "d", 1.0, 1.0)]
+
+
 def test_leaves_by_functions_equal_the_reader(spark):
     texts = ["A@0.5|B@0.25|C x@0.25", "A@0.5|A@0.25", "A@0.5|B*0.25, C:0.15; D(0.1)", "X, Y; Y | none", "p=>q|r", "", None, "a@1e3|b@2", " a @ 0.5 | b@0", "A@0.5 (x) | B@.5"]
     d = spark.createDataFrame([(t,) for t in texts], "t string")
