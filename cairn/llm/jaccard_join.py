@@ -264,7 +264,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     the same id stay apart rows. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
+    scratch, work = Scratch(spark, "jaccard"), Scratch(spark, "jaccard_work")  # what the result reads, and the rest
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
 
@@ -297,7 +297,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     measured = scratch.save(texts.mapInArrow(released(measure), f"id {id_type}, node long, n long"))
     rows = measured.where("n >= 0")
     frequent = spark.sparkContext.broadcast(_bitmap(measured.where("n < 0").select("node"), COMMON_BITS))  # 8 MB
-    nodes = scratch.save(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least_id"), F.first("n").alias("n"), F.count("*").alias("copies")))
+    nodes = work.save(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least_id"), F.first("n").alias("n"), F.count("*").alias("copies")))
     total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first()["s"]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 2.5 * (den - num) / num / INDEX_ENTRIES) + 1)
 
@@ -369,14 +369,14 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
 
     lists = texts.select("text").mapInArrow(released(index), "part int, keys binary, nodes binary")
     shared = lists.repartition(parts, "part").groupBy("part").applyInArrow(read_lists, "a long, b long")
-    families = scratch.save(connected_components(shared, scratch, contracted=True))
+    families = work.save(connected_components(shared, work, contracted=True))
 
-    members = scratch.save(families.join(nodes, "node").select("node", F.col("root").alias("family"), "n", "copies"))
+    members = work.save(families.join(nodes, "node").select("node", F.col("root").alias("family"), "n", "copies"))
     spans = members.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n").alias("size"))
     spans = spans.select("family", F.greatest(F.ceil(F.col("sets") / F.greatest(F.lit(BLOCK_SETS), F.least(F.lit(MOST_SETS), F.col("sets") / 16))), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("blocks > 1")
     # read from a table, so that Spark can split the rows of a hot family
-    spans = scratch.save(spans)
-    members = scratch.save(members.join(spans, "family", "left").select("node", "family", "copies", F.coalesce("blocks", F.lit(1)).alias("blocks")))
+    spans = work.save(spans)
+    members = work.save(members.join(spans, "family", "left").select("node", "family", "copies", F.coalesce("blocks", F.lit(1)).alias("blocks")))
     n_members = members.count()
     filter_bits = min(FILTER_BITS[1], max(FILTER_BITS[0], (16 * n_members).bit_length()))
     cells = 1 << filter_bits
@@ -414,15 +414,18 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         F.when(whole, F.lit(-1)).otherwise(F.least("block", "other")).alias("bi"),
         F.when(whole, F.lit(-1)).otherwise(F.greatest("block", "other")).alias("bj"),
     )
-    solved = scratch.save(sets.groupBy("task", "bi", "bj").applyInArrow(lambda t: _solve(t, num, den), "a long, b long, n long"))
-    linked = scratch.save(connected_components(solved.where("a <> b").select("a", "b"), scratch, contracted=True))
+    solved = work.save(sets.groupBy("task", "bi", "bj").applyInArrow(lambda t: _solve(t, num, den), "a long, b long, n long"))
+    linked = work.save(connected_components(solved.where("a <> b").select("a", "b"), work, contracted=True))
 
     owned = linked.join(nodes.select("node", "least_id"), "node")
-    least = scratch.save(owned.groupBy("root").agg(F.min("least_id").alias("component")))
+    least = work.save(owned.groupBy("root").agg(F.min("least_id").alias("component")))
     named = owned.select("node", "root").join(least, "root").select(F.col("node").alias("linked_node"), "component")
     counted = solved.where("a = b").groupBy("a").agg(F.sum("n").alias("links"))
     found = nodes.join(named, F.col("node") == F.col("linked_node"), "left").join(counted, F.col("node") == F.col("a"), "left")
     found = scratch.save(found.select(F.col("node").alias("of_node"), F.coalesce("component", "least_id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
+    work.drop()
+    for shared_value in (frequent, wanted):
+        shared_value.unpersist()
     out = rows.join(found, (F.col("node") == F.col("of_node")) & (F.col("n") > 0), "left")
     some = F.col("n") > 0
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(some, F.col("component")).otherwise(F.col("id")).alias("component_id"), F.when(some, F.col("links")).otherwise(F.lit(0)).alias("n_links"))

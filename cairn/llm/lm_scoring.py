@@ -351,8 +351,9 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_fold: int = 1, text_col: str
     held = fold(F.col(id_col), folds) == held_fold
     rows = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
+    work = Scratch(spark, "lm_work")
     if not in_order(docs):  # a lost task made anew could deal its rows out differently
-        rows = scratch.save(rows)
+        rows = work.save(rows)
     total_bytes = rows.agg(F.coalesce(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1), F.lit(0)).alias("n")).first()["n"]
     chunks, buckets = layout(total_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shared = spark.sparkContext.broadcast(fit_low(rows.where(~F.col("held_out"))))
@@ -468,6 +469,8 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_fold: int = 1, text_col: str
 
     schema = f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_sum double, score double, tokens long, distinct long"
     scored = scratch.save(dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score, schema))
+    work.drop()
+    shared.unpersist()
     sums = scored.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
     low = math.log10(sums["n"] + 0.5 * (sums["v"] + 1))
     base = (F.col("base_sum") - F.col("n_tokens") * F.lit(low)).alias("base_score")
