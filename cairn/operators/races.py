@@ -55,10 +55,13 @@ def mark_repeats(entries: DataFrame) -> DataFrame:
 def comparisons(entries: DataFrame, carry: Sequence[str] = (*GROUP, "race_id")) -> DataFrame:
     """Ordered (winner, loser) pairs within each race: the better placed beats the rest.
 
-    A race has few entries, so they meet as an array in one row instead of a self-join.
+    A race has few entries, so they meet as an array in one row instead of a self-join. It is of
+    one group, so with ``race_id`` among ``carry`` the rest of them are its first entry's, and
+    entries that stand by race already don't move.
     """
     e = F.struct("placing", "pk")
-    races = entries.groupBy(*carry).agg(F.array_sort(F.collect_list(e)).alias("es"))
+    by = ["race_id"] if "race_id" in carry else list(carry)
+    races = entries.groupBy(*by).agg(F.array_sort(F.collect_list(e)).alias("es"), *(F.first(c).alias(c) for c in carry if c not in by))
     pairs = F.flatten(F.transform("es", lambda x, i: F.transform(F.slice("es", i + 2, F.greatest(F.size("es") - i - 1, F.lit(0))), lambda y: F.struct(x["pk"].alias("winner"), y["pk"].alias("loser")))))
     return races.where(F.size("es") >= 2).select(*carry, F.explode(pairs).alias("p")).select(*carry, "p.*")
 
