@@ -285,7 +285,7 @@ nodes AS (SELECT DISTINCT year, race_type, surface_family, pk, pk % 7 AS network
 
 
 def _mapped(spark, sf):
-    edges = races.pair_counts(races.comparisons(A.entries(spark, sf)))
+    edges = output.Store(spark, "edges").save("edges", races.pair_counts(races.comparisons(A.entries(spark, sf))))
     nodes = edges.select(*GROUP, F.explode(F.array("a", "b")).alias("pk")).distinct().withColumn("network_id", F.col("pk") % 7)
     return edges, nodes
 
@@ -369,8 +369,8 @@ NETC_SQL = NET_SQL + SIZE_SQL + f", netc AS (SELECT *, {_INTERNAL} AS internal,
 
 
 def _net_confidence(spark, sf):
-    net = _breadth(spark, sf)[0]
     e = A.entries(spark, sf).withColumn("network_id", F.col("pk") % 7)
+    net = breadth.breadth(e, GROUP)[0]
     sizes = e.groupBy(*GROUP, "network_id").agg(F.countDistinct("pk").alias("competitors"), F.countDistinct("race_id").alias("races"), (2 * F.count("*")).alias("compared"))
     both = net.join(sizes, [*GROUP, "network_id"])
     return both.select(*GROUP, "network_id", *_COLS, *(c.alias(k) for k, c in breadth.network_confidence(F.col("competitors"), F.col("races"), F.col("compared")).items()))
@@ -414,8 +414,8 @@ def retention_realized(spark, sf):
 
 # ---- both stages from wide races ----------------------------------------------------------------
 
-def _stages(spark, sf) -> calibrate.Results:
-    return calibrate.run(races.normalise_races(A.wide_races(spark, sf)), output.Store(spark, "stages").save)
+def _stages(spark, sf) -> calibrate.Stages:
+    return calibrate.Stages(races.normalise_races(A.wide_races(spark, sf)), output.Store(spark, "stages").save)
 
 
 FULL_SQL = f"""{NORMAL_SQL}, full_entries AS (SELECT * FROM normal JOIN races USING (race_id) WHERE n_valid >= 2),

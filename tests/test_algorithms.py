@@ -211,8 +211,8 @@ def test_leaf_jaccard_at_any_threshold(spark, monkeypatch):
         raw = {n: rng.random() + 0.05 for n in base[: rng.randint(1, len(base))]}
         leaves[k] = {n: w / sum(raw.values()) for n, w in raw.items()}
     rows = spark.createDataFrame([(k, f"n{n}", w) for k, own in leaves.items() for n, w in own.items()], "k int, name string, weight double")
-    for least, dense in ((0.0, 1024), (0.3, 0), (0.55, 1024), (0.55, 0), (0.8, 0)):
-        monkeypatch.setattr(select, "DENSE_NAMES", dense)
+    for least, cells in ((0.0, 1 << 20), (0.3, 0), (0.55, 1 << 20), (0.55, 0), (0.8, 0)):
+        monkeypatch.setattr(select, "MATRIX_CELLS", cells)
         want = {}
         for a, b in itertools.combinations(sorted(leaves), 2):
             x, y = leaves[a], leaves[b]
@@ -419,7 +419,7 @@ def test_stages_hang_together(spark):
     entries = races.normalise_races(A.wide_races(spark, SF).where("surface IN ('Turf', ' Dirt')"))
     lone = spark.createDataFrame([("z1", 1950, "FLAT", "OTHER", "JAPAN", "TOKYO", "grassless", 0, 1, 1, "solo", "Solo", 0, 1)], "race_id string, year int, race_type string, surface_family string, country string, track string, surface_raw string, fold int, ordinal long, placing int, pk string, name string, repeated int, n_valid long")
     entries = entries.select(*(F.col(c).cast(lone.schema[c].dataType) for c in lone.columns)).unionByName(lone)
-    out = calibrate.run(entries, output.Store(spark, "test").save)
+    out = calibrate.Stages(entries, output.Store(spark, "test").save)
     ratings = out.ratings.count()
     assert ratings and out.calibrated.count() == ratings and out.groups.where("fitted = 1").count() == out.groups.count()
     rows = out.competitors.collect()
