@@ -58,6 +58,7 @@ OWN_HEADER = {"post", "article", "entry", "story", "title"}
 SIGMA = 1.0
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+_TAG = re.compile(r"<[A-Za-z/!?]")
 _SURE, _WEAK, _COMMENT, _HEADER = 1, 2, 4, 8
 
 
@@ -201,6 +202,11 @@ class LineReader(HTMLParser):
         if self.at.get(tag):
             self._cut(self.at[tag][-1])
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """What begins with ``<![`` is a comment up to the next ``>``; the parent class fails on unknown ones."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
     def handle_data(self, data: str) -> None:
         self.text.append(data)
         if self.in_link:
@@ -326,8 +332,11 @@ def extract_text(html: str | None) -> str:
     """The main text of one page, blocks joined by a blank line; empty if there is none."""
     if not html:
         return ""
+    # a tag that never ends is none; the parser would look for its end again and again
+    end = html.rfind(">") + 1
+    broken = _TAG.search(html, end)
     page = LineReader()
-    page.feed(html)
+    page.feed(html[: broken.start()] if broken else html)
     page.close()
     return "\n\n".join(x.text for x in content_lines(page))
 

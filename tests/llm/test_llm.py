@@ -532,6 +532,15 @@ def test_deep_pages_take_linear_time():
     assert spent < 100 * max(first, 0.02)
 
 
+def test_no_page_is_an_error():
+    rng = random.Random(1)
+    parts = ["<", "</", ">", "<!", "<![", "[", "]]>", "<!--", "-->", "p", "div", "article", "nav", " class=", "'", '"', "&", "#", "x", "text words here", " ", "<p>", "</p>", "<div>", "</div>", "<article>", "</article>", "<script>", "</script>", "<svg>", "</svg>", "<select>", "<noscript>", "</noscript>", "<h1>", "\n", "é", "日"]
+    for _ in range(3000):
+        html_extract.extract_text("".join(rng.choice(parts) for _ in range(rng.randint(1, 25))))
+    assert html_extract.extract_text("<![foo[ bar ]]><p>x text") == "x text"
+    assert html_extract.extract_text("<![if !IE]><p>t text<![endif]><![CDATA[ abc ]]>") == "t text"
+
+
 def test_html_odd_rows(spark):
     rows = [(1, "u", "<p>A text", "x", 5), (1, "u", "<p>A text", "y", 6), (2, None, None, None, None), (None, "v", "", "z", 1), (3, "w", "<<>&&amp; <b", "", 0)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
