@@ -33,6 +33,13 @@ LANES = 8
 LANE_STRETCHES = 4096
 
 
+def inert(char: str) -> bool:
+    """Whether normalisation treats this character by itself: it is neither a mark nor a Hangul
+    letter part, which join with others, nor unknown to this Python's tables."""
+    c = ord(char)
+    return unicodedata.category(char) not in ("Mn", "Mc", "Me", "Cn") and not (0x1100 <= c < 0x1200 or 0xA960 <= c < 0xA980 or 0xD7B0 <= c < 0xD800)
+
+
 def _byte_letters() -> list[str]:
     """The letter that byte-level BPE writes for each byte: itself if printable, else from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -68,6 +75,9 @@ class TreeBpe:
         bare = dict(spec, normalizer=None, pre_tokenizer={"type": "WhitespaceSplit"}, added_tokens=[], post_processor=None)
         self.model = Tokenizer.from_str(json.dumps(bare))
         self.letters = dict(enumerate(_byte_letters()))
+        self.bytes = {ord(letter): byte for byte, letter in self.letters.items()}
+        self.inert: set[str] = set()
+        self.library = Tokenizer.from_str(json.dumps(spec))  # for the characters that only its tables know
         self.leaf = leaf_chars
         self.limit = memo_words
         self.memo: dict[str, bytes] = {}
@@ -191,9 +201,23 @@ class TreeBpe:
 
     def normalise(self, text: str) -> str:
         """NFC and lower case; white space needs no change, as no stretch holds any."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # letter by letter: no final sigma
-        return text.lower()
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # letter by letter: no final sigma
+
+    def stretches(self, text: str) -> list[str]:
+        """The stretches that the tokenizer's splitting rule yields, normalised.
+
+        The library's tables are of other Unicode versions than Python's. Characters that stand by
+        themselves and are known to Python are treated alike by both; texts with any other are
+        normalised and split by the library itself.
+        """
+        if text.isascii():
+            return self.split.findall(text.lower())
+        new = set(text) - self.inert
+        self.inert.update(filter(inert, new))
+        if new <= self.inert:
+            return self.split.findall(self.normalise(text))
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(map(self.bytes.__getitem__, map(ord, piece))).decode() for piece, _ in found]
 
     def encode_packed(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each whole text as little-endian unsigned 32-bit integers; null counts as empty."""
@@ -201,7 +225,7 @@ class TreeBpe:
         for text in texts:
             row: list = []
             for k, x in enumerate(self.at_special.split(text or "") if self.at_special else [text or ""]):
-                row.append(np.array([self.special[x]], dtype="<u4").tobytes() if k % 2 else self.split.findall(self.normalise(x)))
+                row.append(np.array([self.special[x]], dtype="<u4").tobytes() if k % 2 else self.stretches(x))
             parts.append(row)
         new = {w for row in parts for x in row if isinstance(x, list) for w in x if w not in self.memo}
         if new:

@@ -292,6 +292,19 @@ def test_bpe_equals_the_library(leaf):
             assert own.decode(ids) == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_equals_the_library_on_any_character():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, own = Tokenizer.from_file(path), bpe.TreeBpe(path)
+    rng = random.Random(7)
+    odd = [0, 9, 10, 11, 12, 13, 28, 29, 30, 31, 133, 160, 5760, 8192, 8232, 8233, 8239, 8287, 12288, 0xFEFF, 0x200D, 0x200B, 0xAD, 0x1C89, 0xA7CB, 0x10D50, 0x16EA0, 0x208F]
+    ranges = [(32, 126), (0x300, 0x36F), (0xA0, 0x2FFF), (0x1100, 0xD7FF), (0xE000, 0xFFFF), (0x10000, 0x10FFFF)]
+    for _ in range(2000):
+        s = "".join(chr(rng.choice(odd) if rng.random() < 0.1 else rng.randint(*rng.choice(ranges))) for _ in range(rng.randint(0, 40)))
+        ids = lib.encode(s, add_special_tokens=False).ids
+        assert own.encode(s) == ids and own.decode(ids) == lib.decode(ids, skip_special_tokens=False)
+    assert own.encode("x" + chr(0x1C89) * 100) == lib.encode("x" + chr(0x1C89) * 100, add_special_tokens=False).ids
+
+
 def test_bpe_query(spark, odd):
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got = bpe.bpe_encode_decode(odd, public_tokenizers.path("word_bpe_49k.json")).collect()
