@@ -237,6 +237,8 @@ def _solve(table: pa.Table, num: int, den: int) -> pa.Table:
         a += [int(nodes[rows[x]]) for x, _ in links] + [int(nodes[rows[x]]) for x in own]
         b += [int(nodes[rows[y]]) for _, y in links] + [int(nodes[rows[x]]) for x in own]
         n += [0] * len(links) + counts[own].tolist()
+    del data, table
+    release()
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
 
 

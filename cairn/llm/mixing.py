@@ -300,11 +300,18 @@ def mixed_rows(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float]
         return docs
     own = docs.columns
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("_row"), F.col(text_col).alias("_mixed_text"), F.col(id_col).cast("string").alias("_mixed_id"))
-    marked = scratch.save(model.mark(row, ("_row", "_mixed_id"), "_mixed_text"))
-    cells = _members(model, marked, scratch)
+    new = {c: c for c in ("_mixed_id", "n_tokens", "cell")}  # names that no column of the table has
+    while taken := [k for k, c in new.items() if c.lower() in map(str.lower, own)]:
+        new |= {k: f"_{new[k]}" for k in taken}
+    marked = model.mark(row, ("_row", "_mixed_id"), "_mixed_text")
+    rows = scratch.save(marked.select("_row.*", *(F.col(k).alias(c) for k, c in new.items())))
+    marks = rows.select(*(F.col(c).alias(k) for k, c in new.items()))
+    cells = _members(model, marks, scratch)
     whole = cells.agg(F.sum(F.col("n_tokens") * F.col(f"p_{favoured}")).alias("n")).first()["n"]
     spared = F.when(F.col(f"p_{favoured}") >= 0.5, 1.0).otherwise(0.0)
     fit = fit_rates(cells, targets, float(whole or 0.0) / targets[favoured], 1.0, spared)
-    drawn = _with_cells(marked, cells, [rate_column(fit.steps, 1.0, spared).alias("_rate")])
-    draw = F.pmod(F.xxhash64(F.coalesce("_mixed_id", F.lit("")), F.lit("draw")), F.lit(1_000_000)) / 1_000_000
-    return drawn.where(F.col("_rate") > draw * sure).select("_row.*")
+    rates = cells.select(F.struct("cell", rate_column(fit.steps, 1.0, spared).alias("rate")).alias("_found"))
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col(new["_mixed_id"]), F.lit("")), F.lit("draw")), F.lit(1_000_000)) / 1_000_000
+    # at most CELLS rows, which find rows by their cell and never take columns with them
+    kept = rows.join(F.broadcast(rates), (F.col(new["cell"]) == F.col("_found.cell")) & (F.col("_found.rate") > draw * sure), "left_semi")
+    return kept.select(*(F.col(f"`{c}`") for c in own))
