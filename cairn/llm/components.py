@@ -120,6 +120,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, contracted: bool =
             after = state(now)
             for number in range(first_table, scratch.n - 1):
                 scratch.drop(number)
+            scratch.free()
             if after == before:
                 break
             if after[0] <= FINISH_EDGES:

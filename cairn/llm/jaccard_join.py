@@ -19,12 +19,13 @@ Nothing is capped: a family beyond one block is split into pairs of blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Scratch, pieces, release, released
@@ -242,6 +243,11 @@ def _solve(table: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
 
 
+def bits_for(n: int) -> int:
+    """The size of a filter of ``n`` nodes, as a power of 2."""
+    return min(FILTER_BITS[1], max(FILTER_BITS[0], (16 * n).bit_length()))
+
+
 def _bitmap(cells: DataFrame, bits: int) -> bytes:
     """A bitmap of 2 ** ``bits`` with the values of the only column set, put together by the executors."""
     x = F.col(cells.columns[0]) + 1
@@ -256,6 +262,20 @@ def _is_set(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (bitmap[(cells >> _U(3)).astype(np.int64)] >> (cells & _U(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
+def perhaps_among(hashes: DataFrame, n: int) -> Callable[[Column], Column]:
+    """A test of a hash against the ``n`` ones in the only column of a table, by a bitmap of bounded
+    size: true for each of them and for a few others, so that only such rows need an exact join."""
+    bits = bits_for(n)
+    cell = lambda c: F.pmod(c, F.lit(1 << bits))
+    shared = hashes.sparkSession.sparkContext.broadcast(_bitmap(hashes.select(cell(F.col(hashes.columns[0])).alias("cell")), bits))
+
+    @F.pandas_udf("boolean")
+    def among(cells: pd.Series) -> pd.Series:
+        return pd.Series(_is_set(np.frombuffer(shared.value, dtype=np.uint8), cells.to_numpy().astype(np.uint64)))
+
+    return lambda c: among(cell(c))
+
+
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Components of the documents under links with 100% exact Jaccard >= num / den on k-word shingles.
 
@@ -372,6 +392,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     lists = texts.select("text").mapInArrow(released(index), "part int, keys binary, nodes binary")
     shared = lists.repartition(parts, "part").groupBy("part").applyInArrow(read_lists, "a long, b long")
     families = work.save(connected_components(shared, work, contracted=True))
+    work.free()  # the index, twice the input
 
     members = work.save(families.join(nodes, "node").select("node", F.col("root").alias("family"), "n", "copies"))
     spans = members.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n").alias("size"))
@@ -380,7 +401,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     spans = work.save(spans)
     members = work.save(members.join(spans, "family", "left").select("node", "family", "copies", F.coalesce("blocks", F.lit(1)).alias("blocks")))
     n_members = members.count()
-    filter_bits = min(FILTER_BITS[1], max(FILTER_BITS[0], (16 * n_members).bit_length()))
+    filter_bits = bits_for(n_members)
     cells = 1 << filter_bits
     wanted = spark.sparkContext.broadcast(_bitmap(members.select(F.pmod("node", F.lit(cells)).alias("cell")), filter_bits))  # 32 MB at most
 
@@ -417,6 +438,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         F.when(whole, F.lit(-1)).otherwise(F.greatest("block", "other")).alias("bj"),
     )
     solved = work.save(sets.groupBy("task", "bi", "bj").applyInArrow(lambda t: _solve(t, num, den), "a long, b long, n long"))
+    work.free()
     linked = work.save(connected_components(solved.where("a <> b").select("a", "b"), work, contracted=True))
 
     owned = linked.join(nodes.select("node", "least_id"), "node")
@@ -426,6 +448,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     found = nodes.join(named, F.col("node") == F.col("linked_node"), "left").join(counted, F.col("node") == F.col("a"), "left")
     found = scratch.save(found.select(F.col("node").alias("of_node"), F.coalesce("component", "least_id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
     work.drop()
+    work.free()
     for shared_value in (frequent, wanted):
         shared_value.unpersist()
     out = rows.join(found, (F.col("node") == F.col("of_node")) & (F.col("n") > 0), "left")

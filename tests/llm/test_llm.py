@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -707,6 +708,37 @@ def test_near_copy_stage_keeps_one_of_equal_rows(spark):
     assert sorted(map(tuple, corpus_pipeline.drop_near_copies(spark, e, SF).collect()), key=str) == [(3, ""), (7, "a b c d e f g"), (None, "q r s t u"), (None, None)]
 
 
+def shuffled(spark, wait=lambda n: False):
+    """Bytes of shuffle files on disk; asks again for some seconds while ``wait`` is true of them."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    for k in range(40):
+        files = disk.getAllFiles()
+        n = sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_"))
+        if not wait(n):
+            break
+        time.sleep(0.25)
+    return n
+
+
+def test_near_copy_stage_frees_its_shuffles_and_shuffles_few_texts(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"{rng.getrandbits(60):x}" for _ in range(4000)) for _ in range(60)]
+    d = Scratch(spark, "texts").save(spark.createDataFrame([(i, t, i) for i, t in enumerate([*texts, texts[0] + " end", texts[1], texts[2]])] + [(62, texts[2], 62)], "doc_id long, text string, extra long"))
+    size = sum(map(len, texts))
+    asked = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spark.sparkContext._jvm.System.gc()
+        before = shuffled(spark, lambda n: n > size // 20)
+        out = corpus_pipeline.drop_near_copies(spark, d, SF)
+        assert shuffled(spark, lambda n: n - before > size // 20) - before < size // 20
+        got = out.toPandas()
+        assert shuffled(spark) - before < size // 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", asked)
+    assert sorted(got["doc_id"]) == list(range(60)) and list(got["extra"].sort_values()) == list(range(60))
+
+
 def test_pipeline_takes_odd_tables(spark, tmp_path):
     """Empty table, nulls in every column, equal rows, and columns with the names that stages use inside."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
